@@ -73,19 +73,19 @@ def average_ranks(
     size_col: str = "group_size",
 ) -> DataFrame:
     """Add the rank of ``value`` in its group, ties sharing the mean of their ranks."""
-    indexed = ordered_index(df, group, [value, *key], "__rank", size_col)
+    indexed = ordered_index(df, group, [value, *key], "__ordinal", size_col)
     tied = (
         indexed.groupBy(*group, value)
-        .agg(F.min("__rank").alias("__lo"), F.max("__rank").alias("__hi"))
+        .agg(F.min("__ordinal").alias("__lo"), F.max("__ordinal").alias("__hi"))
         .where(F.col("__lo") < F.col("__hi"))
     )
     return (
         indexed.join(tied, [*group, value], "left")
         .withColumn(
             rank_col,
-            F.coalesce((F.col("__lo") + F.col("__hi")) / 2.0, F.col("__rank").cast("double")),
+            F.coalesce((F.col("__lo") + F.col("__hi")) / 2.0, F.col("__ordinal").cast("double")),
         )
-        .drop("__rank", "__lo", "__hi")
+        .drop("__ordinal", "__lo", "__hi")
     )
 
 

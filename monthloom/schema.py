@@ -1,8 +1,6 @@
 """Shared names, entity schemas and fixed research constants."""
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Model contract and labels.
 FEATURES = ("log_me", "book_to_market", "mom_12_2")
 TARGET = "next_month_return"
@@ -20,20 +18,17 @@ N_PORTFOLIOS = 10
 THOUSANDS_PER_MILLION = 1000.0
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-SECURITY_MONTH = _struct(
+# Entity schemas as DDL text, as readers accept it.
+SECURITY_MONTH = (
     "permno BIGINT, ticker STRING, date DATE, ret DOUBLE, prc DOUBLE, shrout DOUBLE"
 )
-FUNDAMENTALS = _struct(
+FUNDAMENTALS = (
     "gvkey STRING, datadate DATE, fyear INT, fyr INT, seq DOUBLE, ceq DOUBLE, at DOUBLE, lt DOUBLE,"
     " txditc DOUBLE, txdb DOUBLE, itcb DOUBLE, pstkrv DOUBLE, pstkl DOUBLE, pstk DOUBLE,"
     " indfmt STRING, datafmt STRING, popsrc STRING, consol STRING, curcd STRING"
 )
-LINKS = _struct(
+LINKS = (
     "gvkey STRING, lpermno BIGINT, linktype STRING, linkprim STRING, linkdt DATE, linkenddt DATE"
 )
-INDEX_DAILY = _struct("date DATE, vix DOUBLE")
-INDEX_CSV = _struct("DATE STRING, OPEN STRING, HIGH STRING, LOW STRING, CLOSE STRING")
+INDEX_DAILY = ("date DATE, vix DOUBLE")
+INDEX_CSV = ("DATE STRING, OPEN STRING, HIGH STRING, LOW STRING, CLOSE STRING")

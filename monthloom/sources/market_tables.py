@@ -13,7 +13,7 @@ from monthloom.operators.accounting import (
     annual_accounting, annual_book_to_market, link_accounting,
 )
 from monthloom.operators.features import build_features
-from monthloom.operators.panel import build_panel, finalize_panel
+from monthloom.operators.panel import build_panel, complete_case_sample, finalize_panel
 from monthloom.operators.portfolios import (
     assign_from_wide, decile_returns_long, decile_returns_wide,
 )
@@ -283,6 +283,9 @@ class MarketTables:
     def panel(self) -> DataFrame:
         return self._once("panel", self._panel)
 
+    def sample(self) -> DataFrame:
+        return self._once("sample", lambda: complete_case_sample(self.panel()))
+
     def _wide_predictions(self) -> DataFrame:
         """Scores of two made-up models; the second one is a step function with many ties."""
         f = self.features().join(self.regimes(), "date")
