@@ -12,6 +12,9 @@ from monthloom.functions.scalars import month_end_shift, month_index
 from monthloom.operators.accounting import (
     annual_accounting, annual_book_to_market, link_accounting,
 )
+from monthloom.operators.costs import (
+    apply_cost_scenarios, extreme_portfolio_returns, reconstruct,
+)
 from monthloom.operators.features import build_features
 from monthloom.operators.panel import build_panel, complete_case_sample, finalize_panel
 from monthloom.operators.portfolios import (
@@ -342,3 +345,19 @@ class MarketTables:
 
     def monthly_ic(self) -> DataFrame:
         return self._once("monthly_ic", lambda: monthly_rank_ic(self.three_state_predictions()))
+
+    def reconstruction(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        if "reconstruction" not in self._staged:
+            parts = reconstruct(self.assignments())
+            names = ("reconstruction", "turnover_by_decile", "weight_audit")
+            self._staged.update({n: stage(d, n) for n, d in zip(names, parts, strict=True)})
+        return tuple(self._staged[n] for n in (
+            "reconstruction", "turnover_by_decile", "weight_audit"))
+
+    def net_returns(self) -> DataFrame:
+        return self._once("net_returns", lambda: apply_cost_scenarios(self.reconstruction()[0]))
+
+    def extreme_portfolios(self) -> DataFrame:
+        return self._once(
+            "extreme_portfolios", lambda: extreme_portfolio_returns(self.predictions())
+        )
