@@ -13,7 +13,9 @@ from monthloom.functions.scalars import (
     safe_double,
 )
 from monthloom.operators.contracts import duplicate_keys, enforce, require_columns
+from monthloom.operators.ordering import spread_group_stats
 from monthloom.schema import LINK_PRIMARY, LINK_TYPES, THOUSANDS_PER_MILLION
+from monthloom.staging import stage
 
 _ASSUMED_ZERO = "assumed_zero_missing"
 
@@ -239,14 +241,12 @@ def annual_book_to_market(linked: DataFrame, features: DataFrame) -> DataFrame:
         .withColumn("december_year", F.col("characteristic_year") - 1)
         .join(december_market_equity(features), ["permno", "december_year"], "left")
     )
-    # Share classes of one firm in one year; (permno, year) is unique after link resolution.
-    firm = Window.partitionBy("gvkey", "characteristic_year")
-    with_totals = rows.withColumns(
-        {
-            "linked_permnos": F.count("permno").over(firm),
-            "permnos_with_december_me": F.count("me_dec_security").over(firm),
-            "__total": F.sum("me_dec_security").over(firm),
-        }
+    firm = ["gvkey", "characteristic_year"]
+    with_totals = spread_group_stats(
+        stage(rows, "linked_december"), firm,
+        F.count("permno").alias("linked_permnos"),
+        F.count("me_dec_security").alias("permnos_with_december_me"),
+        F.sum("me_dec_security").alias("__total"),
     )
     complete = F.col("permnos_with_december_me") == F.col("linked_permnos")
     return (

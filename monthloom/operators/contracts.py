@@ -1,13 +1,14 @@
 """Data contracts. Each check returns the violating rows (or counts); ``enforce`` raises."""
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import (
     all_of,
+    characteristic_year,
     finite_double,
     is_close,
     month_end,
@@ -36,6 +37,16 @@ def enforce(violations: DataFrame, message: str) -> None:
         raise ContractViolation(f"{message}; for example {found[0].asDict()}")
 
 
+def enforce_rows(df: DataFrame, rules: Mapping[str, Column]) -> None:
+    """Check any number of row rules in a single scan; a NULL result counts as a breach."""
+    counts = df.agg(*[
+        F.count_if(~truthy(ok)).alias(f"rule_{i}") for i, ok in enumerate(rules.values())
+    ]).first()
+    bad = {m: counts[f"rule_{i}"] for i, m in enumerate(rules) if counts[f"rule_{i}"]}
+    if bad:
+        raise ContractViolation("; ".join(f"{m} ({n} rows)" for m, n in bad.items()))
+
+
 def reject_standardized_shadows(df: DataFrame) -> None:
     """The stored panel must hold raw features only."""
     patterns = ("{}_z", "z_{}", "{}_scaled", "scaled_{}", "{}_standardized", "standardized_{}")
@@ -49,47 +60,60 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
+def target_date_ok() -> Column:
+    """Realized date is the month end after the formation month."""
+    return month_end(REALIZED) == month_end_shift(FORMATION, 1)
+
+
 def target_date_violations(df: DataFrame) -> DataFrame:
-    """Realized date must be the month end after the formation month."""
-    ok = month_end(REALIZED) == month_end_shift(FORMATION, 1)
-    return df.where(~truthy(ok))
+    return df.where(~truthy(target_date_ok()))
+
+
+def formation_date_ok() -> Column:
+    """``date`` and ``formation_date`` agree once snapped to month ends."""
+    return ~truthy(month_end("date") != month_end(FORMATION))
 
 
 def formation_date_mismatch(df: DataFrame) -> DataFrame:
-    """``date`` and ``formation_date`` must agree once snapped to month ends."""
-    return df.where(month_end("date") != month_end(FORMATION))
+    return df.where(~formation_date_ok())
 
 
-def size_flags(df: DataFrame) -> DataFrame:
-    """Per-row flags of the three size identities."""
+def size_faults() -> dict[str, Column]:
+    """Breaches of the three size identities."""
     expected = F.abs("prc") * F.col("shrout")
     gap = F.abs(F.col("me") - expected)
-    return df.select(
-        "*",
-        truthy(gap > F.greatest(F.lit(1e-8), F.abs(expected) * 1e-10)).alias("bad_me"),
-        truthy((F.col("me") <= 0) & F.col("log_me").isNotNull()).alias("bad_nonpositive"),
-        truthy(
+    return {
+        "bad_me": truthy(gap > F.greatest(F.lit(1e-8), F.abs(expected) * 1e-10)),
+        "bad_nonpositive": truthy((F.col("me") <= 0) & F.col("log_me").isNotNull()),
+        "bad_log": truthy(
             (F.col("me") > 0) & ~is_close(F.col("log_me"), F.ln("me"), 1e-10, 1e-10)
-        ).alias("bad_log"),
-    )
+        ),
+    }
+
+
+def size_ok() -> Column:
+    return all_of(~c for c in size_faults().values())
 
 
 def size_violations(df: DataFrame) -> DataFrame:
-    return size_flags(df).where("bad_me OR bad_nonpositive OR bad_log")
+    return df.withColumns(size_faults()).where("bad_me OR bad_nonpositive OR bad_log")
 
 
-def accounting_timing_violations(df: DataFrame) -> DataFrame:
+def accounting_timing_ok() -> Column:
     """No accounting data before its June availability, and the June-to-May year rule."""
-    from monthloom.functions.scalars import characteristic_year
-
     has = F.col("accounting_datadate").isNotNull()
     future = month_end("accounting_eligibility_date") > month_end(FORMATION)
     wrong_year = has & ~F.col("characteristic_year").eqNullSafe(characteristic_year(FORMATION))
     wrong_fy = has & ~F.year("accounting_datadate").eqNullSafe(F.col("characteristic_year") - 1)
-    return df.where(truthy(future) | wrong_year | wrong_fy)
+    return ~(truthy(future) | wrong_year | wrong_fy)
 
 
-def book_to_market_violations(df: DataFrame) -> DataFrame:
+def accounting_timing_violations(df: DataFrame) -> DataFrame:
+    return df.where(~accounting_timing_ok())
+
+
+def book_to_market_ok() -> Column:
+    """A present ratio needs positive parts and must equal their quotient."""
     good = (
         (F.col("book_equity") > 0)
         & (F.col("me_dec") > 0)
@@ -100,20 +124,19 @@ def book_to_market_violations(df: DataFrame) -> DataFrame:
             1e-12,
         )
     )
-    return df.where(F.col("book_to_market").isNotNull() & ~truthy(good))
+    return F.col("book_to_market").isNull() | truthy(good)
 
 
-def price_flag_violations(df: DataFrame, min_price: float = 5.0) -> DataFrame:
-    return df.where(truthy("price_eligible") != truthy(F.abs("prc") >= float(min_price)))
+def book_to_market_violations(df: DataFrame) -> DataFrame:
+    return df.where(~book_to_market_ok())
+
+
+def price_flag_ok(min_price: float = 5.0) -> Column:
+    return truthy("price_eligible") == truthy(F.abs("prc") >= float(min_price))
 
 
-def monthly_constants(df: DataFrame, date: str, names: Sequence[str]) -> DataFrame:
-    """One row per month: number of distinct values (NULL counts as one) of each column."""
-    aggs = [
-        (F.countDistinct(n) + F.max(F.col(n).isNull().cast("int"))).cast("bigint").alias(n)
-        for n in names
-    ]
-    return df.groupBy(date).agg(*aggs)
+def price_flag_violations(df: DataFrame, min_price: float = 5.0) -> DataFrame:
+    return df.where(~price_flag_ok(min_price))
 
 
 def regime_month_violations(df: DataFrame, reference: DataFrame | None = None) -> DataFrame:
@@ -153,15 +176,21 @@ def regime_month_violations(df: DataFrame, reference: DataFrame | None = None) -
     ).where("not_constant OR mislabelled OR differs_from_reference")
 
 
+def leakage_rules(predictions: Sequence[str]) -> dict[str, Column]:
+    """Training ends before formation and every stored number is finite."""
+    return {
+        "Training features reach the formation month":
+            F.col("train_feature_end_date") < F.col(FORMATION),
+        "Training targets were not realized by formation":
+            F.col("train_target_end_date") <= F.col(FORMATION),
+        "The realized date does not follow formation": F.col(REALIZED) > F.col(FORMATION),
+        "A prediction is missing or not finite":
+            all_of(finite_double(p).isNotNull() for p in predictions),
+    }
+
+
 def leakage_violations(df: DataFrame, predictions: Sequence[str]) -> DataFrame:
-    """Training must end before formation and every stored number must be finite."""
-    ok = (
-        (F.col("train_feature_end_date") < F.col(FORMATION))
-        & (F.col("train_target_end_date") <= F.col(FORMATION))
-        & (F.col(REALIZED) > F.col(FORMATION))
-        & all_of(finite_double(p).isNotNull() for p in predictions)
-    )
-    return df.where(~truthy(ok))
+    return df.where(~truthy(all_of(leakage_rules(predictions).values())))
 
 
 def malformed_decile_months(assignments: DataFrame, n: int = 10) -> DataFrame:
@@ -182,21 +211,24 @@ def spread_arithmetic_violations(wide: DataFrame) -> DataFrame:
     return wide.where(~is_close(F.col("D10") - F.col("D1"), "D10_minus_D1", 1e-5, 1e-8))
 
 
-def assignment_violations(assignments: DataFrame) -> DataFrame:
+def assignment_rules() -> dict[str, Column]:
     """Row-level part of the assignment contract."""
-    integer_ids = truthy(F.col("permno") == F.floor("permno")) & truthy(
-        F.col("decile") == F.floor("decile")
-    )
-    ok = (
-        (F.col(FORMATION) == F.last_day(FORMATION))
-        & (F.col(REALIZED) == month_end_shift(FORMATION, 1))
-        & integer_ids
-        & F.col("decile").between(1, 10)
-        & F.upper("regime_binary").isin("LOW", "HIGH")
-        & F.upper("regime_3state").isin(*THREE_REGIMES)
-        & finite_double("realized_next_month_return").isNotNull()
-    )
-    return assignments.where(~truthy(ok))
+    return {
+        "Formation date is not a month end": F.col(FORMATION) == F.last_day(FORMATION),
+        "Realized date is not the next month end":
+            F.col(REALIZED) == month_end_shift(FORMATION, 1),
+        "Security id is not an integer": F.col("permno") == F.floor("permno"),
+        "Decile is not an integer from 1 to 10":
+            (F.col("decile") == F.floor("decile")) & F.col("decile").between(1, 10),
+        "Binary regime is unknown": F.upper("regime_binary").isin("LOW", "HIGH"),
+        "Three-state regime is unknown": F.upper("regime_3state").isin(*THREE_REGIMES),
+        "Realized return is not finite or below -100 %":
+            finite_double("realized_next_month_return") >= -1.0,
+    }
+
+
+def assignment_violations(assignments: DataFrame) -> DataFrame:
+    return assignments.where(~truthy(all_of(assignment_rules().values())))
 
 
 def month_gaps(assignments: DataFrame) -> DataFrame:
@@ -225,12 +257,27 @@ def check_assignments(assignments: DataFrame) -> None:
         [FORMATION, REALIZED, "permno", "model", "decile", "realized_next_month_return",
          "weighting_variable", "regime_binary", "regime_3state"],
     )
-    enforce(assignment_violations(assignments), "Assignment rows break the contract")
+    enforce_rows(assignments, assignment_rules())
     enforce(duplicate_keys(assignments, [FORMATION, "model", "permno"]), "Duplicate assignments")
-    enforce(malformed_decile_months(assignments), "A month lacks a decile")
-    enforce(month_gaps(assignments), "Formation months are not consecutive")
-    enforce(months_missing_for_a_model(assignments), "Models cover different months")
-    enforce(inconsistent_months(assignments), "A month has several regimes or realized dates")
+    # The remaining rules concern months; one aggregate leaves a row per month and decile.
+    names = (REALIZED, "regime_binary", "regime_3state")
+    months = stage(
+        assignments.groupBy(FORMATION, "model", "decile").agg(
+            *[F.min(c).alias(f"min_{c}") for c in names],
+            *[F.max(c).alias(f"max_{c}") for c in names],
+        ),
+        "months",
+    )
+    enforce(malformed_decile_months(months), "A month lacks a decile")
+    enforce(month_gaps(months), "Formation months are not consecutive")
+    enforce(months_missing_for_a_model(months), "Models cover different months")
+    both = months.select(
+        FORMATION, "model",
+        F.explode(F.array(*[
+            F.struct(*[F.col(f"{side}_{c}").alias(c) for c in names]) for side in ("min", "max")
+        ])).alias("v"),
+    ).select(FORMATION, "model", "v.*")
+    enforce(inconsistent_months(both), "A month has several regimes or realized dates")
 
 
 def inconsistent_months(assignments: DataFrame) -> DataFrame:
@@ -326,19 +373,13 @@ def check_monthly_series(
     out = series.withColumn("regime_binary", F.upper("regime_binary")).withColumn(
         "regime_3state", F.upper("regime_3state")
     )
-    enforce(out.where(F.col(FORMATION).isNull()), "Formation date is missing")
-    enforce(
-        out.where(F.col(outcome).isNotNull() & finite_double(outcome).isNull()),
-        f"{outcome} is not finite",
-    )
+    enforce_rows(out, {
+        "Formation date is missing": F.col(FORMATION).isNotNull(),
+        f"{outcome} is not finite": F.col(outcome).isNull() | finite_double(outcome).isNotNull(),
+        "Unknown binary regime": F.col("regime_binary").isin("LOW", "HIGH"),
+        "Unknown three-state regime": F.col("regime_3state").isin(*THREE_REGIMES),
+    })
     enforce(duplicate_keys(out, [FORMATION, *keys]), "Duplicate monthly observation")
-    enforce(
-        out.where(
-            ~truthy(F.col("regime_binary").isin("LOW", "HIGH"))
-            | ~truthy(F.col("regime_3state").isin(*THREE_REGIMES))
-        ),
-        "Unknown regime label",
-    )
     states = out.groupBy(*keys).agg(F.countDistinct("regime_3state").alias("n_states"))
     enforce(states.where(F.col("n_states") != len(THREE_REGIMES)), "A regime is missing")
     found = out.select("model").distinct()
@@ -358,10 +399,3 @@ def summary_mismatches(
     )
     ok = is_close("__mean", stored, rtol, atol) & (F.col("__months") == F.col("n_months"))
     return summary.join(fresh, list(keys), "left").where(~truthy(ok)).select(*keys, stored)
-
-
-def stage_checked(df: DataFrame, key: Sequence[str], label: str) -> DataFrame:
-    """Materialise a table and prove its key."""
-    out = stage(df, label)
-    enforce(duplicate_keys(out, key), f"Duplicate key in {label}")
-    return out

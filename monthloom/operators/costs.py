@@ -103,9 +103,6 @@ def reconstruct(
     """Monthly gross returns with turnover, turnover by decile, and D1/D10 weight rows."""
     if check:
         check_assignments(assignments)
-    enforce_no_loss = assignments.where(F.col("realized_next_month_return") < -1.0)
-    if check:
-        enforce(enforce_no_loss, "A holding-period return is below -100 %")
     weights = stage(
         target_weights(assignments).select(
             *_LEG, "permno", "ticker", "realized_next_month_return", "target_weight",

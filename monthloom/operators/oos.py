@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from monthloom.functions.scalars import all_of, finite_double, month_end, month_end_shift
 from monthloom.operators import boosted_trees
 from monthloom.operators.contracts import (
-    duplicate_keys, enforce, incomplete_model_inputs, leakage_violations, require_columns,
+    duplicate_keys, enforce, enforce_rows, incomplete_model_inputs, leakage_rules,
+    require_columns,
 )
 from monthloom.operators.elastic_net import (
     coefficient_rows, expanding_moments, fit_windows, linear_score, monthly_moments,
@@ -125,11 +126,10 @@ def expanding_baseline(
 
 def check_predictions(predictions: DataFrame) -> None:
     """Raise on duplicates, leakage or unusable numbers."""
-    enforce(duplicate_keys(predictions, ["permno", FORMATION]), "Duplicate predictions")
-    enforce(
-        leakage_violations(predictions, ["elastic_net_prediction", "xgboost_prediction"]),
-        "Predictions leak or are not finite",
+    enforce_rows(
+        predictions, leakage_rules(["elastic_net_prediction", "xgboost_prediction"])
     )
+    enforce(duplicate_keys(predictions, ["permno", FORMATION]), "Duplicate predictions")
 
 
 def expanding_long(

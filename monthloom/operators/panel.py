@@ -4,16 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions.scalars import (
-    all_of, finite_double, month_end, month_end_shift, safe_double, truthy,
-)
+from monthloom.functions.scalars import all_of, finite_double, month_end, safe_double, truthy
 from monthloom.operators.accounting import (
     annual_accounting, annual_book_to_market, assign_monthly, check_unique_months,
     link_accounting,
 )
 from monthloom.operators.contracts import (
-    ContractViolation, duplicate_keys, enforce, formation_date_mismatch, require_columns,
-    target_date_violations,
+    ContractViolation, duplicate_keys, enforce, enforce_rows, formation_date_ok, require_columns,
+    target_date_ok,
 )
 from monthloom.operators.features import build_features
 from monthloom.operators.regimes import attach_regimes
@@ -59,7 +57,7 @@ def finalize_panel(panel: DataFrame, min_price: float = 5.0) -> DataFrame:
     out = out.withColumn(FORMATION, month_end(FORMATION)).withColumn(REALIZED, month_end(REALIZED))
     if "date" in out.columns:
         out = out.withColumn("date", month_end("date"))
-        enforce(formation_date_mismatch(out), "date and formation_date disagree")
+        enforce_rows(out, {"date and formation_date disagree": formation_date_ok()})
     else:
         out = out.withColumn("date", F.col(FORMATION))
     if "me" not in out.columns and "market_equity" in out.columns:
@@ -125,34 +123,36 @@ def complete_case_sample(panel: DataFrame, min_price: float = 5.0, check: bool =
     """Model rows; with ``check`` the stored flag, timing, labels and values must agree."""
     require_columns(panel, ["permno", FORMATION, REALIZED, TARGET, "regime", "vix", *FEATURES])
     keep = model_eligible(panel, min_price)
-    if check and "baseline_complete_case" in panel.columns:
-        enforce(
-            panel.where(truthy("baseline_complete_case") != truthy(keep)),
-            "Stored complete-case flag disagrees with the eligibility rule",
-        )
     out = panel.where(keep).select(*[c for c in _SAMPLE if c in panel.columns])
     if check:
-        late = [c for c in ("accounting_available_date", "book_to_market_available_date",
-                            "bm_available_date", "accounting_assignment_date")
-                if c in panel.columns]
-        for c in late:
-            enforce(panel.where(month_end(c) > month_end(FORMATION)), f"{c} after formation")
-        enforce(target_date_violations(out), "Target is not realized in the next month")
+        enforce_rows(panel, _sample_rules(panel, truthy(keep)))
         enforce(duplicate_keys(out, ["permno", FORMATION]), "Duplicate model rows")
-        enforce(out.where(~F.upper("regime").isin("HIGH", "LOW")), "Unknown regime label")
-        finite = all_of(finite_double(c).isNotNull() for c in (*FEATURES, TARGET, "vix"))
-        enforce(out.where(~finite), "Model inputs are not finite")
-        if "vix_expanding_median" in out.columns:
-            implied = F.when(F.col("vix") > F.col("vix_expanding_median"), "HIGH").otherwise("LOW")
-            wrong = F.col("vix_expanding_median").isNotNull() & (F.upper("regime") != implied)
-            enforce(out.where(wrong), "Regime label breaks the expanding-median rule")
     return out
 
 
+def _sample_rules(panel: DataFrame, keep: Column) -> dict[str, Column]:
+    """Rules of the complete-case sample, all checked in one scan of the panel."""
+    finite = all_of(finite_double(c).isNotNull() for c in (*FEATURES, TARGET, "vix"))
+    rules = {
+        "Target is not realized in the next month": ~keep | target_date_ok(),
+        "Unknown regime label": ~keep | F.upper("regime").isin("HIGH", "LOW"),
+        "Model inputs are not finite": ~keep | finite,
+    }
+    if "baseline_complete_case" in panel.columns:
+        rules["Stored complete-case flag disagrees with the eligibility rule"] = (
+            truthy("baseline_complete_case") == keep
+        )
+    for c in ("accounting_available_date", "book_to_market_available_date", "bm_available_date",
+              "accounting_assignment_date"):
+        if c in panel.columns:
+            rules[f"{c} after formation"] = ~truthy(month_end(c) > month_end(FORMATION))
+    if "vix_expanding_median" in panel.columns:
+        implied = F.when(F.col("vix") > F.col("vix_expanding_median"), "HIGH").otherwise("LOW")
+        wrong = F.col("vix_expanding_median").isNotNull() & (F.upper("regime") != implied)
+        rules["Regime label breaks the expanding-median rule"] = ~keep | ~truthy(wrong)
+    return rules
+
+
 def cut_to_dates(panel: DataFrame, start: str, end: str, date: str = "date") -> DataFrame:
     """Drop buffer history kept only so that windows could look back and ahead."""
     return panel.where(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-
-
-def next_month_end(c: str) -> Column:
-    return month_end_shift(c, 1)

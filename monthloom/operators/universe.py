@@ -1,7 +1,7 @@
 """Security universes: predicates, top-N membership and samples."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import month_end, safe_double
@@ -10,6 +10,9 @@ from monthloom.operators.ordering import ordered_index
 from monthloom.schema import FORMATION
 from monthloom.staging import stage
 
+# Spark pushes a rank filter below the shuffle only up to this many rows per group.
+_GROUP_LIMIT = 1000
+
 # Codes of the common-stock universe.
 COMMON_STOCK = {
     "sharetype": ("NS",),
@@ -89,8 +92,11 @@ def monthly_hash_sample(
     """At most k rows per month, the same ones in every run with the same seed."""
     if not max_rows_per_month or max_rows_per_month <= 0:
         return rows
-    draw = F.xxhash64("permno", date, F.lit(seed))
-    placed = ordered_index(
-        rows.withColumn("__draw", draw), [date], ["__draw", "permno"], "__n", "__size"
-    )
+    drawn = rows.withColumn("__draw", F.xxhash64("permno", date, F.lit(seed)))
+    if max_rows_per_month <= _GROUP_LIMIT:
+        # Each task keeps its own first k rows per month, so only those are shuffled.
+        w = Window.partitionBy(date).orderBy("__draw", "permno")
+        placed = drawn.withColumn("__n", F.row_number().over(w)).withColumn("__size", F.lit(0))
+    else:
+        placed = ordered_index(drawn, [date], ["__draw", "permno"], "__n", "__size")
     return placed.where(F.col("__n") <= max_rows_per_month).drop("__draw", "__n", "__size")

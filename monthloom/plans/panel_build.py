@@ -34,16 +34,14 @@ def validate_panel(
     """
     contracts.require_columns(panel, REQUIRED)
     contracts.reject_standardized_shadows(panel)
+    contracts.enforce_rows(panel, {
+        "Target is not month t+1": contracts.target_date_ok(),
+        "Price flag breaks its rule": contracts.price_flag_ok(min_price),
+        "Size identities fail": contracts.size_ok(),
+        "Accounting data enters too early": contracts.accounting_timing_ok(),
+        "Book-to-market identity fails": contracts.book_to_market_ok(),
+    })
     contracts.enforce(contracts.duplicate_keys(panel, ["permno", FORMATION]), "Duplicate rows")
-    contracts.enforce(contracts.target_date_violations(panel), "Target is not month t+1")
-    contracts.enforce(
-        contracts.price_flag_violations(panel, min_price), "Price flag breaks its rule"
-    )
-    contracts.enforce(contracts.size_violations(panel), "Size identities fail")
-    contracts.enforce(
-        contracts.accounting_timing_violations(panel), "Accounting data enters too early"
-    )
-    contracts.enforce(contracts.book_to_market_violations(panel), "Book-to-market identity fails")
     reports.economic_sanity(panel)
     months = panel if require_regime else panel.where(F.col("vix").isNotNull())
     contracts.enforce(

@@ -11,7 +11,7 @@ from monthloom.operators import (
     accounting, contracts, features, panel, portfolios, regimes, reports, reshape, splits,
     transforms, universe,
 )
-from monthloom.operators.ordering import average_ranks
+from monthloom.operators.ordering import average_ranks, spread_group_stats
 from monthloom.plans.catalog import query
 from monthloom.schema import FEATURES, FORMATION, MODEL_COLUMNS, REALIZED, TARGET
 from monthloom.sources import scans
@@ -128,12 +128,11 @@ def _(m: MarketTables) -> DataFrame:
     rows = m.features().withColumn(
         "gvkey", F.lpad(F.floor((F.col("permno") - 10000) / 2).cast("string"), 6, "0")
     )
-    # One row per share class of a firm in a month.
-    firm = Window.partitionBy("gvkey", "date")
-    return rows.withColumn("firm_me", F.sum("market_equity").over(firm)).withColumns({
-        "n_classes": F.count("permno").over(firm),
-        "share": F.col("market_equity") / F.col("firm_me"),
-    })
+    totals = spread_group_stats(
+        rows, ["gvkey", "date"], F.sum("market_equity").alias("firm_me"),
+        F.count("permno").alias("n_classes"),
+    )
+    return totals.withColumn("share", F.col("market_equity") / F.col("firm_me"))
 
 
 @query("jon_07_june_assignment", "permno:i date:d characteristic_year:i gvkey "
@@ -391,6 +390,13 @@ def _(m: MarketTables) -> DataFrame:
     return universe.monthly_hash_sample(m.sample(), 20, seed=42)
 
 
+@query("srt_05_sample_sizes", "formation_date:d n_rows:i")
+def _(m: MarketTables) -> DataFrame:
+    return universe.monthly_hash_sample(m.sample(), 20, seed=42).groupBy(FORMATION).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 @query("srt_06_sorted_output", "formation_date:d model weighting D10_minus_D1:8")
 def _(m: MarketTables) -> DataFrame:
     return m.deciles_wide().orderBy(FORMATION, "model", "weighting")

@@ -12,6 +12,9 @@ from monthloom.schema import FORMATION
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
+    if partition_by:
+        # Few, evenly sized files per folder: AQE splits large folders and merges small ones.
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 
@@ -75,7 +78,7 @@ def resume_months(
         "formation_month", F.date_format(FORMATION, "yyyy-MM")
     )
     (
-        fresh.write.mode("overwrite")
+        fresh.hint("rebalance", "formation_month").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("formation_month")
         .parquet(path)

@@ -213,6 +213,8 @@ WHERE v.tail_rank <= 10""")
 body("srt_04_row_limit", f"""SELECT permno, mthcaldt AS date, mthprc AS prc FROM secfile b
 WHERE mthcaldt BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND {_UNIVERSE}
 ORDER BY mthcaldt, permno LIMIT 40""")
+body("srt_05_sample_sizes", """SELECT formation_date, least(20, count(*)) AS n_rows FROM sample
+GROUP BY 1""")
 body("srt_06_sorted_output",
      "SELECT formation_date, model, weighting, D10_minus_D1 FROM dwide")
 
