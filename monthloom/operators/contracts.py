@@ -313,8 +313,13 @@ def turnover_range_violations(turnover: DataFrame) -> DataFrame:
     )
 
 
+def value_weight_date_ok(date: str = "date") -> Column:
+    """Value weights are dated at the previous calendar month end."""
+    return F.col("me_lag_date") == month_end_shift(date, -1)
+
+
 def value_weight_date_violations(df: DataFrame, date: str = "date") -> DataFrame:
-    return df.where(~truthy(F.col("me_lag_date") == month_end_shift(date, -1)))
+    return df.where(~truthy(value_weight_date_ok(date)))
 
 
 def incomplete_model_inputs(df: DataFrame) -> DataFrame:
