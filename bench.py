@@ -31,7 +31,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = local_session(cores)
     catalog.load()
     catalog.run(HEADLINE[0], spark, folder).write.format("noop").mode("overwrite").save()

@@ -285,12 +285,19 @@ def assign_monthly(monthly: DataFrame, annual_bm: DataFrame, check: bool = True)
     rows = monthly.withColumn("date", month_end("date")).withColumn(
         "characteristic_year", characteristic_year("date")
     )
-    out = rows.join(
-        one_assignment_per_security_year(annual_bm), ["permno", "characteristic_year"], "left"
-    )
+    key = ["permno", "characteristic_year"]
+    annual = one_assignment_per_security_year(annual_bm)
     if check:
-        enforce(early_accounting(out), "Accounting data entered before its June date")
-    return out
+        # Only records dated after June of their own year can be early; usually there are none.
+        june = F.make_date("characteristic_year", F.lit(6), F.lit(30))
+        late = annual.where(F.col("accounting_available_from") > june)
+        enforce(
+            early_accounting(rows.select(*key, "date").join(
+                late.select(*key, "accounting_available_from"), key
+            )),
+            "Accounting data entered before its June date",
+        )
+    return rows.join(annual, key, "left")
 
 
 def early_accounting(assigned: DataFrame) -> DataFrame:

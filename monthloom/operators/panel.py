@@ -51,14 +51,16 @@ def finalize_panel(panel: DataFrame, min_price: float = 5.0) -> DataFrame:
     """Add the two date axes, accounting aliases and sample flags."""
     require_columns(panel, ["permno", TARGET, *FEATURES, REALIZED])
     out = panel
+    both_dates = FORMATION in out.columns and "date" in out.columns
     if FORMATION not in out.columns:
         require_columns(out, ["date"])
         out = out.withColumn(FORMATION, month_end("date"))
     out = out.withColumn(FORMATION, month_end(FORMATION)).withColumn(REALIZED, month_end(REALIZED))
     if "date" in out.columns:
         out = out.withColumn("date", month_end("date"))
+    if both_dates:
         enforce_rows(out, {"date and formation_date disagree": formation_date_ok()})
-    else:
+    if "date" not in out.columns:
         out = out.withColumn("date", F.col(FORMATION))
     if "me" not in out.columns and "market_equity" in out.columns:
         out = out.withColumn("me", safe_double("market_equity"))

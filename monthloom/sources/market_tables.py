@@ -1,7 +1,7 @@
 """Domain tables derived by Spark from the star-schema test tables.
 
 Suppliers play the securities, their shipments the monthly prices, orders the daily
-index. Sums use decimals, so that they do not depend on the order of the rows.
+index. Money is summed in whole cents, so that sums do not depend on the order of the rows.
 """
 from __future__ import annotations
 
@@ -31,8 +31,12 @@ PRICE_SCALE = 300.0
 BOOK_SCALE = 2_000_000.0
 
 
-def _money(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")
+def _cents(c: str) -> Column:
+    return F.rint(F.col(c) * 100.0).cast("bigint")
+
+
+def _units(cents: str) -> Column:
+    return F.col(cents).cast("double") / 100.0
 
 
 class MarketTables:
@@ -60,8 +64,8 @@ class MarketTables:
                 F.last_day(F.col("l_shipdate").cast("date")).alias("date"),
             )
             .agg(
-                F.sum(_money("l_extendedprice")).alias("val"),
-                F.sum(_money("l_quantity")).alias("qty"),
+                F.sum(_cents("l_extendedprice")).alias("val"),
+                F.sum(_cents("l_quantity")).alias("qty"),
                 F.min(F.col("l_shipdate").cast("date")).alias("caldt"),
             )
         )
@@ -73,8 +77,8 @@ class MarketTables:
             "caldt",
             "date",
             month_index("date").alias("mi"),
-            (F.col("val").cast("double") / F.col("qty").cast("double") / PRICE_SCALE).alias("p"),
-            F.col("qty").cast("double").alias("shrout"),
+            (_units("val") / _units("qty") / PRICE_SCALE).alias("p"),
+            _units("qty").alias("shrout"),
         )
         previous = Window.partitionBy("permno").orderBy("mi").rangeBetween(-1, -1)
         tag = F.col("permno") + F.col("mi")
@@ -152,8 +156,8 @@ class MarketTables:
         return (
             self.raw("orders")
             .groupBy(F.col("o_orderdate").cast("date").alias("date"))
-            .agg(F.sum(_money("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("n"))
-            .select("date", (F.col("total").cast("double") / F.col("n") / 10000.0).alias("vix"))
+            .agg(F.sum(_cents("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("n"))
+            .select("date", (_units("total") / F.col("n") / 10000.0).alias("vix"))
         )
 
     def index_text(self) -> DataFrame:
@@ -165,7 +169,7 @@ class MarketTables:
         )
 
     def index_monthly(self) -> DataFrame:
-        return self._once("index_monthly", lambda: daily_to_monthly(self.index_daily()))
+        return daily_to_monthly(self.index_daily())
 
     def regimes(self) -> DataFrame:
         return self._once("regimes", lambda: label_binary_regime(self.index_monthly()))
@@ -175,10 +179,10 @@ class MarketTables:
 
     # --- accounting -------------------------------------------------------------
     def fundamentals_file(self) -> DataFrame:
-        price = _money("l_extendedprice")
+        price = _cents("l_extendedprice")
 
         def part(condition: Column) -> Column:
-            return F.sum(F.when(condition, price).otherwise(_money(F.lit(0))))
+            return F.sum(F.when(condition, price).otherwise(F.lit(0)))
 
         flag, status = F.col("l_returnflag"), F.col("l_linestatus")
         yearly = (
@@ -193,7 +197,7 @@ class MarketTables:
                 part(status == "O").alias("so"), F.sum(price).alias("tot"),
             )
         )
-        s = {c: F.col(c).cast("double") / BOOK_SCALE for c in ("sa", "sn", "sr", "sf", "so", "tot")}
+        s = {c: _units(c) / BOOK_SCALE for c in ("sa", "sn", "sr", "sf", "so", "tot")}
         t = F.col("k") + F.col("y")
 
         def keep(condition: Column, value: Column) -> Column:
@@ -327,10 +331,11 @@ class MarketTables:
         return models_to_rows(self.predictions())
 
     def three_state_predictions(self) -> DataFrame:
-        return self._once(
-            "three_state_predictions",
-            lambda: attach_three_state(self.predictions(), self.three_regimes()),
-        )
+        if "three_state" not in self._staged:
+            self._staged["three_state"] = attach_three_state(
+                self.predictions(), self.three_regimes()
+            )
+        return self._staged["three_state"]
 
     def assignments(self) -> DataFrame:
         return self._once(
