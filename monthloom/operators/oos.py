@@ -63,7 +63,7 @@ def elastic_net_fits(
 ) -> DataFrame:
     """Coefficients at each refit month, from one pass over the rows."""
     windows = expanding_moments(monthly_moments(rows, features), features)
-    refits = calendar.where("is_refit").select(F.col("test_month").alias(FORMATION))
+    refits = calendar.select(F.col("fit_month").alias(FORMATION)).distinct()
     return stage(
         fit_windows(windows.join(refits, FORMATION), alpha, l1_ratio, features), "fits"
     )
@@ -94,15 +94,21 @@ _CARRY = ("date", FORMATION, REALIZED, "permno", "ticker", "regime", "vix", *FEA
 def expanding_baseline(
     sample: DataFrame, start: str, end: str | None = None, min_train_months: int = 12,
     every: int = 1, elastic: Mapping[str, float] | None = None,
-    trees: Mapping[str, Any] | None = None, seed: int = 42,
+    trees: Mapping[str, Any] | None = None, seed: int = 42, months: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Wide predictions of both models with the pooled benchmark and current train ends.
 
-    Also returns the elastic-net coefficients and the tree importances per refit.
+    Also returns the elastic-net coefficients and the tree importances per refit. With
+    ``months`` only those test months, and the fits that they use, are computed.
     """
     enforce(incomplete_model_inputs(sample), "Models need complete rows")
     elastic = elastic or {"alpha": 0.001, "l1_ratio": 0.5}
-    calendar = stage(refit_calendar(sample, start, end, min_train_months, every), "calendar")
+    plan = refit_calendar(sample, start, end, min_train_months, every)
+    if months is not None:
+        plan = plan.join(
+            months.select(F.col(FORMATION).alias("test_month")), "test_month", "left_semi"
+        )
+    calendar = stage(plan, "calendar")
     fits = elastic_net_fits(sample, calendar, elastic["alpha"], elastic["l1_ratio"])
     scored = elastic_net_predictions(sample, calendar, fits)
     tree_scores, importances = boosted_trees.score_refits(sample, calendar, trees, seed=seed)

@@ -203,7 +203,8 @@ def construction_summary(funda: DataFrame, links: DataFrame, panel: DataFrame) -
     f = funda.agg(
         F.count(F.lit(1)).alias("fundamentals_rows"),
         F.min("datadate").alias("fiscal_start"), F.max("datadate").alias("fiscal_end"),
-        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("seq", "ceq", "at", "lt")],
+        *[(F.count_if(F.col(c).isNull()) if c in funda.columns else F.lit(None).cast("bigint"))
+          .alias(f"missing_{c}") for c in ("seq", "ceq", "at", "lt")],
     )
     firms = funda.select("gvkey").distinct().agg(F.count("gvkey").alias("fundamentals_firms"))
     rows = links.agg(F.count(F.lit(1)).alias("link_rows"))

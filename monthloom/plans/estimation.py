@@ -11,7 +11,6 @@ from monthloom.operators import boosted_trees, elastic_net, oos, rank_ic, report
 from monthloom.operators.contracts import ContractViolation
 from monthloom.operators.panel import complete_case_sample, observable_as_of
 from monthloom.operators.universe import monthly_hash_sample
-from monthloom.schema import FORMATION
 from monthloom.sources.sinks import resume_months, write_csv
 from monthloom.staging import stage
 
@@ -57,10 +56,10 @@ def run_estimation(
 
     def compute(months: DataFrame) -> DataFrame:
         rows, coefficients, importances = oos.expanding_baseline(
-            sample, start, end, min_train_months, every, elastic, trees, seed
+            sample, start, end, min_train_months, every, elastic, trees, seed, months
         )
         models.update(elastic_net_coefficients=coefficients, tree_importances=importances)
-        return rows.join(months, FORMATION, "left_semi")
+        return rows
 
     path = f"{out}/predictions"
     predictions = resume_months(sample.sparkSession, path, sample, compute, run_key)

@@ -24,7 +24,9 @@ def cluster_settings(shuffled_bytes: int) -> dict[str, str]:
     }
 
 
-def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int = 8, memory: str = "8g", extra: dict[str, str] | None = None
+) -> SparkSession:
     """Small session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("monthloom")
     settings = {
@@ -32,6 +34,7 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
         "spark.sql.shuffle.partitions": str(cores),
         "spark.ui.enabled": "false",
         "spark.driver.memory": memory,
+        **(extra or {}),
     }
     for key, value in settings.items():
         builder = builder.config(key, value)

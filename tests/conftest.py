@@ -13,8 +13,13 @@ MEDIUM = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "4g")
+def shared_dir(tmp_path_factory):
+    return tmp_path_factory.mktemp("shared")
+
+
+@pytest.fixture(scope="session")
+def spark(shared_dir):
+    session = local_session(8, "4g", {"spark.checkpoint.dir": f"file://{shared_dir}"})
     yield session
     session.stop()
 
