@@ -13,7 +13,7 @@ from monthloom.functions.scalars import (
     safe_double,
 )
 from monthloom.operators.contracts import duplicate_keys, enforce, require_columns
-from monthloom.operators.ordering import spread_group_stats
+from monthloom.operators.ordering import side_by_side, spread_group_stats
 from monthloom.schema import LINK_PRIMARY, LINK_TYPES, THOUSANDS_PER_MILLION
 from monthloom.staging import stage
 
@@ -108,8 +108,7 @@ def annual_accounting_audit(funda: DataFrame) -> DataFrame:
         F.count_if(be == 0).alias("annual_book_equity_zero"),
         F.count_if(be < 0).alias("annual_book_equity_negative"),
     )
-    # Two one-row tables side by side.
-    return dup.withColumn("__k", F.lit(1)).join(signs.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    return side_by_side([dup, signs])
 
 
 def normalize_links(links: DataFrame) -> DataFrame:
@@ -208,14 +207,10 @@ def link_audit(annual: DataFrame, links: DataFrame) -> DataFrame:
     )
     kept = filter_links(links).agg(F.count(F.lit(1)).alias("ccm_rows_retained"))
     seen = links.agg(F.count(F.lit(1)).alias("ccm_rows_input"))
-    out = rows.withColumn("__k", F.lit(1))
-    for part in (linked, seen, kept, pair_counts, conflicts):
-        # Every part is a single row.
-        out = out.join(part.withColumn("__k", F.lit(1)), "__k")
-    return out.withColumn(
+    return side_by_side([rows, linked, seen, kept, pair_counts, conflicts]).withColumn(
         "accounting_rows_unmatched_ccm",
         F.col("accounting_rows") - F.col("accounting_rows_with_valid_ccm"),
-    ).drop("__k")
+    )
 
 
 def december_market_equity(features: DataFrame) -> DataFrame:
@@ -314,4 +309,6 @@ def unmatched_firm_years(annual: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def check_unique_months(df: DataFrame) -> None:
-    enforce(duplicate_keys(df, ["permno", "date"]), "Duplicate security-month rows")
+    """At most one row per security and calendar month, whatever the day."""
+    months = df.select("permno", month_end("date").alias("date"))
+    enforce(duplicate_keys(months, ["permno", "date"]), "Duplicate security-month rows")

@@ -133,3 +133,11 @@ def spread_group_stats(df: DataFrame, group: Sequence[str], *aggs: Column) -> Da
     """
     stats = stage(df.groupBy(*group).agg(*aggs), "groupstats")
     return df.join(stats, list(group))
+
+
+def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
+    """One row from several one-row tables, by scalar subqueries instead of joins."""
+    first, *rest = parts
+    return first.select(
+        "*", *[p.select(c).scalar().alias(c) for p in rest for c in p.columns]
+    )

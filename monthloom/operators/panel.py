@@ -24,8 +24,9 @@ def build_panel(
     min_price: float = 5.0,
 ) -> DataFrame:
     """Features, June book-to-market and regimes in one table keyed by (permno, date)."""
+    # The key also bounds the windows of one security, so it is proved before they run.
+    check_unique_months(prices)
     features = stage(build_features(prices), "features")
-    check_unique_months(features)
     annual_bm = stage(
         annual_book_to_market(link_accounting(annual_accounting(funda), links), features),
         "annual_bm",

@@ -11,7 +11,9 @@ from monthloom.functions.scalars import (
     correlation_from_sums, finite_double, ratio, safe_corr, safe_double, truthy,
 )
 from monthloom.operators.contracts import ContractViolation, enforce
-from monthloom.operators.ordering import average_ranks, grouped_quantiles, ordered_index
+from monthloom.operators.ordering import (
+    average_ranks, grouped_quantiles, ordered_index, side_by_side,
+)
 from monthloom.operators.panel import features_complete
 from monthloom.operators.reshape import models_to_rows
 from monthloom.schema import FEATURES, FORMATION, REALIZED, TARGET
@@ -64,27 +66,22 @@ def _funnel(panel: DataFrame, stages: Sequence[tuple[str, Column]], distinct: bo
     labels = F.array(*[F.struct(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"))
                        for i, (name, _) in enumerate(stages, start=1)])
     wanted = panel.sparkSession.range(1).select(F.explode(labels).alias("s")).select("s.*")
-    if not distinct:
-        counts = rows.groupBy("__depth").agg(F.count(F.lit(1)).alias("n"))
-        measures = [F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("observations")]
-    else:
+    counts = rows.groupBy("__depth").agg(F.count(F.lit(1)).alias("observations"))
+    measures = ["observations"]
+    if distinct:
         # The deepest stage of each security decides in which stages it is counted.
-        per_security = rows.groupBy("permno").agg(
-            F.max("__depth").alias("__depth"),
-        )
-        securities = per_security.groupBy("__depth").agg(F.count(F.lit(1)).alias("n_securities"))
-        counts = rows.groupBy("__depth").agg(F.count(F.lit(1)).alias("n")).join(
-            securities, "__depth", "full_outer"
-        )
-        measures = [
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("observations"),
-            F.coalesce(F.sum("n_securities"), F.lit(0)).cast("bigint").alias("securities"),
-        ]
-    # Both sides hold at most one row per stage.
-    return (
-        wanted.join(counts, F.col("__depth") >= F.col("stage_order"), "left")
-        .groupBy("stage_order", "stage")
-        .agg(*measures)
+        deepest = rows.groupBy("permno").agg(F.max("__depth").alias("__depth"))
+        securities = deepest.groupBy("__depth").agg(F.count(F.lit(1)).alias("securities"))
+        counts = counts.join(securities, "__depth", "full_outer")
+        measures.append("securities")
+    # One row per stage from here on: add up from the deepest stage.
+    w = Window.orderBy(F.col("stage_order").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return wanted.join(
+        counts.withColumnRenamed("__depth", "stage_order"), "stage_order", "left"
+    ).select(
+        "stage_order", "stage",
+        *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(w).cast("bigint").alias(c)
+          for c in measures],
     )
 
 
@@ -190,14 +187,6 @@ def monthly_count_range(monthly: DataFrame, count: str = "complete_baseline") ->
     )
 
 
-def _side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
-    """Join one-row tables on a constant key."""
-    out = parts[0].withColumn("__k", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("__k", F.lit(1)), "__k")
-    return out.drop("__k")
-
-
 def construction_summary(funda: DataFrame, links: DataFrame, panel: DataFrame) -> DataFrame:
     """One row of counts, date ranges, coverage and match rates of a panel build."""
     f = funda.agg(
@@ -226,7 +215,7 @@ def construction_summary(funda: DataFrame, links: DataFrame, panel: DataFrame) -
         F.count(F.lit(1)).alias("panel_unique_permnos"),
         F.count_if(~F.col("matched")).alias("unmatched_securities"),
     )
-    return _side_by_side([f, firms, rows, p, securities])
+    return side_by_side([f, firms, rows, p, securities])
 
 
 def code_distribution(links: DataFrame) -> DataFrame:
@@ -345,23 +334,23 @@ def extreme_rows(
     panel: DataFrame, n: int = 10, names: Sequence[str] = EXTREME_VARIABLES
 ) -> DataFrame:
     """The n lowest and n highest rows of each variable with their lineage."""
-    facts = [c for c in _LINEAGE if c in panel.columns]
-    cells = [F.struct(F.lit(v).alias("audit_variable"), safe_double(v).alias("__value"))
-             for v in names]
-    long = panel.select(*_KEY, *facts, F.explode(F.array(*cells)).alias("__c")).select(
-        *_KEY, *facts, "__c.*"
-    ).where(F.col("__value").isNotNull())
+    long = variables_to_rows(panel, names).where(F.col("value").isNotNull())
 
     def tail(name: str, order: Column) -> DataFrame:
         # Each task keeps its own n rows per variable before the shuffle.
-        w = Window.partitionBy("audit_variable").orderBy(order, "permno", FORMATION)
+        w = Window.partitionBy("variable").orderBy(order, "permno", FORMATION)
         return long.withColumn("tail_rank", F.row_number().over(w)).where(
             F.col("tail_rank") <= n
-        ).withColumn("tail", F.lit(name))
+        ).select(*_KEY, F.col("variable").alias("audit_variable"), F.lit(name).alias("tail"),
+                 "tail_rank")
 
-    return tail("low", F.col("__value").asc()).unionByName(
-        tail("high", F.col("__value").desc())
-    ).drop("__value")
+    # Only keys and values are sorted; the few chosen keys then fetch their lineage.
+    chosen = stage(
+        tail("low", F.col("value").asc()).unionByName(tail("high", F.col("value").desc())),
+        "extremes",
+    )
+    facts = [c for c in _LINEAGE if c in panel.columns]
+    return panel.select(*_KEY, *facts).join(chosen, list(_KEY))
 
 
 def check_value_report(
@@ -545,7 +534,7 @@ def economic_sanity(panel: DataFrame, check: bool = True) -> DataFrame:
         variables_to_rows(panel, ["book_to_market"], ("permno", "date")), ["variable"], "value",
         ("permno", "date"), {"book_to_market_median": 0.5, "book_to_market_p999": 0.999},
     ).drop("variable")
-    out = _side_by_side([errors, q])
+    out = side_by_side([errors, q])
     ok = F.col("book_to_market_median").between(0.001, 50.0)
     if check:
         enforce(out.where(~ok), "Book-to-market scale points to a unit error")
@@ -565,7 +554,7 @@ def count_audit(panel: DataFrame, eligible: Column) -> DataFrame:
         F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint")
         .alias("duplicate_permno_date_rows")
     )
-    return _side_by_side([counts, excess])
+    return side_by_side([counts, excess])
 
 
 def check_counts(audit: DataFrame, expected: Mapping[str, int]) -> None:
@@ -625,7 +614,7 @@ def panel_metadata(panel: DataFrame) -> DataFrame:
         F.count_if(F.col("r") == "HIGH").alias("high_months"),
         F.count_if(F.col("r") == "LOW").alias("low_months"),
     )
-    return _side_by_side([p, securities, months])
+    return side_by_side([p, securities, months])
 
 
 def moment_correlation(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -206,10 +206,9 @@ def _(m: MarketTables) -> DataFrame:
     own = train.groupBy("permno").agg(F.avg(TARGET).alias("own"))
     pooled = train.agg(F.avg(TARGET).alias("pooled"))
     test = m.sample().where(F.col(FORMATION) >= F.lit("1999-01-01").cast("date"))
-    keyed = test.withColumn("k", F.lit(1))
-    return keyed.join(own, "permno", "left").join(
-        pooled.withColumn("k", F.lit(1)), "k"
-    ).withColumn("benchmark_prediction", F.coalesce("own", "pooled"))
+    return test.join(own, "permno", "left").withColumn(
+        "benchmark_prediction", F.coalesce(F.col("own"), pooled.scalar())
+    )
 
 
 @query("jon_18_report_merge", "year:i rows:i high_months:i low_months:i")
