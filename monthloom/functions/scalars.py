@@ -124,16 +124,6 @@ def characteristic_year(d: Column | str, first_month: int = 6) -> Column:
     return F.when(F.month(d) >= first_month, F.year(d)).otherwise(F.year(d) - 1).cast("int")
 
 
-def correlation_from_sums(
-    n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column
-) -> Column:
-    """Pearson correlation from moment sums; NULL when either side has no spread."""
-    cov = sxy - sx * sy / n
-    vx = sxx - sx * sx / n
-    vy = syy - sy * sy / n
-    return F.when((n >= 2) & (vx > 0) & (vy > 0), cov / F.sqrt(vx) / F.sqrt(vy))
-
-
 def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation aggregate that yields NULL, not an error, on constants."""
     x, y = col(x), col(y)

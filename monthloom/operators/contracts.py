@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,19 @@ def enforce(violations: DataFrame, message: str) -> None:
         raise ContractViolation(f"{message}; for example {found[0].asDict()}")
 
 
+def enforce_all(violations: Mapping[str, DataFrame]) -> None:
+    """``enforce`` for several checks at once, in one job."""
+    labelled = [
+        df.limit(1).select(
+            F.lit(message).alias("message"), F.to_json(F.struct(*df.columns)).alias("example")
+        )
+        for message, df in violations.items()
+    ]
+    found = reduce(DataFrame.unionByName, labelled).collect()
+    if found:
+        raise ContractViolation("; ".join(f"{r.message}, for example {r.example}" for r in found))
+
+
 def enforce_rows(df: DataFrame, rules: Mapping[str, Column]) -> None:
     """Check any number of row rules in a single scan; a NULL result counts as a breach."""
     counts = df.agg(*[
@@ -258,7 +272,6 @@ def check_assignments(assignments: DataFrame) -> None:
          "weighting_variable", "regime_binary", "regime_3state"],
     )
     enforce_rows(assignments, assignment_rules())
-    enforce(duplicate_keys(assignments, [FORMATION, "model", "permno"]), "Duplicate assignments")
     # The remaining rules concern months; one aggregate leaves a row per month and decile.
     names = (REALIZED, "regime_binary", "regime_3state")
     months = stage(
@@ -268,16 +281,19 @@ def check_assignments(assignments: DataFrame) -> None:
         ),
         "months",
     )
-    enforce(malformed_decile_months(months), "A month lacks a decile")
-    enforce(month_gaps(months), "Formation months are not consecutive")
-    enforce(months_missing_for_a_model(months), "Models cover different months")
     both = months.select(
         FORMATION, "model",
         F.explode(F.array(*[
             F.struct(*[F.col(f"{side}_{c}").alias(c) for c in names]) for side in ("min", "max")
         ])).alias("v"),
     ).select(FORMATION, "model", "v.*")
-    enforce(inconsistent_months(both), "A month has several regimes or realized dates")
+    enforce_all({
+        "Duplicate assignments": duplicate_keys(assignments, [FORMATION, "model", "permno"]),
+        "A month lacks a decile": malformed_decile_months(months),
+        "Formation months are not consecutive": month_gaps(months),
+        "Models cover different months": months_missing_for_a_model(months),
+        "A month has several regimes or realized dates": inconsistent_months(both),
+    })
 
 
 def inconsistent_months(assignments: DataFrame) -> DataFrame:
@@ -384,13 +400,17 @@ def check_monthly_series(
         "Unknown binary regime": F.col("regime_binary").isin("LOW", "HIGH"),
         "Unknown three-state regime": F.col("regime_3state").isin(*THREE_REGIMES),
     })
-    enforce(duplicate_keys(out, [FORMATION, *keys]), "Duplicate monthly observation")
     states = out.groupBy(*keys).agg(F.countDistinct("regime_3state").alias("n_states"))
-    enforce(states.where(F.col("n_states") != len(THREE_REGIMES)), "A regime is missing")
     found = out.select("model").distinct()
-    wanted = out.sparkSession.createDataFrame([(m,) for m in models], "model STRING")
-    enforce(found.join(wanted, "model", "left_anti"), "Unknown model")
-    enforce(wanted.join(found, "model", "left_anti"), "Model is missing")
+    wanted = out.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+    )
+    enforce_all({
+        "Duplicate monthly observation": duplicate_keys(out, [FORMATION, *keys]),
+        "A regime is missing": states.where(F.col("n_states") != len(THREE_REGIMES)),
+        "Unknown model": found.join(wanted, "model", "left_anti"),
+        "Model is missing": wanted.join(found, "model", "left_anti"),
+    })
     return out
 
 

@@ -15,7 +15,7 @@ from monthloom.functions.scalars import (
     Z_975, finite_double, ratio, significance_stars, two_sided_normal_p,
 )
 from monthloom.operators.regimes import with_regime_definitions
-from monthloom.schema import FORMATION, HAC_LAG, PAIRWISE, THREE_REGIMES
+from monthloom.schema import FORMATION, HAC_LAG, PAIRWISE
 
 
 def _bartlett(series: str, window, lags: int) -> Column:
@@ -242,6 +242,3 @@ def rank_ic_inference(monthly: DataFrame, lags: int = HAC_LAG) -> tuple[DataFram
                       F.col("t_stat").alias("hac_t"), "p_value"),
         low_minus_high_tests(monthly, ["model"], "spearman_ic", lags=lags),
     )
-
-
-STATES = THREE_REGIMES

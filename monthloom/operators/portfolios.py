@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import finite_double, is_finite, ratio, safe_double
-from monthloom.operators.contracts import ContractViolation, enforce, require_columns
+from monthloom.operators.contracts import enforce, require_columns
 from monthloom.operators.ordering import average_ranks, ordered_index
 from monthloom.operators.reshape import models_to_rows
 from monthloom.schema import FORMATION, N_PORTFOLIOS, REALIZED, WEIGHTINGS
@@ -280,8 +280,3 @@ def long_short(wide: DataFrame) -> DataFrame:
         *kept, F.col("D10").alias("D10_return"), F.col("D1").alias("D1_return"),
         "D10_minus_D1", "n_stocks", *counts,
     )
-
-
-def require_two_portfolios(k: int) -> None:
-    if k < 2:
-        raise ContractViolation("At least two portfolios are needed.")

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import (
-    correlation_from_sums, finite_double, ratio, safe_corr, safe_double, truthy,
+    finite_double, ratio, safe_corr, safe_double, truthy,
 )
 from monthloom.operators.contracts import ContractViolation, enforce
 from monthloom.operators.ordering import (
-    average_ranks, grouped_quantiles, ordered_index, side_by_side,
+    average_ranks, grouped_quantiles, side_by_side,
 )
 from monthloom.operators.panel import features_complete
 from monthloom.operators.reshape import models_to_rows
@@ -615,23 +615,3 @@ def panel_metadata(panel: DataFrame) -> DataFrame:
         F.count_if(F.col("r") == "LOW").alias("low_months"),
     )
     return side_by_side([p, securities, months])
-
-
-def moment_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson correlation of a whole table from six sums."""
-    a, b = F.col(x), F.col(y)
-    s = df.where(a.isNotNull() & b.isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"),
-        F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"),
-    )
-    return s.select(
-        correlation_from_sums(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-        .alias("correlation")
-    )
-
-
-def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """First n rows per group by exact rank, whatever the group size."""
-    return ordered_index(df, group, order, "__r", "__s").where(F.col("__r") <= n).drop(
-        "__r", "__s"
-    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import month_index
-from monthloom.schema import FORMATION, REALIZED, TARGET
+from monthloom.schema import FORMATION, TARGET
 
 
 def months_of(rows: DataFrame, date: str = FORMATION) -> DataFrame:
@@ -94,8 +94,3 @@ def stock_benchmark(rows: DataFrame, date: str = FORMATION, target: str = TARGET
     return own.join(pooled, date, "left").withColumn(
         "benchmark_prediction", F.coalesce("__own", "__pooled")
     ).drop("__own", "__pooled")
-
-
-def with_realized_lag(rows: DataFrame) -> DataFrame:
-    """Rows whose realised month directly follows formation, as the windows above assume."""
-    return rows.where(F.col(REALIZED) == F.last_day(F.add_months(FORMATION, 1)))

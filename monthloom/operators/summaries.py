@@ -10,8 +10,6 @@ from monthloom.functions.scalars import finite_double, ratio, safe_corr
 from monthloom.operators.regimes import with_regime_definitions
 from monthloom.schema import FORMATION, N_PORTFOLIOS
 
-_ROOT12 = F.sqrt
-
 
 def _series_stats(x: Column) -> dict[str, Column]:
     return {

@@ -7,7 +7,7 @@ from monthloom.operators import contracts, costs, inference, portfolios, rank_ic
 from monthloom.operators.regimes import (
     attach_three_state, expanding_regimes, regime_validation, transition_counts,
 )
-from monthloom.operators.reshape import models_to_rows, prediction_export
+from monthloom.operators.reshape import prediction_export
 from monthloom.schema import FORMATION
 from monthloom.sources.sinks import write_csv, write_parquet
 from monthloom.staging import stage
@@ -106,7 +106,3 @@ def run_cross_section(
     }
     written.update({name: write_csv(df, f"{out}/{name}") for name, df in tables.items()})
     return written
-
-
-def long_predictions(wide: DataFrame) -> DataFrame:
-    return models_to_rows(wide)

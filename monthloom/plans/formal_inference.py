@@ -17,22 +17,18 @@ def check_summaries(
 ) -> None:
     """Stored descriptive means and month counts must follow from the series."""
     kept = F.col("regime_definition") != "binary"
-    by_regime = with_regime_definitions(spreads, ["overall", "three_state"])
-    contracts.enforce(
-        contracts.summary_mismatches(
-            spread_summary.where(kept), by_regime,
+    part = ["overall", "three_state"]
+    contracts.enforce_all({
+        "Stored spread summary disagrees with the series": contracts.summary_mismatches(
+            spread_summary.where(kept), with_regime_definitions(spreads, part),
             ["model", "weighting", "regime_definition", "regime"], "mean_D10_minus_D1",
             "D10_minus_D1",
         ),
-        "Stored spread summary disagrees with the series",
-    )
-    contracts.enforce(
-        contracts.summary_mismatches(
-            ic_summary.where(kept), with_regime_definitions(rank_ic, ["overall", "three_state"]),
+        "Stored rank-IC summary disagrees with the series": contracts.summary_mismatches(
+            ic_summary.where(kept), with_regime_definitions(rank_ic, part),
             ["model", "regime_definition", "regime"], "mean_spearman", "spearman_ic",
         ),
-        "Stored rank-IC summary disagrees with the series",
-    )
+    })
 
 
 def run_formal_inference(

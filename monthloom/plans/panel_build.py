@@ -41,16 +41,15 @@ def validate_panel(
         "Accounting data enters too early": contracts.accounting_timing_ok(),
         "Book-to-market identity fails": contracts.book_to_market_ok(),
     })
-    contracts.enforce(contracts.duplicate_keys(panel, ["permno", FORMATION]), "Duplicate rows")
     reports.economic_sanity(panel)
     months = panel if require_regime else panel.where(F.col("vix").isNotNull())
-    contracts.enforce(
-        contracts.regime_month_violations(months, reference), "Regimes break their rule"
-    )
-    contracts.enforce(
-        panel.agg(F.count_if(truthy("baseline_complete_case")).alias("n")).where("n = 0"),
-        "The complete-case sample is empty",
-    )
+    contracts.enforce_all({
+        "Duplicate rows": contracts.duplicate_keys(panel, ["permno", FORMATION]),
+        "Regimes break their rule": contracts.regime_month_violations(months, reference),
+        "The complete-case sample is empty": panel.agg(
+            F.count_if(truthy("baseline_complete_case")).alias("n")
+        ).where("n = 0"),
+    })
     return reports.panel_metadata(panel)
 
 
