@@ -113,7 +113,7 @@ def _(m: MarketTables) -> DataFrame:
     return _sum_by(m.spark.read.parquet(path), "permno", "shrout")
 
 
-@query("snk_02_csv_sink", "permno:i date:d prc:12 ret:12 equal_after_reading:b")
+@query("snk_02_csv_sink", "permno:i date:d prc:8 ret:8 equal_after_reading:b")
 def _(m: MarketTables) -> DataFrame:
     rows = m.prices().select("permno", "date", "prc", "ret")
     path = sinks.write_csv(rows, stage_path(m.spark, "prices-csv"))
@@ -307,7 +307,7 @@ def _(m: MarketTables) -> DataFrame:
 
 
 # --- scalar functions ------------------------------------------------------------------
-@query("fn_01_basic_math", "permno:i date:d a:8 b:8 c:8 d:i e:i f:4")
+@query("fn_01_basic_math", "permno:i date:d a:8 b:8 c:8 d:i e:i f:8")
 def _(m: MarketTables) -> DataFrame:
     prc = F.col("prc")
     return m.prices().select(
@@ -339,7 +339,7 @@ def _(m: MarketTables) -> DataFrame:
 
 @query("fn_04_is_close", "permno:i date:d close:b loose:b")
 def _(m: MarketTables) -> DataFrame:
-    a, b = F.col("prc") * F.col("shrout"), F.round(F.col("prc"), 4) * F.col("shrout")
+    a, b = F.col("prc") * F.col("shrout"), F.floor(F.col("prc") * 10000.0) / 10000.0 * F.col("shrout")
     return m.prices().select(
         "permno", "date", is_close(a, b, 0.0, 1e-3).alias("close"),
         is_close(a, b, 1e-4, 0.0).alias("loose"),

@@ -27,8 +27,9 @@ from monthloom.operators.regimes import (
 from monthloom.staging import stage
 
 FIRST_PERMNO = 10_000
-PRICE_SCALE = 300.0
-BOOK_SCALE = 2_000_000.0
+# Odd scales keep quotients away from exact decimal halves, where engines round differently.
+PRICE_SCALE = 300.007
+BOOK_SCALE = 2_000_003.0
 
 
 def _cents(c: str) -> Column:

@@ -99,7 +99,7 @@ m + 1.959963984540054 * se AS upper FROM (SELECT model, weighting, avg(D10_minus
 stddev_samp(D10_minus_D1) / sqrt(count(D10_minus_D1)) AS se FROM dwide GROUP BY 1, 2)""")
 body("fn_04_is_close", """SELECT permno, date, abs(a - b) <= 0.001 AS close,
 abs(a - b) <= 0.0001 * abs(b) AS loose
-FROM (SELECT permno, date, prc * shrout AS a, round(prc, 4) * shrout AS b FROM prices)""")
+FROM (SELECT permno, date, prc * shrout AS a, floor(prc * 10000.0) / 10000.0 * shrout AS b FROM prices)""")
 body("fn_05_text", """SELECT c_custkey, lower(c_name) AS a, upper(c_mktsegment) AS b,
 trim(c_name) || '.' || trim(c_mktsegment) AS c FROM customer""")
 body("fn_06_named_security",

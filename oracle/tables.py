@@ -19,7 +19,7 @@ FROM lineitem GROUP BY 1, 2""")
 table("lots2", """
 SELECT permno, 'T' || CAST(permno AS VARCHAR) AS ticker, caldt, date,
        year(date) * 12 + month(date) AS mi,
-       CAST(val AS DOUBLE) / CAST(qty AS DOUBLE) / 300.0 AS p, CAST(qty AS DOUBLE) AS shrout
+       CAST(val AS DOUBLE) / CAST(qty AS DOUBLE) / CAST(300.007 AS DOUBLE) AS p, CAST(qty AS DOUBLE) AS shrout
 FROM lots""")
 
 table("prices", """
@@ -88,12 +88,12 @@ FROM (SELECT a.date, any_value(a.vix) AS vix, quantile_cont(b.vix, 0.5) AS med,
 
 table("yearly", """
 SELECT l_suppkey // 2 AS k, year(l_shipdate) AS y,
-       CAST(sum(CASE WHEN l_returnflag = 'A' THEN p ELSE 0 END) AS DOUBLE) / 2000000.0 AS sa,
-       CAST(sum(CASE WHEN l_returnflag = 'N' THEN p ELSE 0 END) AS DOUBLE) / 2000000.0 AS sn,
-       CAST(sum(CASE WHEN l_returnflag = 'R' THEN p ELSE 0 END) AS DOUBLE) / 2000000.0 AS sr,
-       CAST(sum(CASE WHEN l_linestatus = 'F' THEN p ELSE 0 END) AS DOUBLE) / 2000000.0 AS sf,
-       CAST(sum(CASE WHEN l_linestatus = 'O' THEN p ELSE 0 END) AS DOUBLE) / 2000000.0 AS so,
-       CAST(sum(p) AS DOUBLE) / 2000000.0 AS tot
+       CAST(sum(CASE WHEN l_returnflag = 'A' THEN p ELSE 0 END) AS DOUBLE) / 2000003.0 AS sa,
+       CAST(sum(CASE WHEN l_returnflag = 'N' THEN p ELSE 0 END) AS DOUBLE) / 2000003.0 AS sn,
+       CAST(sum(CASE WHEN l_returnflag = 'R' THEN p ELSE 0 END) AS DOUBLE) / 2000003.0 AS sr,
+       CAST(sum(CASE WHEN l_linestatus = 'F' THEN p ELSE 0 END) AS DOUBLE) / 2000003.0 AS sf,
+       CAST(sum(CASE WHEN l_linestatus = 'O' THEN p ELSE 0 END) AS DOUBLE) / 2000003.0 AS so,
+       CAST(sum(p) AS DOUBLE) / 2000003.0 AS tot
 FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS p FROM lineitem) GROUP BY 1, 2""")
 
 table("fundafile", """
