@@ -1,7 +1,7 @@
 """All registered queries of the subpackage and their oracle SQL."""
 from __future__ import annotations
 
-from monthloom.llm import queries_tokens
+from monthloom.llm import queries_classifiers, queries_tokens
 
-QUERIES = {**queries_tokens.QUERIES}
+QUERIES = {**queries_tokens.QUERIES, **queries_classifiers.QUERIES}
 ORACLES: dict[str, str] = {}

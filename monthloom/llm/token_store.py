@@ -234,7 +234,7 @@ def _lengths(folder: str, name: str) -> np.ndarray:
     return np.frombuffer(data, "<u4", offset=24)
 
 
-def read_rows(places: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+def read_rows(places: DataFrame, folder: str, tasks: int, with_ids: bool = True) -> DataFrame:
     """Read the ids of looked-up keys back by ranges: ``doc_id, shard, offset, n_tokens,
     ids_crc32`` (``offset`` in ids from the shard's start) and, on request, ``ids``."""
     fields = [("doc_id", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()),
@@ -272,7 +272,7 @@ def read_rows(places: DataFrame, folder: str, with_ids: bool = True) -> DataFram
             source.close()
 
     ddl = "doc_id long, shard int, offset long, n_tokens long, ids_crc32 long"
-    return (places.repartitionByRange(scan_partitions(places), "shard", "row")
+    return (places.repartitionByRange(tasks, "shard", "row")
             .sortWithinPartitions("shard", "row")
             .mapInArrow(run, ddl + (", ids binary" if with_ids else "")))
 
@@ -283,6 +283,7 @@ class TokenStore:
     def __init__(self, spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0,
                  key: str = "doc_id", text: str = "text", keys_per_part: int = KEYS_PER_PART):
         self.folder = shared_folder(spark, "token-store")
+        self.tasks = scan_partitions(docs)
         self.rows = write_shards(docs, self.folder, tokenizer, end_id, key, text)
         self.bases = stage(shard_bases(self.rows), "token-bases")
         self.index, self.parts = build_index(self.rows, self.folder, keys_per_part)
@@ -291,5 +292,5 @@ class TokenStore:
         """Rows of the given keys with ``start``, the number of ids before them in the store."""
         places = stage(look_up(keys.select(key).distinct(), self.index, self.parts, self.folder,
                                key), "token-places")
-        read = read_rows(places, self.folder, with_ids)
+        read = read_rows(places, self.folder, self.tasks, with_ids)
         return read.join(self.bases, "shard").withColumn("start", F.col("base") + F.col("offset"))
