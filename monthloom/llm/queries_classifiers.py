@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import toxicity
+from monthloom.llm import quality, toxicity
 from monthloom.llm.files import table
 
 ACCEPT = 0.7
@@ -22,10 +22,21 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
                         toxicity.remainder("doc_id", 3) != 1)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Forest:
+    return quality.fit(docs, table(spark, sf_dir, "labels"),
+                       toxicity.remainder("doc_id", 4) != 2)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return verdicts(scored, toxicity.remainder("doc_id", 4) == 2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return verdicts(scored, toxicity.remainder("doc_id", 3) == 1)
 
 
-QUERIES = {"op8_toxicity": op8_toxicity}
+QUERIES = {"op1_quality": op1_quality, "op8_toxicity": op8_toxicity}
