@@ -30,7 +30,7 @@ class TaskFile:
         self.name = f"{stem}-{uuid.uuid4().hex}{suffix}"
         system, path = locate(folder)
         system.create_dir(path, recursive=True)
-        self._sink = system.open_output_stream(f"{path}/{self.name}")
+        self._sink = system.open_output_stream(f"{path}/{self.name}", compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> int:
