@@ -25,10 +25,10 @@ WITH p AS (
 ), k AS (
   SELECT hex, payload_bytes, max(page_id) AS keeper, count(*) AS n FROM d GROUP BY ALL
 ), v AS (
-  SELECT hex, list_transform(range(8), i -> ('0x' || substr(hex, (5 * i + 1)::INT, 5))::BIGINT)
+  SELECT hex, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INT, 5))::BIGINT)
          AS q FROM (SELECT DISTINCT hex FROM d)
 ), b AS (
-  SELECT hex, array_to_string(list_transform(q, x ->
+  SELECT hex, array_to_string(list_transform(q, lambda x:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 15) & 31)::INT + 1, 1) ||
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31)::INT + 1, 1) ||
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31)::INT + 1, 1) ||
