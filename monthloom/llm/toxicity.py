@@ -31,7 +31,7 @@ BUCKETS = 1 << 19
 DIM = 8
 WINDOW = 4
 N_GRAMS = (3, 4, 5)
-SAMPLE = 8_000
+SAMPLE = 6_000
 _ROWS = 500
 
 
@@ -68,25 +68,34 @@ class Model:
         return np.add.reduceat(self.gram[ids], begin) / count
 
 
-def subwords(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of buckets of each word, and the buckets: n-grams of ``<word>`` and the word itself."""
-    piece = next(slices([f"<{s}>" for s in strings], limit=1 << 62), None)
-    if piece is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def subwords(strings: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Number of buckets of each word, and the buckets: n-grams of ``<word>`` and the word itself.
+
+    Words go block by block, so that intermediate arrays stay small."""
+    counts, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(strings), block):
+        count, ids = _subwords(strings[at: at + block])
+        counts.append(count)
+        buckets.append(ids)
+    return np.concatenate(counts), np.concatenate(buckets)
+
+
+def _subwords(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    piece = next(slices([f"<{s}>" for s in strings], limit=1 << 62))
     sums = prefix_hash(piece)
     length = np.diff(piece.starts)
     stop = np.repeat(piece.starts[1:], length)
     owner = np.repeat(np.arange(len(strings)), length)
     at = np.arange(piece.size)
-    owners, buckets = [np.arange(len(strings))], [
+    owners, hashes = [np.arange(len(strings))], [
         segment_hash(sums, piece.starts[:-1], piece.starts[1:])]
     for n in N_GRAMS:
         b = at[at + n <= stop]
         owners.append(owner[b])
-        buckets.append(segment_hash(sums, b, b + n) + np.uint64(n))
+        hashes.append(segment_hash(sums, b, b + n) + np.uint64(n))
     who = np.concatenate(owners)
     order = np.argsort(who, kind="stable")
-    ids = (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    ids = (np.concatenate(hashes) & np.uint64(BUCKETS - 1)).astype(np.int32)
     return np.bincount(who, minlength=len(strings)), ids[order]
 
 
@@ -115,7 +124,7 @@ def _windows(texts: list[str]) -> Iterator[tuple]:
 def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4,
           rate: float = 4000.0, seed: int = 7) -> Model:
     """Fit embeddings and softmax together; the gradient of a document goes to its worst window
-    after a few rounds in which it spreads over all of them."""
+    after a few rounds in which it spreads over windows drawn at random."""
     labels = np.asarray(labels, np.float64)
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
@@ -133,17 +142,20 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
                 known[h] = len(strings)
                 strings.append(text[begin[at[i]]: end[at[i]]])
             ids[i] = known[h]
-        occurrence.append(ids[back])
-        window.append(win + base)
-        owner.append(doc + first)
-        width.append(size)
+        occurrence.append(ids[back].astype(np.int32))
+        window.append((win + base).astype(np.int32))
+        owner.append((doc + first).astype(np.int32))
+        width.append(size.astype(np.int32))
         base += len(doc)
     words_ = np.concatenate(occurrence)
     window_ = np.concatenate(window)
     owner_ = np.concatenate(owner)
     if not len(words_):
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    del occurrence, window, owner, known
     count, grams = subwords(strings)
+    n_words = len(strings)
+    del strings
     gram_at = np.cumsum(count) - count
     win_at = np.flatnonzero(np.diff(window_, prepend=-1))
     win_held = np.diff(win_at, append=len(words_))
@@ -154,32 +166,34 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     y = labels[docs]
 
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, DIM))
-    out = rng.normal(0, 0.3, DIM)  # difference of the two classes' softmax weights
+    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    out = rng.normal(0, 0.3, DIM).astype(np.float32)  # difference of the two classes' softmax weights
     bias = float(np.log(share / (1 - share)))
     speed = np.zeros_like(table)
+    of_win = np.repeat(np.arange(len(docs), dtype=np.int32), doc_size)
+    spread = 16
     for step in range(rounds):
         gram_logit = table @ out
         word_logit = np.add.reduceat(gram_logit[grams], gram_at) / count
         win_logit = np.add.reduceat(word_logit[words_], win_at) / win_size
-        if step < warm:
-            doc_logit = np.add.reduceat(win_logit, doc_at) / doc_size
-            chosen = np.arange(len(win_at))
-            of_doc = np.repeat(np.arange(len(docs)), doc_size)
-            scale = 1.0 / doc_size[of_doc]
+        doc_logit = np.maximum.reduceat(win_logit, doc_at)
+        if step < warm:  # a few windows of every document, drawn anew each round
+            pick = (rng.random((len(docs), spread)) * doc_size[:, None]).astype(np.int64)
+            chosen = (doc_at[:, None] + pick).ravel()
+            of_doc = np.repeat(np.arange(len(docs)), spread)
+            doc_logit = win_logit[chosen].reshape(-1, spread).mean(axis=1)
+            scale = np.float64(1 / spread)
         else:
-            doc_logit = np.maximum.reduceat(win_logit, doc_at)
-            of_win = np.repeat(np.arange(len(docs)), doc_size)
             hit = np.flatnonzero(win_logit == doc_logit[of_win])
             _, one = np.unique(of_win[hit], return_index=True)
-            chosen, of_doc, scale = hit[one], np.arange(len(docs)), np.ones(len(docs))
+            chosen, of_doc, scale = hit[one], np.arange(len(docs)), np.float64(1)
         p = 1 / (1 + np.exp(-np.clip(doc_logit + bias, -30, 30)))
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         error = (p - y) * weight / len(docs)
         g_win = error[of_doc] * scale / win_size[chosen]
         size = win_held[chosen]
         at = np.repeat(win_at[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        g_word = np.bincount(words_[at], np.repeat(g_win, size), len(strings))
+        g_word = np.bincount(words_[at], np.repeat(g_win, size), n_words)
         hot = np.flatnonzero(g_word)
         size = count[hot]
         at = np.repeat(gram_at[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -188,8 +202,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
         g_out = g_gram[touched] @ table[touched]
         speed *= 0.9
         speed[touched] += np.outer(g_gram[touched], out)
-        table -= rate * speed
-        out -= 0.1 * np.clip(g_out, -1, 1)
+        table -= np.float32(rate) * speed
+        out -= np.float32(0.1) * np.clip(g_out, -1, 1).astype(np.float32)
         bias -= float(error.sum())
     return Model(table @ out, bias)
 
@@ -255,4 +269,6 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     ship_package(docs.sparkSession)
     rows = (labelled_sample(docs, labels, label, usable, sample, key, text)
             .select(key, "text", "label").toPandas().sort_values(key, kind="stable"))
-    return train(rows["text"].tolist(), rows["label"].to_numpy(np.float64))
+    texts, marks = rows["text"].tolist(), rows["label"].to_numpy(np.float64)
+    del rows
+    return train(texts, marks)
