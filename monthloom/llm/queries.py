@@ -1,8 +1,10 @@
 """All registered queries of the subpackage and their oracle SQL."""
 from __future__ import annotations
 
-from monthloom.llm import queries_classifiers, queries_tokens, queries_vectors, queries_web
+from monthloom.llm import (
+    queries_classifiers, queries_texts, queries_tokens, queries_vectors, queries_web,
+)
 
-QUERIES = {**queries_classifiers.QUERIES, **queries_tokens.QUERIES,
+QUERIES = {**queries_classifiers.QUERIES, **queries_texts.QUERIES, **queries_tokens.QUERIES,
            **queries_vectors.QUERIES, **queries_web.QUERIES}
 ORACLES: dict[str, str] = {**queries_web.ORACLES}
