@@ -13,7 +13,6 @@ no rows; without labels of both kinds every score is the share of label 1 (0 wit
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,17 +22,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from monthloom.llm.textcodes import (
     LETTER, NUMBER, OTHER, SPACE, class_table, mix, prefix_hash, segment_hash, slices, words,
 )
-from monthloom.llm.toxicity import labelled_sample
+from monthloom.llm.toxicity import labelled_sample, mapped
 from monthloom.shipping import ship_package
 
 SAMPLE = 20_000
 STRETCH = 32
 BINS = 64
-_ROWS = 500
 
 NAMES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "other", "space", "newline",
@@ -260,31 +259,16 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: f
 
 # --- Spark -------------------------------------------------------------------------------------
 
-def _mapped(source: DataFrame, names: list[str], ddl: str, make) -> DataFrame:
-    """Replace the last column, texts, by the columns that ``make`` computes from them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                new = make(part.column(len(names)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new.values()],
-                                                 names=[*names, *new])
-
-    kept = ", ".join(f"`{n}` {source.schema[n].dataType.simpleString()}" for n in names)
-    return source.mapInArrow(run, f"{kept}, {ddl}")
-
-
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality",
         sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Forest:
     ship_package(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, usable, sample, key, text)
 
-    def make(texts: list[str]) -> dict[str, pa.Array]:
-        x = statistics(texts)
-        return {"x": pa.array(list(x), pa.list_(pa.float64()))}
+    def make(texts: list[str]) -> list[pa.Array]:
+        return [pa.array(list(statistics(texts)), pa.list_(pa.float64()))]
 
-    got: pd.DataFrame = _mapped(rows.select(key, "label", "text"), [key, "label"],
-                                "x array<double>", make).toPandas()
+    got: pd.DataFrame = mapped(rows.select(key, "label", "text"), [key, "label"],
+                               {"x": ArrayType(DoubleType())}, make).toPandas()
     got = got.sort_values(key, kind="stable")
     x = np.vstack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(NAMES)))
     return grow(x, got["label"].to_numpy(np.float64))
@@ -296,8 +280,8 @@ def score(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "tex
     ship_package(docs.sparkSession)
     names = list(dict.fromkeys([key, *keep]))
 
-    def make(texts: list[str]) -> dict[str, pa.Array]:
-        return {"score": pa.array(forest.scores(statistics(texts)))}
+    def make(texts: list[str]) -> list[pa.Array]:
+        return [pa.array(forest.scores(statistics(texts)))]
 
-    source = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    return _mapped(source, names, "score double", make)
+    return mapped(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__text")), names,
+                  {"score": DoubleType()}, make)

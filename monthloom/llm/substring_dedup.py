@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from monthloom.llm.induced_sort import repeated
 from monthloom.llm.textcodes import mix, point_codes, powers
@@ -286,9 +287,10 @@ def merged(spans: list, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                    keep: tuple[str, ...] = (), length: int = LENGTH, gram: int = GRAM,
-                   shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, hot: int = HOT, as_text: bool = False
+                   ) -> DataFrame:
     """Every row's key and ``keep`` columns with ``n_bytes, n_removed, n_spans`` and ``kept``, the
-    bytes that stay."""
+    bytes that stay; ``as_text`` makes them a string without the characters that were cut in two."""
     if gram > length:
         raise ValueError("a gram must not be longer than the strings it anchors")
     ship_package(docs.sparkSession)
@@ -308,13 +310,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     lo, hi = merged(spans or [], len(data))
                     edges = [0, *np.column_stack([lo, hi]).ravel().tolist(), len(data)]
                     stay = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    rows.append((len(data), len(data) - len(stay), len(lo), stay))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    gone = len(data) - len(stay)
+                    rows.append((len(data), gone, len(lo),
+                                 stay.decode("utf-8", "ignore") if as_text else stay))
+                kinds = (pa.int64(), pa.int64(), pa.int64(),
+                         pa.string() if as_text else pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(names)],
                      *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))],
                     names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    ddl = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return joined.mapInArrow(
-        run, f"{ddl}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, StructType(
+        [StructField(n, docs.schema[n].dataType, True) for n in names]
+        + [StructField(n, LongType(), True) for n in ("n_bytes", "n_removed", "n_spans")]
+        + [StructField("kept", StringType() if as_text else BinaryType(), True)]))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from monthloom.llm.textcodes import mix, prefix_hash, segment_hash, slices, words
 from monthloom.shipping import ship_package
@@ -243,25 +244,35 @@ class _Scorer:
         return 1 / (1 + np.exp(-np.clip(z + self.model.bias, -30, 30)))
 
 
+def mapped(source: DataFrame, names: list[str], added: dict[str, DataType], make) -> DataFrame:
+    """Keep the columns ``names`` of ``source`` and replace the one after them, texts, by the
+    Arrow arrays that ``make`` computes from a list of texts."""
+    kept = [source.schema[n] for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                new = make(part.column(len(names)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*names, *added])
+
+    return source.mapInArrow(run, StructType(
+        [StructField(f.name, f.dataType, True) for f in kept]
+        + [StructField(n, t, True) for n, t in added.items()]))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
           keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row's key, the columns in ``keep`` and its ``score``."""
     ship_package(docs.sparkSession)
     names = list(dict.fromkeys([key, *keep]))
-    source = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    fields = [source.schema[n] for n in names]
+    scorer = _Scorer(model)  # each worker unpickles its own and keeps it for its task
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                s = scorer.scores(part.column(len(names)).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(s)], names=[*names, "score"])
+    def make(texts: list[str]) -> list[pa.Array]:
+        return [pa.array(scorer.scores(texts))]
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, f"{ddl}, score double")
+    return mapped(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__text")), names,
+                  {"score": DoubleType()}, make)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic",
