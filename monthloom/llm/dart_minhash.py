@@ -166,6 +166,22 @@ def shingles(texts: list[str], counted: bool = False
                weight if counted else np.ones(len(at)))
 
 
+def _fingerprints(who: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int
+                  ) -> list[pa.Array]:
+    """Two 64-bit hashes of each weighted set, null for an empty one."""
+    out = []
+    heft = (weight * 4096).astype(np.uint64)
+    at = np.searchsorted(who, np.arange(n))
+    there = np.bincount(who, minlength=n) > 0
+    for salt in (11, 12):
+        one = mix(mix(value + _odd(salt)) ^ heft)
+        total = np.zeros(n, np.uint64)
+        if len(one):
+            total[there] = np.add.reduceat(one, at[there])
+        out.append(pa.array(total.view(np.int64), mask=~there))
+    return out
+
+
 def _batches(batches: Iterator[pa.RecordBatch], texts_at: int) -> Iterator[tuple]:
     for batch in batches:
         for at in range(0, batch.num_rows, _TEXTS):
@@ -173,10 +189,9 @@ def _batches(batches: Iterator[pa.RecordBatch], texts_at: int) -> Iterator[tuple
             yield part, part.column(texts_at).to_pylist()
 
 
-def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, counted: bool
-           ) -> DataFrame:
-    """``doc_id, n, set_a, set_b, bands`` of every row: total weight, a 128-bit fingerprint of its
-    weighted shingles (null without words) and one hash per band."""
+def signed(source: DataFrame, bands: int, rows: int, counted: bool) -> DataFrame:
+    """``doc_id, n, set_a, set_b, bands`` of every row ``doc_id, text``: total weight, a 128-bit
+    fingerprint of its weighted shingles (null without words) and one hash per band."""
     k = bands * rows
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.float64()), ("set_a", pa.int64()),
                         ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -189,57 +204,42 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, counted:
                 for r in range(rows):
                     band = mix(band * np.uint64(0x100000001B3) + sketch[:, :, r])
                 band += np.arange(bands, dtype=np.uint64) * _odd(7)
-                prints = []
-                heft = (weight * 4096).astype(np.uint64)
-                at = np.searchsorted(who, np.arange(n))
-                there = np.bincount(who, minlength=n) > 0
-                for salt in (11, 12):
-                    one = mix(mix(value + _odd(salt)) ^ heft)
-                    total = np.zeros(n, np.uint64)
-                    if len(one):
-                        total[there] = np.add.reduceat(one, at[there])
-                    prints.append(pa.array(total.view(np.int64), mask=~there))
+                prints = _fingerprints(who, value, weight, n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).slice(first, n), pa.array(np.bincount(who, weight, n)),
                      *prints, pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))],
                     schema=schema)
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"),
-                         F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(
+    return source.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n double, set_a long, set_b long, bands array<long>")
 
 
-def _shingle_lists(docs: DataFrame, wanted: DataFrame, key: str, text: str, counted: bool
-                   ) -> DataFrame:
-    """``doc_id, items, weights`` of the wanted keys, items ascending."""
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64())),
-                        ("weights", pa.list_(pa.float64()))])
+def _shingle_lists(texts: DataFrame, counted: bool) -> DataFrame:
+    """``set_a, set_b, items, weights`` of the column ``text``, items ascending; weights are left
+    empty where all are one."""
+    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()),
+                        ("items", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _batches(batches, 1):
-            for first, n, who, value, weight in shingles(texts, counted):
+        for _, texts in _batches(batches, 0):
+            for _, n, who, value, weight in shingles(texts, counted):
                 edge = np.searchsorted(who, np.arange(n + 1)).astype(np.int32)
-                flat = pa.array(value.view(np.int64))
-                items = pa.ListArray.from_arrays(pa.array(edge), flat)
+                items = pa.ListArray.from_arrays(pa.array(edge), pa.array(value.view(np.int64)))
                 heft = pa.ListArray.from_arrays(
                     pa.array(edge if counted else np.zeros(n + 1, np.int32)),
                     pa.array(weight if counted else np.zeros(0)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(first, n), items, heft], schema=schema)
+                    [*_fingerprints(who, value, weight, n), items, heft], schema=schema)
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(wanted, "doc_id", "left_semi")
-    lists = rows.mapInArrow(run, "doc_id long, items array<long>, weights array<double>")
-    return lists
+    return texts.select("text").mapInArrow(
+        run, "set_a long, set_b long, items array<long>, weights array<double>")
 
 
 def _similar(pairs: DataFrame, lists: DataFrame, least: float, counted: bool) -> DataFrame:
     """Pairs ``a, b`` with exact similarity of at least ``least``."""
-    one = lists.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"),
+    one = lists.select(F.col("node").alias("a"), F.col("items").alias("ia"),
                        F.col("weights").alias("wa"))
-    two = lists.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"),
+    two = lists.select(F.col("node").alias("b"), F.col("items").alias("ib"),
                        F.col("weights").alias("wb"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
     if not counted:
@@ -260,54 +260,62 @@ def near_texts(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text:
                bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """``doc_id, class_id, kept`` of every row; ``class_id`` is the smallest key of its class."""
     ship_package(docs.sparkSession)
-    every = stage(signed(docs, key, text, bands, rows, counted), "dart-signatures")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"),
+                         F.coalesce(F.col(text), F.lit("")).alias("text"))
+    every = stage(signed(source, bands, rows, counted), "dart-signatures")
     worded = every.filter("set_a is not null and doc_id is not null")
-    # One representative of equal shingle sets: its key, size and bands.
-    sets = worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    reps = worded.join(sets, ["set_a", "set_b"]).filter("doc_id = rep").dropDuplicates(["rep"])
-    member = stage(reps.select("rep", "n", F.explode("bands").alias("band")), "dart-bands")
+    # One node per distinct shingle set; its number is fixed by being written once.
+    sets = stage(worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+                 .withColumn("node", F.monotonically_increasing_id()), "dart-sets")
+    member = stage(
+        worded.join(sets, ["set_a", "set_b"]).filter("doc_id = rep").dropDuplicates(["node"])
+        .select("node", "rep", "n", F.explode("bands").alias("band")), "dart-bands")
     crowd = member.groupBy("band").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     shared = stage(member.join(crowd, "band"), "dart-buckets")
     # A document's company over all its buckets: the source of a family of copies has most.
-    company = shared.groupBy("rep").agg(F.sum("crowd").alias("company"))
-    held = stage(shared.select("band", "rep", "n").join(company, "rep"), "dart-members")
-    lists = stage(_shingle_lists(
-        docs.join(company.select(F.col("rep").alias("__rep")),
-                  F.col(key) == F.col("__rep"), "left_semi"),
-        company.select(F.col("rep").alias("doc_id")), key, text, counted)
-        .dropDuplicates(["doc_id"]), "dart-lists")
+    company = stage(shared.groupBy("node", "rep").agg(F.sum("crowd").alias("company")),
+                    "dart-company")
+    held = stage(shared.select("band", "node", "n").join(company.drop("rep"), "node"),
+                 "dart-members")
+    wanted = company.select(F.col("rep").alias("doc_id"))
+    lists = stage(
+        _shingle_lists(source.join(wanted, "doc_id", "left_semi"), counted)
+        .join(sets.join(company.select("node"), "node", "left_semi"), ["set_a", "set_b"])
+        .select("node", "items", "weights").dropDuplicates(["node"]), "dart-lists")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Sets of too different sizes cannot be similar enough."""
         return pairs.filter(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
 
-    hub = held.groupBy("band").agg(F.max(F.struct("company", (-F.col("rep")).alias("neg"), "n"))
+    hub = held.groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("neg"), "n"))
                                    .alias("h"))
     hub = hub.select("band", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("nh"))
-    star = sized(held.join(hub, "band").filter("rep <> hub").select(
-        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"),
+    star = sized(held.join(hub, "band").filter("node <> hub").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
         F.col("n").alias("na"), F.col("nh").alias("nb"))).select("a", "b").distinct()
     star = stage(star, "dart-stars")
     first = stage(_similar(star, lists, least, counted), "dart-links")
     tied = components(first)
 
     # Second round: pairs of a bucket across the components that the first one left apart.
-    apart = held.join(tied, held["rep"] == tied["node"], "left").select(
-        "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    apart = held.join(tied, "node", "left").select(
+        "band", "node", "n", F.coalesce("component", "node").alias("component"))
     split = apart.groupBy("band").agg(F.min("component").alias("lo"),
                                       F.max("component").alias("hi")).filter("lo < hi")
     open_ = stage(apart.join(split.select("band"), "band"), "dart-open")
-    left = open_.select("band", F.col("rep").alias("a"), F.col("n").alias("na"),
+    left = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"),
                         F.col("component").alias("ca"))
-    right = open_.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"),
+    right = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"),
                          F.col("component").alias("cb"))
     cross = sized(left.join(right, "band").filter("a < b and ca <> cb")).select("a", "b")
     cross = cross.distinct().join(star, ["a", "b"], "left_anti")
     second = _similar(cross, lists, least, counted)
     links = stage(first.unionByName(second), "dart-links")
-    final = components(links)
-    classes = sets.join(final, sets["rep"] == final["node"], "left").select(
-        "set_a", "set_b", F.coalesce("component", "rep").alias("class"))
+    placed = stage(sets.join(components(links), "node", "left").select(
+        "set_a", "set_b", "rep", F.coalesce("component", "node").alias("component")),
+        "dart-classes")
+    classes = placed.join(placed.groupBy("component").agg(F.min("rep").alias("class")),
+                          "component").select("set_a", "set_b", "class")
     out = every.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(),
                                        F.coalesce("class", "doc_id")).alias("class_id"),

@@ -74,8 +74,9 @@ def _representatives(vectors: DataFrame, key: str, vector: str, label: str) -> t
     classes = rows.filter("good").groupBy("c1", "c2").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("copies"),
         F.any_value("label").alias("label"), F.any_value("vector").alias("vector"))
-    # Classes are numbered by their hash, which no two of them share.
-    return rows, stage(classes, "vector-classes")
+    # A class keeps the number under which it is written.
+    return rows, stage(classes.withColumn("class", F.monotonically_increasing_id()),
+                       "vector-classes")
 
 
 def _window_links(classes: DataFrame, least: float, passes: int, bits: int, window: int
@@ -97,11 +98,9 @@ def _window_links(classes: DataFrame, least: float, passes: int, bits: int, wind
                         [pa.array(np.full(len(at), p, np.int32)), pa.array(places[:, p]),
                          part.column(0), part.column(1)], schema=schema)
 
-    groups = classes.select(F.xxhash64("label", F.size("vector")).alias("group"), "c1", "vector")
-    placed = groups.select("c1", "vector", "group")
-    keyed = placed.select("c1", "vector").mapInArrow(
-        hashed, "pass int, place long, class long, vector array<double>").join(
-        placed.select(F.col("c1").alias("class"), "group"), "class")
+    groups = classes.select("class", F.struct("label", F.size("vector")).alias("group"))
+    keyed = classes.select("class", "vector").mapInArrow(
+        hashed, "pass int, place long, class long, vector array<double>").join(groups, "class")
     ordered = ordered_index(keyed, ["group", "pass"], ["place", "class"], "at", "size")
     block = F.floor((F.col("at") - 1) / window)
     last = F.floor((F.col("size") - 1) / window)
@@ -180,17 +179,17 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, key: str = "vec_id",
     links = _window_links(classes, least, passes, bits, window)
     tied = components(links)
     members = stage(
-        classes.join(tied, classes["c1"] == tied["node"])
-        .select(F.col("c1").alias("class"), "component", "copies", "least", "vector"),
+        classes.join(tied, classes["class"] == tied["node"])
+        .select("class", "component", "copies", "least", "vector"),
         "vector-members")
     roots = members.groupBy("component").agg(F.min("least").alias("component_id"))
     counted = (members.select("class", "component")
                .join(_count_links(members, least, block), "class").join(roots, "component")
-               .select(F.col("class").alias("c1"), "links", "component_id"))
-    known = stage(classes.select("c1", "copies", "least").join(counted, "c1", "left").select(
-        "c1", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+               .select("class", "links", "component_id"))
+    known = stage(classes.drop("vector").join(counted, "class", "left").select(
+        "c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         F.coalesce("component_id", "least").alias("component_id")), "vector-links")
-    out = rows.select("vec_id", "c1").join(known, "c1", "left").select(
+    out = rows.select("vec_id", "c1", "c2").join(known, ["c1", "c2"], "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
