@@ -123,7 +123,7 @@ def _windows(texts: list[str]) -> Iterator[tuple]:
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4,
-          rate: float = 4000.0, seed: int = 7) -> Model:
+          rate: float = 4000.0, least_texts: int = 8, seed: int = 7) -> Model:
     """Fit embeddings and softmax together; the gradient of a document goes to its worst window
     after a few rounds in which it spreads over windows drawn at random."""
     labels = np.asarray(labels, np.float64)
@@ -158,6 +158,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     n_words = len(strings)
     del strings
     gram_at = np.cumsum(count) - count
+    # Subwords of few texts would let a text be learned by heart; they stay at zero.
+    word_texts = np.bincount(np.unique(
+        words_.astype(np.int64) * len(texts) + owner_[window_]) // len(texts), minlength=n_words)
+    spread_of = np.bincount(grams, np.repeat(word_texts, count), BUCKETS)
+    common = spread_of >= least_texts
     win_at = np.flatnonzero(np.diff(window_, prepend=-1))
     win_held = np.diff(win_at, append=len(words_))
     win_size = np.concatenate(width)
@@ -168,6 +173,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
 
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    table[~common] = 0
     out = rng.normal(0, 0.3, DIM).astype(np.float32)  # difference of the two classes' softmax weights
     bias = float(np.log(share / (1 - share)))
     speed = np.zeros_like(table)
@@ -199,7 +205,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
         size = count[hot]
         at = np.repeat(gram_at[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         g_gram = np.bincount(grams[at], np.repeat(g_word[hot] / size, size), BUCKETS)
-        touched = np.flatnonzero(g_gram)
+        touched = np.flatnonzero((g_gram != 0) & common)
         g_out = g_gram[touched] @ table[touched]
         speed *= 0.9
         speed[touched] += np.outer(g_gram[touched], out)

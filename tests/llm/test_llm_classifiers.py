@@ -9,6 +9,8 @@ import __spark_entry__ as entry
 from monthloom.llm import quality, toxicity
 from tests.conftest import MEDIUM
 
+LARGE = "/root/testdata/sf0.1"  # the smaller tables hold 28 toxic documents to learn from
+
 ODD = [None, "", " ", "x", "!!!", "same text here", "same text here", "w " * 20_000, "é\n\n|||", "7"]
 
 
@@ -18,14 +20,14 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
 
 
-@pytest.mark.parametrize(("name", "label", "modulus", "rest", "least"), [
-    ("op1_quality", "quality", 4, 2, 0.95), ("op8_toxicity", "toxic", 3, 1, 0.85),
+@pytest.mark.parametrize(("name", "folder", "label", "modulus", "rest", "least"), [
+    ("op1_quality", MEDIUM, "quality", 4, 2, 0.95), ("op8_toxicity", LARGE, "toxic", 3, 1, 0.94),
 ])
-def test_held_out_accuracy(spark, name, label, modulus, rest, least):
-    rows = {r.doc_id: r for r in entry.queries()[name](spark, MEDIUM).collect()}
-    assert len(rows) == spark.read.parquet(f"{MEDIUM}/documents.parquet").count()
+def test_held_out_accuracy(spark, name, folder, label, modulus, rest, least):
+    rows = {r.doc_id: r for r in entry.queries()[name](spark, folder).collect()}
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
     right = total = 0
-    for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect():
+    for r in spark.read.parquet(f"{folder}/labels.parquet").collect():
         out = rows[r.doc_id]
         assert out.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == rest)
         assert 0 <= out.score <= 1 and out.predicted == int(out.score >= 0.7)
