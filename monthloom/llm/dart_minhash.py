@@ -14,10 +14,12 @@ five-word shingles (case-folded words; texts of fewer words are one shingle; by
 distinct shingle weighs one, ``counted`` weighs it by its occurrences). Texts with equal shingle
 weights are one representative, so thousands of exact copies cost one comparison.
 
-Within a band's bucket all members are compared with the most connected one, not with each other;
-what is then still in several components of the bucket is compared across them in a second round.
-So a bucket of n near copies costs n comparisons, and no pair that shares a band is lost. Shingle
-lists travel only for documents that share a band with another.
+Within a band's bucket all members are compared with ``HUBS`` well connected ones, not with each
+other; the choice differs from band to band, so a member meets many hubs. What is then still in
+several components of the bucket is compared across them in a second round. So a bucket of n near
+copies costs about ``HUBS`` n comparisons, and no pair that shares a band is lost. Shingle lists
+travel only for documents that share a band with another; a bit set of fixed size, which every
+task gets, keeps the others' texts from being shuffled for that.
 
 Texts without words link with nothing. Null keys link with nothing. Rows that repeat a key are
 separate rows of one class. An empty table gives no rows.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,8 @@ from monthloom.staging import stage
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 24
+HUBS = 4
+FILTER_BYTES = 1 << 23
 ROWS = 5
 _TEXTS = 500
 _FIRST_RANK = -3  # the lowest rank range is [0, 2**-3)
@@ -214,24 +219,61 @@ def signed(source: DataFrame, bands: int, rows: int, counted: bool) -> DataFrame
         run, "doc_id long, n double, set_a long, set_b long, bands array<long>")
 
 
-def _shingle_lists(texts: DataFrame, counted: bool) -> DataFrame:
-    """``set_a, set_b, items, weights`` of the column ``text``, items ascending; weights are left
-    empty where all are one."""
+def _key_bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """Two bit numbers of each key in a bit set of ``size`` bytes."""
+    h = keys.astype(np.int64).view(np.uint64)
+    bits = np.uint64(8 * size)
+    return np.stack([mix(h + _odd(s)) % bits for s in (201, 202)])
+
+
+def key_filter(keys: DataFrame, size: int = FILTER_BYTES) -> np.ndarray:
+    """Bit set of the keys: ``size`` bytes whatever their number. Tasks set bits of parts of it,
+    which are united part by part before the driver gets each part once. With very many keys it
+    lets others pass too, which costs time and changes nothing."""
+    part = 1 << 16
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.unique(_key_bits(batch["key"].to_numpy(), size)).astype(np.int64)
+            yield pd.DataFrame({"part": at // (8 * part), "bit": at % (8 * part)})
+
+    def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(8 * part, bool)
+        flags[rows["bit"].to_numpy()] = True
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "bytes": [np.packbits(flags).tobytes()]})
+
+    marked = (keys.select("key").mapInPandas(bits, "part long, bit long").distinct()
+              .groupBy("part").applyInPandas(unite, "part long, bytes binary"))
+    out = np.zeros(size, np.uint8)
+    for row in marked.toLocalIterator():
+        out[row["part"] * part: (row["part"] + 1) * part] = np.frombuffer(row["bytes"], np.uint8)
+    return out
+
+
+def _shingle_lists(source: DataFrame, held: np.ndarray, counted: bool) -> DataFrame:
+    """``set_a, set_b, items, weights`` of rows ``doc_id, text`` whose key passes the bit set,
+    items ascending; weights are left empty where all are one."""
     schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()),
                         ("items", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _batches(batches, 0):
-            for _, n, who, value, weight in shingles(texts, counted):
-                edge = np.searchsorted(who, np.arange(n + 1)).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(edge), pa.array(value.view(np.int64)))
-                heft = pa.ListArray.from_arrays(
-                    pa.array(edge if counted else np.zeros(n + 1, np.int32)),
-                    pa.array(weight if counted else np.zeros(0)))
-                yield pa.RecordBatch.from_arrays(
-                    [*_fingerprints(who, value, weight, n), items, heft], schema=schema)
+        for batch in batches:
+            keys = np.asarray(batch.column(0).fill_null(0))
+            bit = _key_bits(keys, len(held)).astype(np.int64)
+            found = ((held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).all(axis=0)
+            chosen = batch.take(pa.array(np.flatnonzero(found)))
+            for _, texts in _batches([chosen], 1):
+                for _, n, who, value, weight in shingles(texts, counted):
+                    edge = np.searchsorted(who, np.arange(n + 1)).astype(np.int32)
+                    items = pa.ListArray.from_arrays(pa.array(edge),
+                                                     pa.array(value.view(np.int64)))
+                    heft = pa.ListArray.from_arrays(
+                        pa.array(edge if counted else np.zeros(n + 1, np.int32)),
+                        pa.array(weight if counted else np.zeros(0)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*_fingerprints(who, value, weight, n), items, heft], schema=schema)
 
-    return texts.select("text").mapInArrow(
+    return source.select("doc_id", "text").mapInArrow(
         run, "set_a long, set_b long, items array<long>, weights array<double>")
 
 
@@ -267,29 +309,34 @@ def near_texts(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text:
     # One node per distinct shingle set; its number is fixed by being written once.
     sets = stage(worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
                  .withColumn("node", F.monotonically_increasing_id()), "dart-sets")
-    member = stage(
-        worded.join(sets, ["set_a", "set_b"]).filter("doc_id = rep").dropDuplicates(["node"])
-        .select("node", "rep", "n", F.explode("bands").alias("band")), "dart-bands")
+    first_row = worded.join(sets, ["set_a", "set_b"]).filter("doc_id = rep")
+    member = stage(first_row.select("node", F.explode("bands").alias("band")).distinct(),
+                   "dart-bands")
     crowd = member.groupBy("band").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     shared = stage(member.join(crowd, "band"), "dart-buckets")
     # A document's company over all its buckets: the source of a family of copies has most.
-    company = stage(shared.groupBy("node", "rep").agg(F.sum("crowd").alias("company")),
-                    "dart-company")
-    held = stage(shared.select("band", "node", "n").join(company.drop("rep"), "node"),
+    size = worded.groupBy("set_a", "set_b").agg(F.max("n").alias("n"))
+    company = stage(
+        shared.groupBy("node").agg(F.sum("crowd").alias("company")).join(sets, "node")
+        .join(size, ["set_a", "set_b"]), "dart-company")
+    held = stage(shared.select("band", "node").join(company.select("node", "n", "company"), "node"),
                  "dart-members")
-    wanted = company.select(F.col("rep").alias("doc_id"))
+    passing = key_filter(company.select(F.col("rep").alias("key")))
     lists = stage(
-        _shingle_lists(source.join(wanted, "doc_id", "left_semi"), counted)
-        .join(sets.join(company.select("node"), "node", "left_semi"), ["set_a", "set_b"])
+        _shingle_lists(source, passing, counted)
+        .join(company.select("set_a", "set_b", "node"), ["set_a", "set_b"])
         .select("node", "items", "weights").dropDuplicates(["node"]), "dart-lists")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Sets of too different sizes cannot be similar enough."""
         return pairs.filter(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
 
-    hub = held.groupBy("band").agg(F.max(F.struct("company", (-F.col("node")).alias("neg"), "n"))
-                                   .alias("h"))
-    hub = hub.select("band", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("nh"))
+    slot = F.pmod(F.xxhash64("node", "band"), F.lit(HUBS))
+    best = F.struct("company", (-F.col("node")).alias("neg"), "n")
+    hub = held.groupBy("band").agg(*[F.max(F.when(slot == i, best)).alias(f"h{i}")
+                                     for i in range(HUBS)])
+    hub = hub.select("band", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).filter(
+        "h is not null").select("band", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("nh"))
     star = sized(held.join(hub, "band").filter("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
         F.col("n").alias("na"), F.col("nh").alias("nb"))).select("a", "b").distinct()
