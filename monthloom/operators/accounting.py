@@ -78,6 +78,8 @@ def annual_accounting(funda: DataFrame) -> DataFrame:
     newest = [F.col("datadate").desc()]
     if "fyear" in dated.columns:
         newest.append(F.col("fyear").desc_nulls_last())
+    # What still ties is settled by the whole row, so that no run depends on row order.
+    newest += [F.to_json(F.struct(*sorted(funda.columns))).desc()]
     # A firm-year holds a handful of filings; the rank filter is applied before the shuffle too.
     w = Window.partitionBy("gvkey", "accounting_year").orderBy(*newest)
     return (

@@ -1,7 +1,8 @@
 """Boosted regression trees on Spark ML; every fit is a distributed job."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from monthloom.operators.contracts import enforce, incomplete_model_inputs
 from monthloom.operators.splits import forward_folds
 from monthloom.schema import FEATURES, FORMATION, REALIZED, TARGET
+from monthloom.staging import stage_path
 
 # Default tree settings.
 DEFAULTS = {"n_estimators": 100, "max_depth": 2, "learning_rate": 0.05, "subsample": 0.8,
             "colsample_bytree": 0.8}
+_POOL = 4  # fits in flight; each is a distributed job
 
 
 def _estimator(params: Mapping[str, Any], seed: int) -> GBTRegressor:
@@ -36,6 +39,20 @@ def with_vector(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFram
     ).transform(rows)
 
 
+def staged_vectors(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Model rows with their vectors, written once in folders by month that all fits share."""
+    columns = dict.fromkeys(["permno", FORMATION, REALIZED, TARGET, "__x"])
+    path = stage_path(rows.sparkSession, "tree-vectors")
+    vectors = with_vector(rows, features).select(*columns)
+    vectors.hint("rebalance", FORMATION).write.partitionBy(FORMATION).parquet(path)
+    return rows.sparkSession.read.schema(vectors.schema).parquet(path)
+
+
+def _each(work: Callable, tasks: Sequence) -> list:
+    with ThreadPoolExecutor(_POOL) as pool:
+        return list(pool.map(work, tasks))
+
+
 def training_rows(vectors: DataFrame, month) -> DataFrame:
     """Rows observable at a formation month."""
     at = F.lit(month).cast("date")
@@ -53,35 +70,34 @@ def score_refits(
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions of each refit's test months, and the feature importances.
 
-    The loop runs over refit months, a short calendar list; rows stay in Spark.
+    Refits are independent; a small pool of driver threads submits their Spark jobs. Each writes
+    its scores below one table, partitioned by refit month, so there is no union of branches.
     """
     enforce(incomplete_model_inputs(sample), "Models need complete rows")
-    vectors = with_vector(sample, features)
-    months = [r[0] for r in calendar.select("fit_month").distinct().orderBy("fit_month").collect()]
-    parts, importances = [], []
-    for month in months:
+    spark = sample.sparkSession
+    vectors = staged_vectors(sample, features)
+    plan: dict = {}
+    for test, month in calendar.select("test_month", "fit_month").collect():
+        plan.setdefault(month, []).append(test)
+    path = stage_path(spark, "tree-scores")
+
+    def refit(month) -> list[tuple]:
         model = fit(vectors, month, params, seed)
-        tests = calendar.where(F.col("fit_month") == F.lit(month)).select(
-            F.col("test_month").alias(FORMATION)
-        )
-        rows = vectors.join(tests, FORMATION, "left_semi")
-        parts.append(model.transform(rows).select(
+        rows = vectors.where(F.col(FORMATION).isin(plan[month]))  # prunes to these months' files
+        model.transform(rows).select(
             "permno", FORMATION, F.col("__tree_prediction").alias("xgboost_prediction")
-        ))
-        importances += [
-            (month, "xgboost", f, float(v))
-            for f, v in zip(features, model.featureImportances.toArray(), strict=True)
-        ]
-    spark = sample.sparkSession
+        ).write.parquet(f"{path}/fit_month={month}")  # a folder of its own: jobs run side by side
+        return [(month, "xgboost", f, float(v))
+                for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+
+    importances = [row for rows in _each(refit, sorted(plan)) for row in rows]
     table = spark.createDataFrame(
         importances, "refit_date DATE, model STRING, predictor STRING, feature_importance DOUBLE"
     )
-    out = parts[0] if parts else spark.createDataFrame(
-        [], f"permno BIGINT, {FORMATION} DATE, xgboost_prediction DOUBLE"
-    )
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, table
+    scores = f"permno BIGINT, {FORMATION} DATE, xgboost_prediction DOUBLE"
+    if not plan:
+        return spark.createDataFrame([], scores), table
+    return spark.read.schema(f"{scores}, fit_month DATE").parquet(path).drop("fit_month"), table
 
 
 def tune(
@@ -90,21 +106,23 @@ def tune(
 ) -> DataFrame:
     """Mean validation error per parameter set over forward-chaining folds."""
     enforce(incomplete_model_inputs(rows), "Tuning needs complete rows")
-    vectors = with_vector(rows, features)
+    vectors = staged_vectors(rows, features)
     folds = [r[0] for r in forward_folds(rows, n_splits, min_train_months)
              .select("validation_month").orderBy("validation_month").collect()]
-    results = None
-    for i, params in enumerate(grid):
-        for month in folds:
-            model = fit(vectors, month, params, seed)
-            held = vectors.where(F.col(FORMATION) == F.lit(month).cast("date"))
-            gap = F.col(TARGET) - F.col("__tree_prediction")
-            part = model.transform(held).agg(F.avg(gap * gap).alias("mse")).select(
-                F.lit(i).alias("grid_index"), "mse"
-            )
-            results = part if results is None else results.unionByName(part)
-    if results is None:
+    if not folds or not grid:
         raise ValueError("Not enough months for forward-chaining selection.")
+
+    def error(task: tuple) -> tuple:
+        i, month = task
+        held = vectors.where(F.col(FORMATION) == F.lit(month).cast("date"))
+        gap = F.col(TARGET) - F.col("__tree_prediction")
+        scored = fit(vectors, month, grid[i], seed).transform(held)
+        return i, scored.agg(F.avg(gap * gap)).first()[0]
+
+    tasks = [(i, month) for i in range(len(grid)) for month in folds]
+    results = rows.sparkSession.createDataFrame(
+        list(_each(error, tasks)), "grid_index INT, mse DOUBLE"
+    )
     return results.groupBy("grid_index").agg(
         F.avg("mse").alias("mean_cv_mse"), F.count(F.lit(1)).alias("n_folds")
     )

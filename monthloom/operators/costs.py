@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from monthloom.functions.scalars import bps_to_rate, ratio
+from monthloom.functions.scalars import bps_to_rate, finite_double, ratio
 from monthloom.operators.contracts import check_assignments, duplicate_keys, enforce
 from monthloom.operators.ordering import spread_group_stats
 from monthloom.operators.portfolios import assign_tie_preserving, with_weightings
@@ -204,7 +204,7 @@ def extreme_portfolio_returns(
     rate = bps_to_rate(bps)
     rows = assign_tie_preserving(
         long.withColumn(FORMATION, F.col("date")).where(
-            F.col("actual_next_month_return").isNotNull()
+            finite_double("actual_next_month_return").isNotNull()
         ),
         k=k, out="decile",
     )

@@ -17,6 +17,7 @@ from monthloom.functions.scalars import month_index, safe_double
 from monthloom.operators.contracts import enforce, incomplete_model_inputs
 from monthloom.operators.splits import forward_folds
 from monthloom.schema import FEATURES, FORMATION, TARGET
+from monthloom.shipping import ship_package
 from monthloom.staging import stage
 
 
@@ -112,6 +113,7 @@ def fit_windows(
 
     schema = (f"{FORMATION} DATE, train_months BIGINT, train_formation_end_date DATE, n DOUBLE, "
               + _coefficient_schema(k))
+    ship_package(windows.sparkSession)
     return windows.where(F.col("n") > 0).mapInPandas(solve, schema)
 
 
@@ -180,6 +182,7 @@ def tune(
                 out.append((row.fold, row.alpha, row.l1_ratio, sse / vn))
             yield pd.DataFrame(out, columns=["fold", "alpha", "l1_ratio", "mse"])
 
+    ship_package(cells.sparkSession)
     scored = cells.mapInPandas(score, "fold INT, alpha DOUBLE, l1_ratio DOUBLE, mse DOUBLE")
     table = stage(
         scored.groupBy("alpha", "l1_ratio").agg(

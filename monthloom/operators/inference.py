@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from monthloom.functions.scalars import (
     Z_975, finite_double, ratio, significance_stars, two_sided_normal_p,
 )
+from monthloom.operators.contracts import enforce
 from monthloom.operators.regimes import with_regime_definitions
 from monthloom.schema import FORMATION, HAC_LAG, PAIRWISE
 
@@ -100,7 +101,10 @@ def hac_differences(
 def adjust_p_values(
     table: DataFrame, family: Sequence[str], p: str = "raw_p_value"
 ) -> DataFrame:
-    """Holm and Benjamini-Hochberg p-values within each family of tests."""
+    """Holm and Benjamini-Hochberg p-values within each family of tests; all must be finite."""
+    number = finite_double(p)
+    enforce(table.where(number.isNull() | (number < 0) | (number > 1)),
+            "Adjusted p-values need p-values between 0 and 1")
     members = Window.partitionBy(*family)
     # Ties get successive ranks; the running extremes give them the same result.
     ordered = members.orderBy(p)

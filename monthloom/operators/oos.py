@@ -123,7 +123,7 @@ def expanding_baseline(
             *[c for c in _CARRY if c in sample.columns],
             F.col(TARGET).alias("actual_next_month_return"), "elastic_net_prediction",
         )
-        .join(pooled_benchmark(sample), FORMATION)
+        .join(stage(pooled_benchmark(sample), "benchmark"), FORMATION)
         .join(tree_scores, ["permno", FORMATION])
         .join(ends, FORMATION)
     )

@@ -11,6 +11,7 @@ from monthloom.operators.contracts import enforce, require_columns
 from monthloom.operators.ordering import average_ranks, ordered_index
 from monthloom.operators.reshape import models_to_rows
 from monthloom.schema import FORMATION, N_PORTFOLIOS, REALIZED, WEIGHTINGS
+from monthloom.staging import stage
 
 # Smallest usable cross-section and range tolerances.
 MIN_CROSS_SECTION = 10
@@ -35,7 +36,7 @@ def assign_deciles(
     placed = ordered_index(
         marked,
         group,
-        [(~F.col("__usable")).alias("__last"), prediction, key],
+        [(~F.col("__usable")).alias("__last"), safe_double(prediction).alias("__value"), key],
         "__rank",
         "__size",
         counted="__usable",
@@ -147,7 +148,7 @@ def strict_assignments(
 ) -> tuple[DataFrame, DataFrame]:
     """Deciles for sortable groups only, and the report of skipped groups."""
     rows = _scored_rows(predictions, weight)
-    stats = prediction_diagnostics_by_group(rows)
+    stats = stage(prediction_diagnostics_by_group(rows), "diagnostics")
     tagged = rows.join(
         stats.select(FORMATION, "model", "n_unique_predictions", "prediction_range",
                      "prediction_status"),

@@ -14,9 +14,14 @@ from monthloom.schema import BINARY_REGIMES, FORMATION, THREE_REGIMES
 
 
 def daily_to_monthly(daily: DataFrame) -> DataFrame:
-    """Last valid observation of each calendar month, dated at the month end."""
+    """Last valid observation of each calendar month, dated at the month end.
+
+    A day with different values is refused: nothing says which of them is the last.
+    """
     day = F.col("date").try_cast("date")
     clean = daily.select(day.alias("date"), finite_double("vix").alias("vix")).dropna()
+    days = clean.groupBy("date").agg(F.min("vix").alias("vix"), F.max("vix").alias("__max"))
+    enforce(days.where("vix <> __max"), "More than one index value on a day")
     return clean.groupBy(F.last_day("date").alias("month")).agg(
         F.max_by("vix", "date").alias("vix")
     ).select(F.col("month").alias("date"), "vix")
@@ -34,11 +39,19 @@ def three_state_label(vix: Column, q33: Column, q67: Column) -> Column:
     return F.when(vix <= q33, "LOW").when(vix <= q67, "MIDDLE").otherwise("HIGH")
 
 
-def label_binary_regime(monthly: DataFrame) -> DataFrame:
-    """Expanding median (month t included) and the HIGH/LOW label."""
-    last = Window.partitionBy("date").orderBy(F.col("vix").desc())
-    one = monthly.select("date", "vix").withColumn("__n", F.row_number().over(last))
-    out = one.where("__n = 1").drop("__n")
+def label_binary_regime(monthly: DataFrame, sequence: str | None = None) -> DataFrame:
+    """Expanding median (month t included) and the HIGH/LOW label.
+
+    ``sequence`` orders the rows of one date, of which the last is kept. Rows of a table have no
+    order of their own, so without it a date with different values is refused.
+    """
+    if sequence is None:
+        one = monthly.groupBy("date").agg(F.min("vix").alias("vix"), F.max("vix").alias("__max"))
+        enforce(one.where("vix <> __max"), "More than one index value on a date")
+        out = one.select("date", "vix")
+    else:
+        enforce(duplicate_keys(monthly, ["date", sequence]), "The sequence repeats within a date")
+        out = monthly.groupBy("date").agg(F.max_by("vix", sequence).alias("vix"))
     median = F.percentile("vix", 0.5).over(_expanding("date"))
     return out.withColumn("vix_expanding_median", median).withColumn(
         "regime", binary_label(F.col("vix"), F.col("vix_expanding_median"))

@@ -12,7 +12,7 @@ from monthloom.functions.scalars import (
 )
 from monthloom.operators.contracts import ContractViolation, enforce
 from monthloom.operators.ordering import (
-    average_ranks, grouped_quantiles, side_by_side,
+    average_ranks, grouped_quantiles, ordered_index, side_by_side,
 )
 from monthloom.operators.panel import features_complete
 from monthloom.operators.reshape import models_to_rows
@@ -337,16 +337,16 @@ def extreme_rows(
     long = variables_to_rows(panel, names).where(F.col("value").isNotNull())
 
     def tail(name: str, order: Column) -> DataFrame:
-        # Each task keeps its own n rows per variable before the shuffle.
-        w = Window.partitionBy("variable").orderBy(order, "permno", FORMATION)
-        return long.withColumn("tail_rank", F.row_number().over(w)).where(
+        # A variable's rows spread over tasks, whatever n is.
+        placed = ordered_index(long, ["variable"], [order, "permno", FORMATION], "tail_rank")
+        return placed.where(
             F.col("tail_rank") <= n
         ).select(*_KEY, F.col("variable").alias("audit_variable"), F.lit(name).alias("tail"),
                  "tail_rank")
 
     # Only keys and values are sorted; the few chosen keys then fetch their lineage.
     chosen = stage(
-        tail("low", F.col("value").asc()).unionByName(tail("high", F.col("value").desc())),
+        tail("low", F.col("value")).unionByName(tail("high", (-F.col("value")).alias("__down"))),
         "extremes",
     )
     facts = [c for c in _LINEAGE if c in panel.columns]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import month_index
 from monthloom.schema import FORMATION, TARGET
+from monthloom.staging import stage
 
 
 def months_of(rows: DataFrame, date: str = FORMATION) -> DataFrame:
@@ -88,7 +89,8 @@ def stock_benchmark(rows: DataFrame, date: str = FORMATION, target: str = TARGET
     own = rows.withColumn("__mi", month_index(date)).withColumn(
         "__own", F.avg(target).over(seen)
     ).drop("__mi")
-    pooled = pooled_benchmark(rows, date, target).withColumnRenamed(
+    # Staged, so that Catalyst knows how small a table of months is.
+    pooled = stage(pooled_benchmark(rows, date, target), "benchmark").withColumnRenamed(
         "benchmark_prediction", "__pooled"
     )
     return own.join(pooled, date, "left").withColumn(

@@ -137,8 +137,10 @@ def _(m: MarketTables) -> DataFrame:
         )
 
     early = rows.where(F.col(FORMATION) < F.lit("1999-01-01").cast("date"))
-    sinks.resume_months(m.spark, path, early, lambda t: compute(t, "first"), "design-1")
-    return sinks.resume_months(m.spark, path, rows, lambda t: compute(t, "second"), "design-1")
+    sinks.resume_months(m.spark, path, early, lambda t: compute(t, "first"),
+                        run_key="design-1")
+    return sinks.resume_months(m.spark, path, rows, lambda t: compute(t, "second"),
+                               run_key="design-1")
 
 
 @query("snk_04_json_metadata", "rows:i first_month:d last_month:d")

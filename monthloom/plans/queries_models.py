@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from monthloom.operators import boosted_trees, elastic_net, oos, splits
 from monthloom.plans.catalog import query
+from monthloom.schema import FORMATION
 from monthloom.sources.market_tables import MarketTables
 from monthloom.staging import stage
 
@@ -57,7 +58,7 @@ def _(m: MarketTables) -> DataFrame:
        "train_target_end_date:d")
 def _(m: MarketTables) -> DataFrame:
     out, _coefficients, _importances = oos.expanding_baseline(
-        m.sample(), _START, None, _MIN_MONTHS, 24, _ELASTIC, _TREES
+        m.sample(), _START, None, _MIN_MONTHS, _EVERY, _ELASTIC, _TREES
     )
     return out
 
@@ -69,7 +70,25 @@ def _(m: MarketTables) -> DataFrame:
 
 @query("ml_02_boosted_trees", "permno:i formation_date:d xgboost_prediction:8")
 def _(m: MarketTables) -> DataFrame:
-    return boosted_trees.score_refits(m.sample(), _calendar(m, 24), _TREES)[0]
+    return boosted_trees.score_refits(m.sample(), _calendar(m), _TREES)[0]
+
+
+@query("ml_02_tree_facts", "formation_date:d n_rows:i n_scored:i")
+def _(m: MarketTables) -> DataFrame:
+    """What holds of tree predictions whatever the library: one per test row."""
+    rows = m.sample().join(_calendar(m).select(F.col("test_month").alias(FORMATION)), FORMATION)
+    scores = boosted_trees.score_refits(m.sample(), _calendar(m), _TREES)[0]
+    return rows.join(scores, ["permno", FORMATION], "left").groupBy(FORMATION).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("xgboost_prediction").alias("n_scored"))
+
+
+@query("ml_03_importance_facts", "refit_date:d n_predictors:i nonnegative:b sums_to_one:b")
+def _(m: MarketTables) -> DataFrame:
+    rows = boosted_trees.score_refits(m.sample(), _calendar(m), _TREES)[1]
+    v = F.col("feature_importance")
+    return rows.groupBy("refit_date").agg(
+        F.count(F.lit(1)).alias("n_predictors"), F.min(v >= 0).alias("nonnegative"),
+        (F.abs(F.sum(v) - 1) < 1e-9).alias("sums_to_one"))
 
 
 @query("ml_03_coefficients", "refit_date:d model predictor standardized_coefficient:8")
@@ -81,8 +100,7 @@ def _(m: MarketTables) -> DataFrame:
 
 @query("ml_03_importances", "refit_date:d model predictor feature_importance:6")
 def _(m: MarketTables) -> DataFrame:
-    last = _calendar(m, 24).orderBy(F.col("fit_month").desc()).limit(1)
-    return boosted_trees.score_refits(m.sample(), stage(last, "calendar"), _TREES)[1]
+    return boosted_trees.score_refits(m.sample(), _calendar(m), _TREES)[1]
 
 
 

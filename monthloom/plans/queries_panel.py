@@ -16,6 +16,7 @@ from monthloom.plans.catalog import query
 from monthloom.schema import FEATURES, FORMATION, MODEL_COLUMNS, REALIZED, TARGET
 from monthloom.sources import scans
 from monthloom.sources.market_tables import MarketTables
+from monthloom.staging import stage
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
@@ -146,9 +147,8 @@ def _(m: MarketTables) -> DataFrame:
        "prediction_range:8 prediction_status")
 def _(m: MarketTables) -> DataFrame:
     rows = m.predictions_long()
-    return rows.join(
-        portfolios.prediction_diagnostics_by_group(rows), [FORMATION, "model"]
-    )
+    groups = stage(portfolios.prediction_diagnostics_by_group(rows), "diagnostics")
+    return rows.join(groups, [FORMATION, "model"])
 
 
 @query("jon_09_reconciliation", "formation_date:d model weighting found_in differs:b")
@@ -298,10 +298,12 @@ def _(m: MarketTables) -> DataFrame:
 
 @query("win_11_keep_last_per_date", "date:d vix:12")
 def _(m: MarketTables) -> DataFrame:
-    twice = m.index_monthly().unionByName(
-        m.index_monthly().withColumn("vix", F.col("vix") - 1.0)
-    )
-    return regimes.label_binary_regime(twice)
+    # Of three rows of a date the last counts, which is neither the largest nor the smallest.
+    monthly = m.index_monthly()
+    parts = [monthly.withColumns({"vix": F.col("vix") + gap, "place": F.lit(place)})
+             for place, gap in enumerate((1.0, -1.0, 0.0))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return regimes.label_binary_regime(rows, "place")
 
 
 @query("win_12_standardize", "permno:i date:d log_me_z:8 mom_12_2_z:6")

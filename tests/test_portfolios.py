@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from monthloom.operators import contracts, costs, portfolios, rank_ic, summaries, universe
 from monthloom.operators.contracts import ContractViolation
@@ -185,3 +186,24 @@ def test_duplicate_and_lost_capital_raise(make):
         costs.reconstruct(_assignments(make, ret=lambda t, i: -1.0))
     with pytest.raises(ContractViolation):
         costs.reconstruct(_assignments(make, ret=lambda t, i: math.nan))
+
+
+def test_infinite_returns_are_removed_before_sorting(make):
+    rows = [(i, "2020-01-31", float(i), float("inf") if i == 19 else 0.01, "HIGH", 1.0)
+            for i in range(20)]
+    df = make(rows, "permno BIGINT, date DATE, prediction DOUBLE, actual_next_month_return DOUBLE, "
+                    "regime STRING, me_lag DOUBLE")
+    usable = df.filter("permno <> 19")
+    frame = [x.withColumnsRenamed({"prediction": "elastic_net_prediction"})
+             .withColumns({"benchmark_prediction": F.col("elastic_net_prediction"),
+                           "xgboost_prediction": F.col("elastic_net_prediction")})
+             for x in (df, usable)]
+    got = [sorted(map(tuple, costs.extreme_portfolio_returns(x).collect())) for x in frame]
+    assert got[0] == got[1] and got[0]
+
+
+def test_text_predictions_sort_as_numbers(make, rows_of):
+    df = make([(i, "2020-01-31", "m", str(i)) for i in range(1, 21)],
+              "permno BIGINT, formation_date DATE, model STRING, prediction STRING")
+    got = rows_of(portfolios.assign_deciles(df), "permno", "decile")
+    assert [got[i] for i in range(1, 21)] == [(i + 1) // 2 for i in range(1, 21)]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from monthloom.operators import regimes
 from monthloom.operators.contracts import ContractViolation
@@ -55,3 +56,14 @@ def test_attach_refuses_changed_labels(make):
     for bad in ((row.vix, other), (row.vix + 0.1, row.regime_binary)):
         with pytest.raises(ContractViolation):
             regimes.attach_three_state(make([(1, row.date.isoformat(), *bad)], schema), table)
+
+
+def test_the_last_row_of_a_date_counts(make, rows_of):
+    df = make([("2020-01-31", 10.0, 1), ("2020-01-31", 9.0, 2)], "date DATE, vix DOUBLE, n INT")
+    assert rows_of(regimes.label_binary_regime(df, "n"), "date", "vix") == {"2020-01-31": 9.0}
+    with pytest.raises(ContractViolation):
+        regimes.label_binary_regime(df).count()
+    with pytest.raises(ContractViolation):
+        regimes.daily_to_monthly(df).count()
+    with pytest.raises(ContractViolation):
+        regimes.label_binary_regime(df.withColumn("n", F.lit(1)), "n").count()

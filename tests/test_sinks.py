@@ -24,13 +24,13 @@ def _runner(rows, calls):
 def test_resume_computes_only_new_months(spark, rows, tmp_path):
     path, calls = str(tmp_path / "m"), []
     early = rows.where("formation_date < DATE '2020-03-01'")
-    sinks.resume_months(spark, path, early, _runner(early, calls), "k")
-    done = sinks.resume_months(spark, path, rows, _runner(rows, calls), "k")
-    again = sinks.resume_months(spark, path, rows, _runner(rows, calls), "k")
+    sinks.resume_months(spark, path, early, _runner(early, calls), run_key="k")
+    done = sinks.resume_months(spark, path, rows, _runner(rows, calls), run_key="k")
+    again = sinks.resume_months(spark, path, rows, _runner(rows, calls), run_key="k")
     assert [len(c) for c in calls] == [2, 2, 0]
     assert done.count() == again.count() == 4
     with pytest.raises(ContractViolation):
-        sinks.resume_months(spark, path, rows, _runner(rows, calls), "other")
+        sinks.resume_months(spark, path, rows, _runner(rows, calls), run_key="other")
 
 
 def test_read_through_and_refresh(spark, rows, tmp_path):
@@ -85,3 +85,24 @@ def test_a_cluster_must_name_its_directory():
 
     with pytest.raises(RuntimeError):
         staging.shared_root(Session())
+
+
+def test_increments_are_accepted_and_changed_inputs_refused(spark, rows, tmp_path):
+    path, calls = str(tmp_path / "m"), []
+    months = sorted(r[0] for r in rows.select("formation_date").distinct().collect())
+    for n in (1, 2, 4):
+        part = rows.where(F.col("formation_date") <= F.lit(months[n - 1]))
+        sinks.resume_months(spark, path, part, _runner(part, calls), {"alpha": 0.1})
+    assert [len(c) for c in calls] == [1, 1, 2]
+    with pytest.raises(ContractViolation, match="another run"):
+        sinks.resume_months(spark, path, rows, _runner(rows, calls), {"alpha": 0.2})
+    changed = rows.unionByName(rows.limit(1))
+    with pytest.raises(ContractViolation, match="have changed"):
+        sinks.resume_months(spark, path, changed, _runner(changed, calls), {"alpha": 0.1})
+
+
+def test_parts_are_replaced_and_the_others_stay(spark, make, tmp_path):
+    path = str(tmp_path / "p")
+    sinks.append_parts(make([("a", 1), ("b", 2)], "k STRING, v INT"), path, "k")
+    sinks.append_parts(make([("b", 3)], "k STRING, v INT"), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
