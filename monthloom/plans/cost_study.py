@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from monthloom.operators import contracts, costs, inference, summaries
 from monthloom.schema import FORMATION, REALIZED
 from monthloom.sources.sinks import write_csv, write_parquet
-from monthloom.staging import stage
+from monthloom.staging import frees_staged, stage
 
 
 def net_spread_series(net: DataFrame, bps: float = 50) -> DataFrame:
@@ -47,6 +47,7 @@ def check_inference_unchanged(fresh: DataFrame, stored: DataFrame, keys: list[st
     )
 
 
+@frees_staged
 def run_cost_study(
     assignments: DataFrame, gross: DataFrame, out: str, scenarios: tuple[float, ...] = (0, 50)
 ) -> dict[str, str]:

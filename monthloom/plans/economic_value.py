@@ -10,9 +10,10 @@ from monthloom.operators.regimes import (
 from monthloom.operators.reshape import prediction_export
 from monthloom.schema import FORMATION
 from monthloom.sources.sinks import write_csv, write_parquet
-from monthloom.staging import stage
+from monthloom.staging import frees_staged, stage
 
 
+@frees_staged
 def run_three_regime_value(
     predictions: DataFrame, index_monthly: DataFrame, out: str
 ) -> dict[str, str]:
@@ -56,6 +57,7 @@ def run_three_regime_value(
     return written
 
 
+@frees_staged
 def run_binary_value(predictions: DataFrame, out: str, bps: float = 50.0) -> dict[str, str]:
     """Tie-preserving sorts with turnover and costs, and their HAC tables."""
     contracts.enforce_rows(predictions, {
@@ -74,6 +76,7 @@ def run_binary_value(predictions: DataFrame, out: str, bps: float = 50.0) -> dic
     return {name: write_csv(df, f"{out}/{name}") for name, df in tables.items()}
 
 
+@frees_staged
 def run_cross_section(
     predictions: DataFrame, out: str, strict: bool = True
 ) -> dict[str, str]:

@@ -12,7 +12,7 @@ from monthloom.operators.contracts import ContractViolation
 from monthloom.operators.panel import complete_case_sample, observable_as_of
 from monthloom.operators.universe import monthly_hash_sample
 from monthloom.sources.sinks import append_parts, resume_months, write_csv
-from monthloom.staging import stage
+from monthloom.staging import frees_staged, stage
 
 # Elastic-net grid of the production design.
 ALPHAS = (0.0001, 0.001, 0.01, 0.1)
@@ -44,6 +44,7 @@ def tune_models(
     return {"alpha": best["alpha"], "l1_ratio": best["l1_ratio"]}, trees, tables
 
 
+@frees_staged
 def run_estimation(
     panel: DataFrame, out: str, start: str, end: str | None = None, min_train_months: int = 60,
     every: int = 1, elastic: Mapping[str, float] | None = None,

@@ -9,7 +9,7 @@ from monthloom.operators.regimes import with_regime_definitions
 from monthloom.operators.reshape import union_with_panel
 from monthloom.schema import MODEL_COLUMNS
 from monthloom.sources.sinks import write_csv
-from monthloom.staging import stage
+from monthloom.staging import frees_staged, stage
 
 
 def check_summaries(
@@ -31,6 +31,7 @@ def check_summaries(
     })
 
 
+@frees_staged
 def run_formal_inference(
     spreads: DataFrame, rank_ic: DataFrame, out: str,
     spread_summary: DataFrame | None = None, ic_summary: DataFrame | None = None,

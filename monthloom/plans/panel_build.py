@@ -13,7 +13,7 @@ from monthloom.operators.panel import build_panel, cut_to_dates, finalize_panel
 from monthloom.operators.regimes import daily_to_monthly, label_binary_regime
 from monthloom.schema import FEATURES, FORMATION, REALIZED, TARGET
 from monthloom.sources.sinks import write_csv, write_parquet
-from monthloom.staging import stage
+from monthloom.staging import frees_staged, stage
 
 REQUIRED = (
     "permno", "ticker", "gvkey", FORMATION, REALIZED, TARGET, "prc", "shrout", "me", "log_me",
@@ -53,6 +53,7 @@ def validate_panel(
     return reports.panel_metadata(panel)
 
 
+@frees_staged
 def run_panel_build(
     prices: DataFrame, funda: DataFrame, links: DataFrame, index_daily: DataFrame, out: str,
     start: str, end: str, min_price: float = 5.0,

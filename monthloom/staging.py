@@ -8,15 +8,20 @@ broadcasts a staged side only when that size is below its own threshold.
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _FOLDER = "monthloom-staging"
 _local_roots: dict[str, str] = {}
+_open = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,7 +44,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/{_FOLDER}/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{_FOLDER}/{app}/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_open, "scopes", [])[-1:]:
+        paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -50,9 +58,37 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside when it ends, also by an error.
+
+    For jobs that write their results: no table that they return may still read what they staged.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            _delete(spark, path)
+
+
+def frees_staged(job: Callable) -> Callable:
+    """Run a job, whose first argument is a table, in a staging scope of its own."""
+    @functools.wraps(job)
+    def run(first: DataFrame, *args, **kwargs):
+        with staging_scope(first.sparkSession):
+            return job(first, *args, **kwargs)
+
+    return run
+
+
 def release_staged(spark: SparkSession) -> None:
     """Drop every table this application has staged."""
     app = spark.sparkContext.applicationId
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{_FOLDER}/{app}")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    _delete(spark, f"{shared_root(spark)}/{_FOLDER}/{app}")

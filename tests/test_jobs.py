@@ -54,3 +54,18 @@ def test_estimation_resumes(spark, tables, tmp_path):
     assert (both.elastic_net_prediction == both.elastic_net_prediction_first)[kept].all()
     with pytest.raises(Exception, match="another run"):
         run_estimation(panel, str(tmp_path), end="2001-03-31", **{**settings, "run_key": "other"})
+
+
+def test_jobs_leave_nothing_staged(spark, tables, shared_dir, tmp_path):
+    tables.predictions()
+
+    def staged():
+        return {p.name for p in shared_dir.glob("monthloom-staging/*/*")}
+
+    before = staged()
+    run_binary_value(tables.predictions(), str(tmp_path / "a"))
+    assert staged() == before
+    broken = tables.predictions().unionByName(tables.predictions())
+    with pytest.raises(Exception, match="Duplicate"):
+        run_binary_value(broken, str(tmp_path / "b"))
+    assert staged() == before
