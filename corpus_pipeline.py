@@ -63,7 +63,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat; ``n_chars`` follows the text."""
-    left = remove_repeats(_packed(docs), keep=("__row",), as_text=True)
+    # The text travels once: beside the other columns, not among them as well.
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text",
+                       F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row"))
+    left = remove_repeats(rows, keep=("__row",), as_text=True)
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return left.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 

@@ -277,8 +277,8 @@ def _shingle_lists(source: DataFrame, held: np.ndarray, counted: bool) -> DataFr
         run, "set_a long, set_b long, items array<long>, weights array<double>")
 
 
-def _similar(pairs: DataFrame, lists: DataFrame, least: float, counted: bool) -> DataFrame:
-    """Pairs ``a, b`` with exact similarity of at least ``least``."""
+def _similarities(pairs: DataFrame, lists: DataFrame, counted: bool) -> DataFrame:
+    """Pairs ``a, b`` with their exact similarity ``sim``."""
     one = lists.select(F.col("node").alias("a"), F.col("items").alias("ia"),
                        F.col("weights").alias("wa"))
     two = lists.select(F.col("node").alias("b"), F.col("items").alias("ib"),
@@ -287,7 +287,7 @@ def _similar(pairs: DataFrame, lists: DataFrame, least: float, counted: bool) ->
     if not counted:
         shared = F.size(F.array_intersect("ia", "ib"))
         union = F.size("ia") + F.size("ib") - shared
-        return both.filter(shared >= F.lit(least) * union).select("a", "b")
+        return both.select("a", "b", (shared / union).alias("sim"))
     heft = F.map_from_arrays("ib", "wb")
     shared = F.aggregate(
         F.zip_with("ia", "wa", lambda i, w: F.least(w, F.coalesce(F.try_element_at(heft, i),
@@ -295,7 +295,7 @@ def _similar(pairs: DataFrame, lists: DataFrame, least: float, counted: bool) ->
         F.lit(0.0), lambda s, x: s + x)
     total = (F.aggregate("wa", F.lit(0.0), lambda s, x: s + x)
              + F.aggregate("wb", F.lit(0.0), lambda s, x: s + x))
-    return both.filter(shared >= F.lit(least) * (total - shared)).select("a", "b")
+    return both.select("a", "b", (shared / (total - shared)).alias("sim"))
 
 
 def near_texts(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text",
@@ -333,15 +333,17 @@ def near_texts(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text:
 
     slot = F.pmod(F.xxhash64("node", "band"), F.lit(HUBS))
     best = F.struct("company", (-F.col("node")).alias("neg"), "n")
-    hub = held.groupBy("band").agg(*[F.max(F.when(slot == i, best)).alias(f"h{i}")
-                                     for i in range(HUBS)])
-    hub = hub.select("band", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).filter(
+    hubs = held.groupBy("band").agg(
+        F.max(best).alias("top"),
+        *[F.max(F.when(slot == i, best)).alias(f"h{i}") for i in range(HUBS)])
+    hub = hubs.select("band", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).filter(
         "h is not null").select("band", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("nh"))
     star = sized(held.join(hub, "band").filter("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
         F.col("n").alias("na"), F.col("nh").alias("nb"))).select("a", "b").distinct()
     star = stage(star, "dart-stars")
-    first = stage(_similar(star, lists, least, counted), "dart-links")
+    compared = stage(_similarities(star, lists, counted), "dart-compared")
+    first = compared.filter(F.col("sim") >= least).select("a", "b")
     tied = components(first)
 
     # Second round: pairs of a bucket across the components that the first one left apart.
@@ -349,14 +351,24 @@ def near_texts(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text:
         "band", "node", "n", F.coalesce("component", "node").alias("component"))
     split = apart.groupBy("band").agg(F.min("component").alias("lo"),
                                       F.max("component").alias("hi")).filter("lo < hi")
-    open_ = stage(apart.join(split.select("band"), "band"), "dart-open")
+    # One minus the similarity is a metric: documents whose distances to the bucket's hub differ
+    # by more than the threshold's distance cannot be similar enough, and need no comparison.
+    open_ = (apart.join(split.select("band"), "band")
+             .join(hubs.select("band", (-F.col("top.neg")).alias("hub")), "band")
+             .withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")})
+             .join(compared, ["a", "b"], "left")
+             .withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0))
+                         .otherwise(1 - F.col("sim"))))
+    open_ = stage(open_.select("band", "node", "n", "component", "far"), "dart-open")
     left = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"),
-                        F.col("component").alias("ca"))
+                        F.col("component").alias("ca"), F.col("far").alias("fa"))
     right = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"),
-                         F.col("component").alias("cb"))
-    cross = sized(left.join(right, "band").filter("a < b and ca <> cb")).select("a", "b")
+                         F.col("component").alias("cb"), F.col("far").alias("fb"))
+    near = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - least + 1e-9, F.lit(True))
+    cross = sized(left.join(right, "band").filter(near & F.expr("a < b and ca <> cb"))
+                  ).select("a", "b")
     cross = cross.distinct().join(star, ["a", "b"], "left_anti")
-    second = _similar(cross, lists, least, counted)
+    second = _similarities(cross, lists, counted).filter(F.col("sim") >= least).select("a", "b")
     links = stage(first.unionByName(second), "dart-links")
     placed = stage(sets.join(components(links), "node", "left").select(
         "set_a", "set_b", "rep", F.coalesce("component", "node").alias("component")),
