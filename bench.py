@@ -24,7 +24,7 @@ HEADLINE = (
     "pf_04_wide_assignments", "pf_05_decile_returns", "pf_06_extreme_portfolios",
     "ic_01_rank_ic", "tc_04_reconstruction", "agg_27_cost_summary",
     "inf_04_long_short_differences", "oos_03_time_cv", "oos_04_expanding_long",
-    "ml_01_elastic_net", "dq_16_panel_metadata",
+    "ml_01_elastic_net", "ml_02_boosted_trees", "dq_16_panel_metadata",
 )
 
 
