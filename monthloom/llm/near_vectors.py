@@ -2,14 +2,19 @@
 
 Each pass hashes every vector with its own random hyperplanes, orders the vectors of a label
 lexicographically by the concatenated bits, and compares each with its neighbours in a bounded
-window: vectors that agree on the leading bits lie side by side. Verified links of all passes are
-united into components. The bounded windows may miss links inside a large clump of near copies, so
-an exact step follows: each component is cut into blocks and every pair of blocks is compared,
-which counts all links of a vector without listing pairs.
+window: vectors that agree on the leading bits lie side by side. The number of passes follows the
+size of the largest label. What the windows may still miss is read off the orders themselves: a
+vector that shares L bits with the row a window away meets, in that pass, every partner that shares
+more than L. Vectors for which all passes together could miss a partner at the limit with a
+probability above ``MISS`` are compared with their whole label, block by block.
+
+Verified links are united into components. The windows do not see all links inside a large clump of
+near copies, so an exact count follows: each component is cut into blocks and every pair of blocks
+is compared, which counts all links of a vector without listing pairs.
 
 Equal vectors of a label are one representative with a multiplicity, so thousands of exact copies
 cost one comparison. Blocks and windows bound the memory of a task; a component of m different
-vectors costs m * m / BLOCK shuffled rows.
+vectors costs m * m / BLOCK shuffled rows, u unsure vectors of a label of n cost 2 * u * n / BLOCK.
 
 Vectors that are null, empty, zero or hold null or non-finite components, rows with a null label or
 key, and rows of another length link with nothing: they are their own component. Rows that repeat a
@@ -36,6 +41,24 @@ PASSES = 12
 BITS = 48
 WINDOW = 256
 BLOCK = 512
+MISS = 1e-4
+
+
+def agreement(least: float) -> float:
+    """Probability that one hash bit of two vectors at cosine ``least`` is the same."""
+    return 1.0 - float(np.arccos(np.clip(least, -1.0, 1.0))) / np.pi
+
+
+def passes_for(size: int, least: float, window: int, miss: float = MISS,
+               fewest: int = PASSES) -> int:
+    """Passes after which a label of ``size`` spread vectors misses a link at ``least`` with a
+    probability of at most ``miss``."""
+    shared = 1.0 + max(0.0, float(np.log2(max(size, 1) / window)))
+    met = agreement(least) ** shared
+    if met >= 1.0:
+        return fewest
+    # Beyond the cap a vector is dearer to place than to compare with its label.
+    return max(fewest, int(min(256.0, np.ceil(np.log(miss) / np.log1p(-met)))))
 
 
 def projection_keys(x: np.ndarray, passes: int, bits: int, seed: int = 23) -> np.ndarray:
@@ -81,6 +104,8 @@ def _representatives(vectors: DataFrame, key: str, vector: str, label: str) -> t
 
 def _window_links(classes: DataFrame, least: float, passes: int, bits: int, window: int
                   ) -> DataFrame:
+    """Links ``a, b`` that windows show (``shared`` null), and per pass of a class ``a`` how many
+    bits it shares with the rows a window away (``b`` null)."""
     schema = pa.schema([("pass", pa.int32()), ("place", pa.int64()), ("class", pa.int64()),
                         ("vector", pa.list_(pa.float64()))])
 
@@ -105,20 +130,73 @@ def _window_links(classes: DataFrame, least: float, passes: int, bits: int, wind
     block = F.floor((F.col("at") - 1) / window)
     last = F.floor((F.col("size") - 1) / window)
     blocks = ordered.select(
-        "group", "pass", "class", "vector",
+        "group", "pass", "class", "vector", "place", "at",
         F.explode(F.when(block < last, F.array(block, block + 1)).otherwise(F.array(block)))
         .alias("block"), block.alias("own"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
         x = units(np.vstack(part["vector"].to_numpy()))
-        ids = part["class"].to_numpy()
+        ids, place = part["class"].to_numpy(), part["place"].to_numpy()
         a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
         low = _roots(len(ids), a, b)
         tied = np.flatnonzero(low != np.arange(len(ids)))
+        # Rows exactly a window apart lie in one part together, once.
+        far = np.arange(max(0, len(ids) - window))
+        differ = place[far] ^ place[far + window]
+        # frexp gives the bit length exactly: places have fewer bits than a double.
+        shared = bits - np.frexp(differ.astype(np.float64))[1]
+        passed = part["pass"].iloc[0]
+        return pd.concat([
+            pd.DataFrame({"a": ids[tied], "b": ids[low[tied]], "pass": passed, "shared": None}),
+            pd.DataFrame({"a": np.concatenate([ids[far], ids[far + window]]), "b": None,
+                          "pass": passed, "shared": np.tile(shared, 2)}),
+        ]).astype({"a": "Int64", "b": "Int64", "pass": "Int32", "shared": "Int32"})
+
+    return blocks.groupBy("group", "pass", "block").applyInPandas(
+        compare, "a long, b long, pass int, shared int")
+
+
+def _unsure(shared: DataFrame, least: float, passes: int, miss: float) -> DataFrame:
+    """Classes for which the windows may miss a partner at ``least`` with a probability above
+    ``miss``. A pass in which a row has no row a window away on one side is judged by the other."""
+    met = F.pow(F.lit(agreement(least)), F.max("shared") + 1)
+    # A class without any row a window away saw its whole label in that pass.
+    return (shared.groupBy("a", "pass").agg(met.alias("met")).groupBy("a")
+            .agg(F.sum(F.log1p(-F.least(F.col("met"), F.lit(1.0 - 1e-12)))).alias("missed"),
+                 F.count("*").alias("n"))
+            .filter((F.col("n") == passes) & (F.col("missed") > float(np.log(miss))))
+            .select(F.col("a").alias("class")))
+
+
+def _label_links(classes: DataFrame, unsure: DataFrame, least: float, block: int) -> DataFrame:
+    """Links ``a, b`` between the classes ``unsure`` and all others of their label, exactly."""
+    every = classes.select("class", F.struct("label", F.size("vector")).alias("group"), "vector")
+    asking = stage(every.join(unsure, "class"), "vector-unsure")
+    sizes = stage(
+        every.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        .join(asking.groupBy("group").agg(
+            F.ceil(F.count("*") / block).cast("int").alias("chunks")), "group"), "vector-parts")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        return rows.join(sizes, "group").select(
+            "group", F.pmod(F.xxhash64("class", F.lit(own)), F.col(own)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "class", "vector")
+
+    def compare(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(asked):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = (units(np.vstack(t["vector"].to_numpy())) for t in (held, asked))
+        ids, at = np.unique(np.concatenate([held["class"], asked["class"]]), return_inverse=True)
+        a, b = np.nonzero(x @ y.T >= least)
+        low = _roots(len(ids), at[a], at[len(x) + b])
+        tied = np.flatnonzero(low != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[tied], "b": ids[low[tied]]})
 
-    return (blocks.groupBy("group", "pass", "block").applyInPandas(compare, "a long, b long")
-            .distinct())
+    keys = ["group", "parts", "chunks"]
+    return (dealt(every, "parts", "chunks").groupBy(*keys)
+            .cogroup(dealt(asking, "chunks", "parts").groupBy(*keys))
+            .applyInPandas(compare, "a long, b long"))
 
 
 def _count_links(members: DataFrame, least: float, block: int) -> DataFrame:
@@ -172,11 +250,19 @@ def _count_links(members: DataFrame, least: float, block: int) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, least: float = LEAST, key: str = "vec_id",
                  vector: str = "embedding", label: str = "label", passes: int = PASSES,
-                 bits: int = BITS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row."""
+                 bits: int = BITS, window: int = WINDOW, block: int = BLOCK,
+                 miss: float = MISS) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row. ``passes`` is the least number."""
     ship_package(vectors.sparkSession)
     rows, classes = _representatives(vectors, key, vector, label)
-    links = _window_links(classes, least, passes, bits, window)
+    largest = classes.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0]
+    passes = passes_for(largest or 0, least, window, miss, passes)
+    seen = stage(_window_links(classes, least, passes, bits, window), "vector-windows")
+    links = seen.filter("b IS NOT NULL").select("a", "b")
+    if largest and largest > window:
+        unsure = _unsure(seen.filter("b IS NULL"), least, passes, miss)
+        links = links.unionByName(_label_links(classes, unsure, least, block))
+    links = links.distinct()
     tied = components(links)
     members = stage(
         classes.join(tied, classes["class"] == tied["node"])

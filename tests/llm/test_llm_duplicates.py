@@ -251,6 +251,22 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, 1.2])
+def test_isolated_pairs_of_a_large_label_are_linked(spark, shift):
+    rng = np.random.default_rng(3)
+    x = units(rng.standard_normal((1500, 32)) / np.sqrt(32) + shift / np.sqrt(32))
+    side = rng.standard_normal((150, 32))
+    side -= (side * x[:150]).sum(axis=1, keepdims=True) * x[:150]
+    x = np.concatenate([x, 0.935 * x[:150] + np.sqrt(1 - 0.935 ** 2) * units(side)])
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() >= 300
+    docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)],
+                                 "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r for r in near_vectors(docs, passes=2, window=16, block=256).collect()}
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    assert all(got[1500 + i].component_id == got[i].component_id for i in range(150))
+
+
 def test_posting_lists_find_the_nearest(spark):
     rows = [(k, v) for k, v, _ in vectors() if k is not None]
     docs = spark.createDataFrame([(*r, 0) for r in rows],
