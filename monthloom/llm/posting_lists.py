@@ -9,7 +9,9 @@ a boundary, also to up to ``COPIES - 1`` more: those whose distance is within ``
 the nearest, unless a list it already has is nearer to that centroid than the vector is.
 
 Search. A query walks the graph with a wide beam and probes every list whose centroid is within
-``PROBE`` times the distance of the nearest. Lists are cut into blocks of bounded size, so a list
+``PROBE`` times the distance of the nearest, and further lists in order of distance until the probed
+ones hold ``CANDIDATES * k`` entries: a query that lies on the centroid of a tiny list would else see
+that list alone. Queries that still get fewer than ``k`` rows are compared with every vector. Lists are cut into blocks of bounded size, so a list
 that holds a third of all vectors spreads over many tasks; each task compares its block with the
 queries that probe the list, and only each query's best ``k`` of a block are shuffled on.
 
@@ -40,6 +42,7 @@ MOST_LISTS = 16_384
 COPIES = 2
 REPLICATE = 1.05
 PROBE = 1.30
+CANDIDATES = 32
 BEAM = 512
 DEGREE = 16
 BLOCK = 2_048
@@ -154,10 +157,15 @@ class Graph:
         rows, slot = np.nonzero(own >= 0)
         return rows, own[rows, slot]
 
-    def probes_of(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def probes_of(self, x: np.ndarray, held: np.ndarray, enough: int, beam: int = BEAM
+                  ) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and lists to probe; ``held`` has the entries of every list."""
         ids, cos = self.search(x, beam)
         dist = distances(cos)
-        rows, slot = np.nonzero((dist <= PROBE * dist[:, :1]) & np.isfinite(cos))
+        size = held[ids]
+        before = np.cumsum(size, axis=1) - size
+        rows, slot = np.nonzero(((dist <= PROBE * dist[:, :1]) | (before < enough))
+                                & np.isfinite(cos))
         return rows, ids[rows, slot]
 
 
@@ -167,8 +175,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return units(np.vstack(column.to_numpy()).astype(np.float64))
 
 
-def _place(table: DataFrame, graph: Graph, probe: bool) -> DataFrame:
-    """Rows of ``key, vector`` once per list that holds them (or that they probe)."""
+def _place(table: DataFrame, graph: Graph, held: np.ndarray | None = None,
+           enough: int = 0) -> DataFrame:
+    """Rows of ``key, vector`` once per list that holds them, or that they probe where ``held``
+    has the entries of every list."""
     schema = pa.schema([("list", pa.int32()), ("key", pa.int64()),
                         ("vector", pa.list_(pa.float64()))])
 
@@ -178,7 +188,8 @@ def _place(table: DataFrame, graph: Graph, probe: bool) -> DataFrame:
                 part = batch.slice(at, 512)
                 x = units(np.vstack([np.asarray(v, np.float64)
                                      for v in part.column(1).to_pylist()]))
-                rows, lists = graph.probes_of(x) if probe else graph.lists_of(x)
+                rows, lists = (graph.lists_of(x) if held is None
+                               else graph.probes_of(x, held, enough))
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lists, pa.int32()), taken.column(0), taken.column(1)],
@@ -218,9 +229,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
         is_query.alias("asks"))
     tasks = 2 * spark.sparkContext.defaultParallelism
     spread = good.repartition(max(tasks, scan_partitions(vectors)), "key")
-    posted = stage(_place(spread.select("key", "vector"), graph, probe=False), "ann-postings")
-    probes = stage(_place(spread.filter("asks").select("key", "vector"), graph, probe=True),
-                   "ann-probes")
+    posted = stage(_place(spread.select("key", "vector"), graph), "ann-postings")
+    held = np.zeros(len(graph.centre), np.int64)
+    for r in posted.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        held[r["list"]] = r["count"]
+    asking = spread.filter("asks").select("key", "vector")
+    # Boundary copies and the query itself are entries, too.
+    probes = stage(_place(asking, graph, held, CANDIDATES * COPIES * k + 1), "ann-probes")
+    best = stage(_best(posted, probes, k), "ann-best")
+    full = best.filter(F.size("best") >= k)
+    short = stage(asking.join(full, asking["key"] == full["query_id"], "left_anti"), "ann-short")
+    if not short.isEmpty():
+        whole = [t.select(F.lit(0).alias("list"), "key", "vector") for t in (spread, short)]
+        best = full.unionByName(_best(*whole, k))
+    return best.select("query_id", F.posexplode("best").alias("at", "b")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id",
+        (-F.col("b.far")).alias("score"))
+
+
+def _best(posted: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best entries of the lists that every query probes: ``query_id, best``."""
     # One row per list: how many blocks its vectors and the queries that probe it fill.
     blocks = stage(
         posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -255,8 +283,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
              .cogroup(dealt(probes, "asked", "blocks").groupBy(*keys))
              .applyInPandas(compare, "query_id long, vec_id long, score double"))
     # At most lists probed x k rows of a query, each vector once however many lists hold it.
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(
+    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(
         F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id",
-        (-F.col("b.far")).alias("score"))

@@ -293,6 +293,26 @@ def test_posting_lists_find_the_nearest(spark):
     assert {r.query_id: r.rank for r in nearest(few, F.lit(True)).collect()} == {0: 2, 1: 2, 2: 2}
 
 
+def test_a_query_in_a_tiny_list_gets_k_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((4, 16)), 150, axis=0) + rng.normal(0, 0.02, (600, 16))
+    x = np.concatenate([x, rng.standard_normal((30, 16))])  # rare vectors that become centroids
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                 "vec_id long, embedding array<double>").repartition(3)
+    got = nearest(docs, F.col("vec_id") >= 600, k=5, list_size=8).groupBy("query_id").count()
+    assert {r.query_id: r["count"] for r in got.collect()} == {i: 5 for i in range(600, 630)}
+
+
+def test_repeated_keys_in_the_nearest_lists_do_not_shorten_the_answer(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((900, 16))
+    near = x[0] + rng.normal(0, 0.01, (500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, v.tolist()) for v in near]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = nearest(docs, F.col("vec_id") == 0, k=5, list_size=16).collect()
+    assert sorted(r.rank for r in got) == [1, 2, 3, 4, 5] and all(r.vec_id for r in got)
+
+
 def test_ties_go_to_the_smaller_key(spark):
     docs = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)],
                                  "vec_id long, embedding array<double>")
