@@ -7,8 +7,9 @@ harmless word does not add up), and a linear softmax scores the window. A docume
 very long text counts as in a short one. Embeddings and softmax are trained jointly in numpy.
 Words that training never saw still share n-gram vectors with those it saw.
 
-The model is trained on at most ``sample`` labelled documents (the smallest hashes of their keys),
-so what reaches the driver is bounded; all texts are scored in place, without a shuffle, and each
+The model is trained on at most ``sample`` labelled documents (the smallest hashes of their keys, up
+to half of them of each label, more where the other label has fewer), so what reaches the driver is
+bounded and rare toxic documents are not thinned out; the loss weighs both labels alike. All texts are scored in place, without a shuffle, and each
 word's logit is computed once per worker. Texts without words get the score of the bias alone.
 Labels that are null or contradict each other are left out. Null and repeated keys are scored row
 by row; an empty table gives no rows, and without labels of both kinds the score is the share of
@@ -32,8 +33,9 @@ BUCKETS = 1 << 19
 DIM = 8
 WINDOW = 4
 N_GRAMS = (3, 4, 5)
-SAMPLE = 6_000
+SAMPLE = 8_000
 _ROWS = 500
+_WORDS = 50_000  # handled at once in training
 
 
 def remainder(key: str, modulus: int) -> Column:
@@ -42,8 +44,10 @@ def remainder(key: str, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample: int,
-                    key: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most ``sample`` rows ``key, text, label`` with one clear label, by hash of the key."""
+                    key: str = "doc_id", text: str = "text", by_label: bool = False) -> DataFrame:
+    """At most ``sample`` rows ``key, text, label`` with one clear label, by hash of the key.
+
+    With ``by_label`` each label gets half of them, and what the other label leaves over."""
     clear = (
         labels.select(F.col(key), F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col(key).isNotNull() & usable)
@@ -51,7 +55,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .filter("label = high").select(key, "label")
     )
     # A constant in the order keeps the choice independent of other hashes of the key.
-    chosen = clear.orderBy(F.xxhash64(F.col(key), F.lit("sample")), key).limit(sample)
+    def first(rows: DataFrame, n: int) -> DataFrame:
+        return rows.orderBy(F.xxhash64(F.col(key), F.lit("sample")), key).limit(n)
+
+    if by_label:
+        n = {r["label"]: r["count"] for r in clear.groupBy("label").count().collect()}
+        toxic = min(n.get(1, 0), max(sample // 2, sample - n.get(0, 0)))
+        chosen = first(clear.filter("label = 1"), toxic).unionByName(
+            first(clear.filter("label = 0"), sample - toxic))
+    else:
+        chosen = first(clear, sample)
     return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(
         F.broadcast(chosen), key)  # at most ``sample`` rows of two numbers
 
@@ -123,10 +136,14 @@ def _windows(texts: list[str]) -> Iterator[tuple]:
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4,
-          rate: float = 4000.0, least_texts: int = 8, seed: int = 7) -> Model:
+          rate: float = 4000.0, least_texts: int | None = None, seed: int = 7) -> Model:
     """Fit embeddings and softmax together; the gradient of a document goes to its worst window
-    after a few rounds in which it spreads over windows drawn at random."""
+    after a few rounds in which it spreads over all of them. Subwords of fewer than ``least_texts``
+    texts stay untrained; without it the number follows that of the rarer label's texts."""
     labels = np.asarray(labels, np.float64)
+    if least_texts is None:
+        rarer = min(labels.sum(), len(labels) - labels.sum())
+        least_texts = int(np.clip(np.ceil(rarer / 36), 2, 8))
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         bias = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
@@ -153,7 +170,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     owner_ = np.concatenate(owner)
     if not len(words_):
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    del occurrence, window, owner, known
+    del occurrence, known
     count, grams = subwords(strings)
     n_words = len(strings)
     del strings
@@ -161,7 +178,12 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     # Subwords of few texts would let a text be learned by heart; they stay at zero.
     word_texts = np.bincount(np.unique(
         words_.astype(np.int64) * len(texts) + owner_[window_]) // len(texts), minlength=n_words)
-    spread_of = np.bincount(grams, np.repeat(word_texts, count), BUCKETS)
+    spread_of = np.zeros(BUCKETS)
+    for lo in range(0, n_words, _WORDS):
+        hi = min(lo + _WORDS, n_words)
+        stop = gram_at[hi] if hi < n_words else len(grams)
+        spread_of += np.bincount(grams[gram_at[lo]: stop],
+                                 np.repeat(word_texts[lo:hi], count[lo:hi]), BUCKETS)
     common = spread_of >= least_texts
     win_at = np.flatnonzero(np.diff(window_, prepend=-1))
     win_held = np.diff(win_at, append=len(words_))
@@ -170,6 +192,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     docs = owner_[doc_at]
     doc_size = np.diff(doc_at, append=len(owner_))
     y = labels[docs]
+    del window_, owner_, window, owner, width, word_texts, spread_of
 
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -178,33 +201,46 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     bias = float(np.log(share / (1 - share)))
     speed = np.zeros_like(table)
     of_win = np.repeat(np.arange(len(docs), dtype=np.int32), doc_size)
-    spread = 16
     for step in range(rounds):
         gram_logit = table @ out
-        word_logit = np.add.reduceat(gram_logit[grams], gram_at) / count
+        word_logit = np.empty(n_words)
+        for lo in range(0, n_words, _WORDS):
+            hi = min(lo + _WORDS, n_words)
+            held = grams[gram_at[lo]: gram_at[hi] if hi < n_words else len(grams)]
+            word_logit[lo:hi] = np.add.reduceat(
+                gram_logit[held], gram_at[lo:hi] - gram_at[lo]) / count[lo:hi]
         win_logit = np.add.reduceat(word_logit[words_], win_at) / win_size
-        doc_logit = np.maximum.reduceat(win_logit, doc_at)
-        if step < warm:  # a few windows of every document, drawn anew each round
-            pick = (rng.random((len(docs), spread)) * doc_size[:, None]).astype(np.int64)
-            chosen = (doc_at[:, None] + pick).ravel()
-            of_doc = np.repeat(np.arange(len(docs)), spread)
-            doc_logit = win_logit[chosen].reshape(-1, spread).mean(axis=1)
-            scale = np.float64(1 / spread)
+        if step < warm:
+            doc_logit = np.add.reduceat(win_logit, doc_at) / doc_size
         else:
-            hit = np.flatnonzero(win_logit == doc_logit[of_win])
-            _, one = np.unique(of_win[hit], return_index=True)
-            chosen, of_doc, scale = hit[one], np.arange(len(docs)), np.float64(1)
+            doc_logit = np.maximum.reduceat(win_logit, doc_at)
         p = 1 / (1 + np.exp(-np.clip(doc_logit + bias, -30, 30)))
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         error = (p - y) * weight / len(docs)
-        g_win = error[of_doc] * scale / win_size[chosen]
-        size = win_held[chosen]
-        at = np.repeat(win_at[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        g_word = np.bincount(words_[at], np.repeat(g_win, size), n_words)
+        if step < warm:
+            g_word = np.zeros(n_words)
+            for lo in range(0, len(win_at), 200_000):  # blocks keep the arrays of all windows small
+                hi = min(lo + 200_000, len(win_at))
+                of = of_win[lo:hi]
+                g_win = error[of] / doc_size[of] / win_size[lo:hi]
+                stop = win_at[hi] if hi < len(win_at) else len(words_)
+                g_word += np.bincount(words_[win_at[lo]: stop],
+                                      np.repeat(g_win, win_held[lo:hi]), n_words)
+        else:
+            hit = np.flatnonzero(win_logit == doc_logit[of_win])
+            _, one = np.unique(of_win[hit], return_index=True)
+            chosen = hit[one]
+            g_win = error / win_size[chosen]
+            size = win_held[chosen]
+            at = np.repeat(win_at[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            g_word = np.bincount(words_[at], np.repeat(g_win, size), n_words)
         hot = np.flatnonzero(g_word)
-        size = count[hot]
-        at = np.repeat(gram_at[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        g_gram = np.bincount(grams[at], np.repeat(g_word[hot] / size, size), BUCKETS)
+        g_gram = np.zeros(BUCKETS)
+        for lo in range(0, len(hot), _WORDS):
+            some = hot[lo: lo + _WORDS]
+            size = count[some]
+            at = np.repeat(gram_at[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            g_gram += np.bincount(grams[at], np.repeat(g_word[some] / size, size), BUCKETS)
         touched = np.flatnonzero((g_gram != 0) & common)
         g_out = g_gram[touched] @ table[touched]
         speed *= 0.9
@@ -284,7 +320,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic",
         sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     ship_package(docs.sparkSession)
-    rows = (labelled_sample(docs, labels, label, usable, sample, key, text)
+    rows = (labelled_sample(docs, labels, label, usable, sample, key, text, by_label=True)
             .select(key, "text", "label").toPandas().sort_values(key, kind="stable"))
     texts, marks = rows["text"].tolist(), rows["label"].to_numpy(np.float64)
     del rows

@@ -68,6 +68,28 @@ def test_the_sample_is_bounded_and_the_same_every_time(spark, docs):
     assert len(set(pick[0])) <= 3 and pick[0] == pick[1]
 
 
+def test_the_sample_keeps_rare_labels(spark):
+    n = 400
+    docs = spark.createDataFrame([(i, "t") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(n)],
+                                   "doc_id long, toxic int")
+    for size, want in ((60, 10), (12, 6), (395, 10), (1000, 10)):
+        got = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), size,
+                                       by_label=True).collect()
+        assert sum(r.label for r in got) == want and len(got) == min(size, n)
+
+
+def test_few_toxic_texts_are_learned_from():
+    rng = np.random.default_rng(2)
+    plain = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(plain, 30)) for _ in range(205)]
+    for i in range(5):
+        texts[i] += " zqxjkv"
+    model = toxicity.train(texts, np.array([1] * 5 + [0] * 200))
+    insult, other = model.word_logits(["zqxjkv", "word3"])
+    assert insult > 0 and insult > other + 1
+
+
 def test_flat_trees_equal_a_walk_node_by_node():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 5))
