@@ -12,8 +12,7 @@ from monthloom.staging import stage
 
 _START, _MIN_MONTHS, _EVERY = "1999-01-31", 24, 6
 _ELASTIC = {"alpha": 0.01, "l1_ratio": 0.5}
-_TREES = {"n_estimators": 5, "max_depth": 2, "learning_rate": 0.1, "subsample": 0.8,
-          "colsample_bytree": 1.0}
+_TREES = boosted_trees.DEFAULTS
 
 
 @query("oos_01_expanding_splits", "test_month:d train_months:i train_rows:i train_start:d "

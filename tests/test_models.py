@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from monthloom.operators import boosted_trees, elastic_net, oos, splits
 from monthloom.operators.contracts import ContractViolation
+from monthloom.plans import queries_models
 from tests.conftest import month_ends
 
 SCHEMA = ("date DATE, formation_date DATE, realized_return_date DATE, permno BIGINT, "
@@ -171,3 +172,7 @@ def test_tail_probabilities_keep_their_digits(spark):
         assert abs(r.p - want) <= 1e-12 * want and r.p == r.q
     nulls = spark.createDataFrame([(None,)], "t DOUBLE").select(two_sided_normal_p("t").alias("p"))
     assert nulls.first().p is None
+
+
+def test_registered_tree_queries_use_the_default_settings():
+    assert queries_models._TREES == boosted_trees.DEFAULTS
