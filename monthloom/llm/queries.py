@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 from monthloom.llm import (
-    queries_classifiers, queries_texts, queries_tokens, queries_vectors, queries_web,
+    queries_classifiers, queries_search, queries_texts, queries_tokens, queries_vectors, queries_web,
 )
 
-QUERIES = {**queries_classifiers.QUERIES, **queries_texts.QUERIES, **queries_tokens.QUERIES,
-           **queries_vectors.QUERIES, **queries_web.QUERIES}
-ORACLES: dict[str, str] = {**queries_web.ORACLES}
+_MODULES = (queries_classifiers, queries_search, queries_texts, queries_tokens, queries_vectors,
+            queries_web)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {**queries_search.ORACLES, **queries_web.ORACLES}
