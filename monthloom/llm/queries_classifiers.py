@@ -1,10 +1,10 @@
-"""Registered queries of the two document classifiers."""
+"""Registered queries of the document classifiers."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.llm import quality, toxicity
+from monthloom.llm import language, quality, toxicity
 from monthloom.llm.files import table
 
 ACCEPT = 0.7
@@ -39,4 +39,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(scored, toxicity.remainder("doc_id", 3) == 1)
 
 
-QUERIES = {"op1_quality": op1_quality, "op8_toxicity": op8_toxicity}
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = toxicity.remainder("doc_id", 3)
+    found = language.predict(docs, language.fit(docs, rest != 1))
+    return found.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score")
+
+
+QUERIES = {"op1_quality": op1_quality, "op8_toxicity": op8_toxicity,
+           "op11_language": op11_language}
