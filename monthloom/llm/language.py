@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,15 +129,18 @@ def _leader(z: np.ndarray, squares: np.ndarray, rate: float, l1: float, l2: floa
 
 
 def train(starts: np.ndarray, buckets: np.ndarray, values: np.ndarray, labels: np.ndarray,
-          kinds: int, rounds: int = 4, batch: int = 16, rate: float = 5.0, l1: float = 1e-3,
-          l2: float = 1e-5, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of sparse rows (``starts`` into ``buckets``, ``values``)."""
+          kinds: int, chosen: np.ndarray | None = None, rounds: int = 4, batch: int = 16,
+          rate: float = 5.0, l1: float = 1e-3, l2: float = 1e-5, seed: int = 11
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of sparse rows (``starts`` into ``buckets``, ``values``), or of those
+    ``chosen`` by number."""
     z, squares = np.zeros((BUCKETS, kinds)), np.zeros((BUCKETS, kinds))
     bias_z, bias_squares = np.zeros(kinds), np.zeros(kinds)
     size = np.diff(starts)
+    chosen = np.arange(len(labels)) if chosen is None else chosen
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        order = rng.permutation(len(labels))
+        order = chosen[rng.permutation(len(chosen))]
         for at in range(0, len(order), batch):
             rows = order[at: at + batch]
             held = _repeat_ranges(starts[rows], size[rows])
@@ -309,36 +313,39 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, entries: int = EN
     held = np.cumsum([r["n"] for r in sizes])
     last = max((r["turn"] for r, h in zip(sizes, held) if h <= entries),
                default=min((r["turn"] for r in sizes), default=0))
-    got = drawn.filter(F.col("turn") <= last).toPandas()
-    if not len(got):
+    got = drawn.filter(F.col("turn") <= last).toArrow().combine_chunks()
+    if not got.num_rows:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     total, frequency = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    got = got.sort_values(["turn", "lang"], kind="stable")
-    languages = sorted(set(got["lang"]))
-    labels = np.searchsorted(languages, got["lang"].to_numpy(str))
-    size = np.array([len(b) for b in got["buckets"]])
+    turns, names = np.asarray(got["turn"]), np.array(got["lang"].to_pylist(), str)
+    languages = sorted(set(names.tolist()))
+    labels = np.searchsorted(languages, names)
+    order = np.lexsort((labels, turns))  # whatever the order of the stored rows
+    buckets, values, size = _feature_arrays(got, idf)
+    del got
     starts = np.concatenate([[0], np.cumsum(size)])
-    buckets = np.concatenate(got["buckets"].to_numpy())
-    counts = np.concatenate(got["counts"].to_numpy()).astype(np.float64)
-    shares = counts / np.repeat(np.add.reduceat(counts, starts[:-1]), size)
-    values = shares * idf[buckets]
-    aside = got["turn"].to_numpy() % 5 == 0  # calibration documents
-    if aside.all() or len(languages) == 1:
+    aside = turns[order] % 5 == 0 if len(languages) > 1 else np.zeros(len(order), bool)
+    if aside.all():
         aside[:] = False
-
-    def rows_of(chosen: np.ndarray) -> tuple:
-        at = _repeat_ranges(starts[:-1][chosen], size[chosen])
-        edges = np.concatenate([[0], np.cumsum(size[chosen])])
-        return edges, buckets[at], values[at], labels[chosen]
-
-    learn, check = rows_of(np.flatnonzero(~aside)), rows_of(np.flatnonzero(aside))
-    weight, bias = train(*learn, kinds=len(languages))
-    edges, held_buckets, held_values, held_labels = check
-    logits = np.zeros((len(held_labels), len(languages)))
-    if len(held_labels):
-        logits = np.add.reduceat(weight[held_buckets] * held_values[:, None], edges[:-1]) + bias
-    return Model(languages, weight * idf[:, None], bias, fit_temperature(logits, held_labels))
+    weight, bias = train(starts, buckets, values, labels, len(languages), order[~aside])
+    check = order[aside]  # calibration documents
+    logits = np.array([values[lo:hi] @ weight[buckets[lo:hi]] + bias
+                       for lo, hi in zip(starts[check], starts[check + 1])])
+    return Model(languages, weight * idf[:, None], bias, fit_temperature(logits, labels[check]))
+
+
+def _feature_arrays(rows: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, TF-IDF values and number of entries of each row; few copies, as this is what the
+    driver holds of the sample."""
+    size = pa.compute.list_value_length(rows["buckets"]).to_numpy().astype(np.int64)
+    buckets = np.concatenate([np.asarray(c.flatten()) for c in rows["buckets"].chunks])
+    values = np.concatenate([np.asarray(c.flatten()) for c in rows["counts"].chunks]).astype(
+        np.float32)
+    first = np.cumsum(size) - size
+    values /= np.repeat(np.add.reduceat(values, first, dtype=np.float64).astype(np.float32), size)
+    values *= idf.astype(np.float32)[buckets]
+    return buckets, values, size
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
