@@ -28,31 +28,38 @@ def assign_deciles(
     df: DataFrame, prediction: str = "prediction", group: Sequence[str] = (FORMATION, "model"),
     key: str = "permno", k: int = N_PORTFOLIOS,
 ) -> DataFrame:
-    """Equal-count sorts by (prediction, key); groups with fewer than k rows stay unassigned."""
+    """Equal-count sorts by (prediction, key); groups with fewer than k rows stay unassigned.
+
+    Only group, value and key are put in order. The first row of each bucket bounds it; a group's
+    ``k - 1`` bounds join the rows, which are neither shuffled by value nor written.
+    """
     if k < 2:
         raise ValueError("At least two portfolios are needed.")
-    usable = safe_double(prediction).isNotNull() & F.col(key).isNotNull()
-    marked = df.withColumn("__usable", usable)
+    value = safe_double(prediction)
+    usable = value.isNotNull() & F.col(key).isNotNull()
+    place = F.struct("__value", "__key")
     placed = ordered_index(
-        marked,
-        group,
-        [(~F.col("__usable")).alias("__last"), safe_double(prediction).alias("__value"), key],
-        "__rank",
-        "__size",
-        counted="__usable",
+        df.where(usable).select(*group, value.alias("__value"), F.col(key).alias("__key")),
+        group, ["__value", "__key"], "__rank", "__size",
     )
-    enough = F.col("__size") >= k
+    rank, size = F.col("__rank"), F.col("__size")
+    opens = ordinal_bucket(rank, size, k) > ordinal_bucket(rank - 1, size, k)
+    bounds = stage(
+        placed.groupBy(*group).agg(
+            F.max(size).alias("__size"),
+            F.collect_list(F.when(opens & (rank > 1) & (size >= k), place)).alias("__opens")),
+        "decile-bounds",
+    )
+    enough = F.coalesce(F.col("__size") >= k, F.lit(False))
+    own = F.struct(value.alias("__value"), F.col(key).alias("__key"))
+    passed = F.size(F.filter("__opens", lambda b: b <= own))
     return (
-        placed.withColumn(
-            "decile",
-            F.when(
-                enough & F.col("__usable"), ordinal_bucket(F.col("__rank"), F.col("__size"), k)
-            ),
-        )
+        df.join(bounds, list(group), "left")
+        .withColumn("decile", F.when(enough & usable, passed + 1).cast("int"))
         .withColumn(
             "decile_status", F.when(enough, "assigned").otherwise("insufficient_securities")
         )
-        .drop("__usable", "__rank", "__size")
+        .drop("__size", "__opens")
     )
 
 
@@ -64,7 +71,7 @@ def assign_tie_preserving(
     if k < 2:
         raise ValueError("At least two portfolios are needed.")
     ranked = average_ranks(
-        df.where(is_finite(prediction)), group, prediction, [key], "__rank", "__size"
+        df.where(is_finite(prediction)), group, prediction, "__rank", "__size"
     )
     bucket = F.ceil(F.lit(float(k)) * (F.col("__rank") / F.col("__size")))
     return ranked.withColumn(

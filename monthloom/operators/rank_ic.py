@@ -7,28 +7,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import finite_double, safe_corr
-from monthloom.operators.ordering import average_ranks
+from monthloom.operators.ordering import value_ranks
 from monthloom.operators.reshape import models_to_rows
 from monthloom.schema import FORMATION, REALIZED
-
-
-def ranked_pairs(
-    rows: DataFrame, group: Sequence[str], x: str, y: str, key: Sequence[str] = ("permno",)
-) -> DataFrame:
-    """Average ranks of two variables over the rows where both are finite."""
-    both = rows.select(
-        *group, *key, finite_double(x).alias("__x"), finite_double(y).alias("__y")
-    ).where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
-    first = average_ranks(both, group, "__x", key, "__rx", "__size").drop("__size")
-    return average_ranks(first, group, "__y", key, "__ry", "__size").drop("__size")
+from monthloom.staging import stage
+
+
+def ranked_pairs(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
+    """Average ranks of two variables over the rows where both are finite.
+
+    One table of ranks per (group, variable, value) serves both; rows are not put in order.
+    """
+    both = stage(rows.select(
+        *group, finite_double(x).alias("__x"), finite_double(y).alias("__y")
+    ).where(F.col("__x").isNotNull() & F.col("__y").isNotNull()), "pairs")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v"))
+                      for s in ("__x", "__y")])
+    long = both.select(*group, F.explode(sides).alias("__s")).select(
+        *group, F.col("__s.side").alias("__side"), F.col("__s.v").alias("__v"))
+    ranks = value_ranks(long, [*group, "__side"], "__v", "__r", "__size")
+    out = both
+    for side, rank in (("__x", "__rx"), ("__y", "__ry")):
+        mine = ranks.where(F.col("__side") == side).select(
+            *group, F.col("__v").alias(side), F.col("__r").alias(rank))
+        out = out.join(mine, [*group, side])
+    return out
 
 
 def cross_section_ic(
     rows: DataFrame, group: Sequence[str] = (FORMATION, "model"), x: str = "prediction",
-    y: str = "actual_next_month_return", key: Sequence[str] = ("permno",),
+    y: str = "actual_next_month_return",
 ) -> DataFrame:
     """Spearman and Pearson correlation per group; NULL when a side is constant."""
-    return ranked_pairs(rows, group, x, y, key).groupBy(*group).agg(
+    return ranked_pairs(rows, group, x, y).groupBy(*group).agg(
         safe_corr("__rx", "__ry").alias("spearman"),
         safe_corr("__x", "__y").alias("pearson"),
         F.count(F.lit(1)).alias("n_valid"),

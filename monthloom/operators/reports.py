@@ -50,7 +50,7 @@ def distribution_report(
         F.min(v).alias("min"), F.max(v).alias("max"),
     )
     return stats.join(
-        grouped_quantiles(long, ["variable"], "value", key, PROFILE), "variable", "left"
+        grouped_quantiles(long, ["variable"], "value", PROFILE), "variable", "left"
     )
 
 
@@ -250,8 +250,7 @@ def _feature_ranks(complete: DataFrame, group: Sequence[str]) -> DataFrame:
     """Features replaced by their average ranks, through one distributed ordering."""
     long = variables_to_rows(complete, FEATURES)
     by = list(dict.fromkeys([*group, "variable"]))
-    key = [c for c in _KEY if c not in group]
-    ranked = average_ranks(long, by, "value", key, "r", "__size")
+    ranked = average_ranks(long, by, "value", "r", "__size")
     return ranked.groupBy(*_KEY).agg(
         *[F.max(F.when(F.col("variable") == f, F.col("r"))).alias(f) for f in FEATURES]
     )
@@ -312,7 +311,7 @@ def extreme_summary(
     """Tail quantiles and how many values lie at or beyond them."""
     long = stage(variables_to_rows(panel, names).where(F.col("value").isNotNull()), "values")
     q = stage(
-        grouped_quantiles(long, ["variable"], "value", _KEY, {"lo": 0.001, "hi": 0.999}), "tails"
+        grouped_quantiles(long, ["variable"], "value", {"lo": 0.001, "hi": 0.999}), "tails"
     )
     v = F.col("value")
     return long.join(q, "variable").groupBy("variable").agg(
@@ -371,7 +370,7 @@ def check_value_report(
         F.sum(F.col("c") - 1).cast("double").alias("value")
     ).select(F.lit("duplicate_permno_date").alias("check"), "value")
     q = grouped_quantiles(
-        variables_to_rows(panel, quantile_names, key), ["variable"], "value", key,
+        variables_to_rows(panel, quantile_names, key), ["variable"], "value",
         {"p01": 0.01, "p50": 0.5, "p99": 0.99},
     )
     points = q.unpivot(["variable"], ["p01", "p50", "p99"], "q", "value").select(
@@ -474,7 +473,7 @@ def prediction_diagnostics(predictions: DataFrame) -> DataFrame:
         F.avg("a").alias("actual_mean"), F.stddev_samp("a").alias("actual_std"),
     )
     q = grouped_quantiles(
-        long, ["model", "regime"], "p", ["date", "permno"],
+        long, ["model", "regime"], "p",
         {f"prediction_{k}": v for k, v in (("p01", 0.01), ("p05", 0.05), ("p50", 0.5),
                                            ("p95", 0.95), ("p99", 0.99))},
     )
@@ -532,7 +531,7 @@ def economic_sanity(panel: DataFrame, check: bool = True) -> DataFrame:
     )
     q = grouped_quantiles(
         variables_to_rows(panel, ["book_to_market"], ("permno", "date")), ["variable"], "value",
-        ("permno", "date"), {"book_to_market_median": 0.5, "book_to_market_p999": 0.999},
+        {"book_to_market_median": 0.5, "book_to_market_p999": 0.999},
     ).drop("variable")
     out = side_by_side([errors, q])
     ok = F.col("book_to_market_median").between(0.001, 50.0)

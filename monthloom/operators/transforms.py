@@ -28,18 +28,17 @@ def winsorize_by_month(
     lower: float = 0.01,
     upper: float = 0.99,
     date: str = "date",
-    key: Sequence[str] = ("permno",),
 ) -> DataFrame:
     """Clip each column to its exact monthly quantiles; NULL stays NULL."""
     if not 0 <= lower < upper <= 1:
         raise ValueError("Winsorization quantiles must satisfy 0 <= lower < upper <= 1.")
     long = df.select(
-        date, *key, F.explode(F.array(*[
+        date, F.explode(F.array(*[
             F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols
         ])).alias("__v")
-    ).select(date, *key, "__v.name", "__v.value")
+    ).select(date, "__v.name", "__v.value")
     bounds = grouped_quantiles(
-        long, [date, "name"], "value", key, {"lo": lower, "hi": upper}
+        long, [date, "name"], "value", {"lo": lower, "hi": upper}
     )
     wide = stage(
         bounds.groupBy(date).agg(*[

@@ -268,9 +268,7 @@ def _(m: MarketTables) -> DataFrame:
 
 @query("win_06_average_rank", "permno:i formation_date:d model avg_rank:2 pct_rank:8")
 def _(m: MarketTables) -> DataFrame:
-    ranked = average_ranks(
-        m.predictions_long(), [FORMATION, "model"], "prediction", ["permno"]
-    )
+    ranked = average_ranks(m.predictions_long(), [FORMATION, "model"], "prediction")
     return ranked.withColumn("pct_rank", F.col("avg_rank") / F.col("group_size"))
 
 
