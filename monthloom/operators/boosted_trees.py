@@ -1,128 +1,105 @@
-"""Boosted regression trees on Spark ML; every fit is a distributed job."""
+"""Boosted regression trees over expanding windows: refits, importances and tuning.
+
+All refits, and all folds and parameter sets of a tuning run, grow together (``joint_boosting``).
+"""
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+import json
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.operators.contracts import enforce, incomplete_model_inputs
+from monthloom.operators.joint_boosting import DEFAULTS, FitSpec, Forests
 from monthloom.operators.splits import forward_folds
-from monthloom.schema import FEATURES, FORMATION, REALIZED, TARGET
-from monthloom.staging import stage_path
-
-# Default tree settings.
-DEFAULTS = {"n_estimators": 100, "max_depth": 2, "learning_rate": 0.05, "subsample": 0.8,
-            "colsample_bytree": 0.8}
-_POOL = 4  # fits in flight; each is a distributed job
-
-
-def _estimator(params: Mapping[str, Any], seed: int) -> GBTRegressor:
-    p = {**DEFAULTS, **params}
-    return GBTRegressor(
-        featuresCol="__x", labelCol=TARGET, predictionCol="__tree_prediction",
-        maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
-        stepSize=float(p["learning_rate"]), subsamplingRate=float(p["subsample"]),
-        featureSubsetStrategy=str(float(p["colsample_bytree"])) if p["colsample_bytree"] < 1
-        else "all",
-        seed=seed,
-    )
-
-
-def with_vector(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    return VectorAssembler(
-        inputCols=list(features), outputCol="__x", handleInvalid="error"
-    ).transform(rows)
-
+from monthloom.schema import FEATURES, FORMATION
+from monthloom.staging import stage
 
-def staged_vectors(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Model rows with their vectors, written once in folders by month that all fits share."""
-    columns = dict.fromkeys(["permno", FORMATION, REALIZED, TARGET, "__x"])
-    path = stage_path(rows.sparkSession, "tree-vectors")
-    vectors = with_vector(rows, features).select(*columns)
-    vectors.hint("rebalance", FORMATION).write.partitionBy(FORMATION).parquet(path)
-    return rows.sparkSession.read.schema(vectors.schema).parquet(path)
+__all__ = ["DEFAULTS", "PRODUCTION_GRID", "score_refits", "tune"]
 
+# The parameter grid that is searched in production.
+PRODUCTION_GRID = tuple(
+    {"n_estimators": n, "max_depth": d, "learning_rate": r, "subsample": s, "colsample_bytree": c}
+    for n in (200, 500) for d in (2, 3, 4) for r in (0.01, 0.05, 0.1) for s in (0.7, 1.0)
+    for c in (0.7, 1.0))
+PREDICTION = "xgboost_prediction"
 
-def _each(work: Callable, tasks: Sequence) -> list:
-    with ThreadPoolExecutor(_POOL) as pool:
-        return list(pool.map(work, tasks))
 
-
-def training_rows(vectors: DataFrame, month) -> DataFrame:
-    """Rows observable at a formation month."""
-    at = F.lit(month).cast("date")
-    return vectors.where((F.col(FORMATION) < at) & (F.col(REALIZED) <= at))
-
-
-def fit(vectors: DataFrame, month, params: Mapping[str, Any] | None = None, seed: int = 42):
-    """Model from all rows observable at ``month``."""
-    return _estimator(params or {}, seed).fit(training_rows(vectors, month))
-
-
-def score_refits(
+def refit_forests(
     sample: DataFrame, calendar: DataFrame, params: Mapping[str, Any] | None = None,
     features: Sequence[str] = FEATURES, seed: int = 42,
-) -> tuple[DataFrame, DataFrame]:
-    """Predictions of each refit's test months, and the feature importances.
-
-    Refits are independent; a small pool of driver threads submits their Spark jobs. Each writes
-    its scores below one table, partitioned by refit month, so there is no union of branches.
-    """
+) -> Forests | None:
+    """One forest per refit month, holding that refit's test months."""
     enforce(incomplete_model_inputs(sample), "Models need complete rows")
-    spark = sample.sparkSession
-    vectors = staged_vectors(sample, features)
     plan: dict = {}
     for test, month in calendar.select("test_month", "fit_month").collect():
         plan.setdefault(month, []).append(test)
-    path = stage_path(spark, "tree-scores")
+    if not plan:
+        return None
+    specs = [FitSpec(month, tuple(sorted(plan[month])), params or {}) for month in sorted(plan)]
+    forests = Forests(sample, specs, features, seed)
+    forests.months = [s.month for s in specs]
+    return forests
 
-    def refit(month) -> list[tuple]:
-        model = fit(vectors, month, params, seed)
-        rows = vectors.where(F.col(FORMATION).isin(plan[month]))  # prunes to these months' files
-        model.transform(rows).select(
-            "permno", FORMATION, F.col("__tree_prediction").alias("xgboost_prediction")
-        ).write.parquet(f"{path}/fit_month={month}")  # a folder of its own: jobs run side by side
-        return [(month, "xgboost", f, float(v))
-                for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
 
-    importances = [row for rows in _each(refit, sorted(plan)) for row in rows]
+def score_refits(
+    sample: DataFrame, calendar: DataFrame, params: Mapping[str, Any] | None = None,
+    features: Sequence[str] = FEATURES, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions of each refit's test months, and the feature importances."""
+    spark = sample.sparkSession
+    forests = refit_forests(sample, calendar, params, features, seed)
+    rows = [] if forests is None else [
+        (month, "xgboost", f, v) for month, shares in zip(forests.months, forests.importances())
+        for f, v in zip(features, shares, strict=True)]
     table = spark.createDataFrame(
-        importances, "refit_date DATE, model STRING, predictor STRING, feature_importance DOUBLE"
-    )
-    scores = f"permno BIGINT, {FORMATION} DATE, xgboost_prediction DOUBLE"
-    if not plan:
-        return spark.createDataFrame([], scores), table
-    return spark.read.schema(f"{scores}, fit_month DATE").parquet(path).drop("fit_month"), table
+        rows, "refit_date DATE, model STRING, predictor STRING, feature_importance DOUBLE")
+    if forests is None:
+        return spark.createDataFrame(
+            [], f"permno BIGINT, {FORMATION} DATE, {PREDICTION} DOUBLE"), table
+    return stage(forests.predictions(PREDICTION).drop("fit"), "tree-scores"), table
 
 
 def tune(
-    rows: DataFrame, grid: Sequence[Mapping[str, Any]], n_splits: int = 5,
+    rows: DataFrame, grid: Sequence[Mapping[str, Any]] = PRODUCTION_GRID, n_splits: int = 5,
     min_train_months: int = 12, features: Sequence[str] = FEATURES, seed: int = 42,
 ) -> DataFrame:
-    """Mean validation error per parameter set over forward-chaining folds."""
+    """Mean validation error per parameter set over forward-chaining folds, least first.
+
+    Sets that differ in the number of trees alone share one fit per fold: the error with fewer
+    trees is that of a prefix. Equal errors are ordered by the set's place in the grid.
+    """
     enforce(incomplete_model_inputs(rows), "Tuning needs complete rows")
-    vectors = staged_vectors(rows, features)
     folds = [r[0] for r in forward_folds(rows, n_splits, min_train_months)
              .select("validation_month").orderBy("validation_month").collect()]
     if not folds or not grid:
         raise ValueError("Not enough months for forward-chaining selection.")
-
-    def error(task: tuple) -> tuple:
-        i, month = task
-        held = vectors.where(F.col(FORMATION) == F.lit(month).cast("date"))
-        gap = F.col(TARGET) - F.col("__tree_prediction")
-        scored = fit(vectors, month, grid[i], seed).transform(held)
-        return i, scored.agg(F.avg(gap * gap)).first()[0]
-
-    tasks = [(i, month) for i in range(len(grid)) for month in folds]
-    results = rows.sparkSession.createDataFrame(
-        list(_each(error, tasks)), "grid_index INT, mse DOUBLE"
-    )
-    return results.groupBy("grid_index").agg(
-        F.avg("mse").alias("mean_cv_mse"), F.count(F.lit(1)).alias("n_folds")
-    )
+    full = [{**DEFAULTS, **p} for p in grid]
+
+    def shape(p: Mapping[str, Any]) -> tuple:
+        return tuple(sorted((k, float(v)) for k, v in p.items() if k != "n_estimators"))
+
+    largest: dict[tuple, dict] = {}
+    for p in full:
+        held = largest.setdefault(shape(p), p)
+        if p["n_estimators"] > held["n_estimators"]:
+            largest[shape(p)] = p
+    specs = [FitSpec(month, (month,), p) for p in largest.values() for month in folds]
+    forests = Forests(rows, specs, features, seed)
+    errors = {(shape(s.params), s.month): forests.errors[i]
+              for i, s in enumerate(specs) if forests.fits[i].rows}
+    cells = []
+    for i, p in enumerate(full):
+        found = [errors[shape(p), m][int(p["n_estimators"])] for m in folds
+                 if (shape(p), m) in errors]
+        if found:
+            cells.append((i, "xgboost", json.dumps(dict(grid[i]), sort_keys=True),
+                          float(sum(found) / len(found)), len(found)))
+    if not cells:
+        raise ValueError("No fold has observable training rows.")
+    table = rows.sparkSession.createDataFrame(
+        cells, "grid_index INT, model STRING, params STRING, mean_cv_mse DOUBLE, n_folds BIGINT")
+    best = Window.partitionBy(F.lit(1)).orderBy("mean_cv_mse", "grid_index")
+    return table.withColumn("selected", F.row_number().over(best) == 1)

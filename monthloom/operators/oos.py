@@ -141,9 +141,13 @@ def check_predictions(predictions: DataFrame) -> None:
 def expanding_long(
     panel: DataFrame, start: str, end: str | None = None, min_train_months: int = 12,
     every: int = 1, alpha: float = 0.001, l1_ratio: float = 0.5,
-    features: Sequence[str] = FEATURES,
+    features: Sequence[str] = FEATURES, trees: Mapping[str, Any] | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Long predictions with the security's own historical mean and the fitted train ends."""
+    """Long predictions with the security's own historical mean and the fitted train ends.
+
+    With ``trees`` (settings that differ from the defaults, or none) every test row has a second
+    row of model ``xgboost``, fitted at the same months on the same rows.
+    """
     require_columns(panel, ["permno", TARGET, "regime", "vix", *features])
     rows = panel
     if FORMATION not in rows.columns:
@@ -162,16 +166,26 @@ def expanding_long(
                          "me_lag", "me_lag_date", "market_equity") if c in usable.columns]
     fitted_end = F.col("fit_formation_end_date")
     fitted_target = month_end_shift("fit_formation_end_date", 1)
-    out = scored.select(
-        *carry, F.col(TARGET).alias("actual"),
-        F.col(TARGET).alias("actual_next_month_return"), "benchmark_prediction",
-        F.col("elastic_net_prediction").alias("prediction"), F.lit("elastic_net").alias("model"),
-        fitted_end.alias("train_formation_end_date"),
-        fitted_target.alias("train_realized_return_end_date"),
-        fitted_end.alias("train_feature_end_date"),
-        fitted_target.alias("train_target_end_date"),
-        fitted_end.alias("train_end"),
-    )
+
+    def block(table: DataFrame, prediction: str, model: str) -> DataFrame:
+        return table.select(
+            *carry, F.col(TARGET).alias("actual"),
+            F.col(TARGET).alias("actual_next_month_return"), "benchmark_prediction",
+            F.col(prediction).alias("prediction"), F.lit(model).alias("model"),
+            fitted_end.alias("train_formation_end_date"),
+            fitted_target.alias("train_realized_return_end_date"),
+            fitted_end.alias("train_feature_end_date"),
+            fitted_target.alias("train_target_end_date"),
+            fitted_end.alias("train_end"),
+        )
+
+    out = block(scored, "elastic_net_prediction", "elastic_net")
+    if trees is not None:
+        scored = stage(scored, "scored")
+        tree_scores, _ = boosted_trees.score_refits(usable, calendar, trees, features, seed)
+        out = block(scored, "elastic_net_prediction", "elastic_net").unionByName(
+            block(scored.join(tree_scores, ["permno", FORMATION]), boosted_trees.PREDICTION,
+                  "xgboost"))
     if "me_lag_date" in out.columns:
         out = out.withColumn("value_weight_date", F.col("me_lag_date"))
     return out

@@ -87,10 +87,12 @@ def _running_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def value_ranks(
     df: DataFrame, group: Sequence[str], value: str, rank_col: str = "avg_rank",
-    size_col: str = "group_size",
+    size_col: str = "group_size", count_col: str | None = None,
 ) -> DataFrame:
     """One staged row per (group, value): the mean rank of its rows and the group size.
 
+    ``count_col`` also names the number of rows of the value.
+
     Rows are counted per value before anything is shuffled or ordered, so a value that fills a
     third of the table is one row here; two running sums over the counts give the mean rank.
     """
@@ -111,7 +113,8 @@ def value_ranks(
     lower = F.col(_BEFORE) + F.col(_POS) - F.col("__n") - F.col(_START)
     return stage(
         placed.join(spans, [*group, _TASK]).select(
-            *keys, (lower + (F.col("__n") + 1) / 2.0).alias(rank_col), size_col),
+            *keys, (lower + (F.col("__n") + 1) / 2.0).alias(rank_col), size_col,
+            *([F.col("__n").alias(count_col)] if count_col else [])),
         "value-ranks",
     )
 

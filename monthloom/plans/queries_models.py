@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.functions.scalars import is_finite
 from monthloom.operators import boosted_trees, elastic_net, oos, splits
 from monthloom.plans.catalog import query
 from monthloom.schema import FORMATION
@@ -13,6 +14,9 @@ from monthloom.staging import stage
 _START, _MIN_MONTHS, _EVERY = "1999-01-31", 24, 6
 _ELASTIC = {"alpha": 0.01, "l1_ratio": 0.5}
 _TREES = boosted_trees.DEFAULTS
+#: One split on all rows and features: what SQL can follow to the last leaf.
+_STUMP = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, "subsample": 1.0,
+          "colsample_bytree": 1.0}
 
 
 @query("oos_01_expanding_splits", "test_month:d train_months:i train_rows:i train_start:d "
@@ -31,6 +35,20 @@ def _(m: MarketTables) -> DataFrame:
     return elastic_net.tune(m.sample(), [0.001, 0.01, 0.1], [0.1, 0.9], 5, 24)
 
 
+@query("oos_03_tree_cv", "grid_index:i params mean_cv_mse:9 n_folds:i selected:b")
+def _(m: MarketTables) -> DataFrame:
+    """Every set of one shape is a prefix of one fit per fold; all fits grow together."""
+    grid = [{"n_estimators": n, "max_depth": d, "learning_rate": r}
+            for n in (20, 40, 80) for d in (2, 3) for r in (0.03, 0.08)]
+    return boosted_trees.tune(m.sample(), grid, 5, 24)
+
+
+@query("oos_03_stump_cv", "grid_index:i mean_cv_mse:9 n_folds:i selected:b")
+def _(m: MarketTables) -> DataFrame:
+    grid = [{**_STUMP, "learning_rate": r} for r in (0.25, 1.0)]
+    return boosted_trees.tune(m.sample(), grid, 5, 24)
+
+
 def _calendar(m: MarketTables, every: int = _EVERY) -> DataFrame:
     return stage(
         oos.refit_calendar(m.sample(), _START, None, _MIN_MONTHS, every), "calendar"
@@ -54,12 +72,37 @@ def _(m: MarketTables) -> DataFrame:
 
 @query("oos_04_expanding_wide", "permno:i formation_date:d actual_next_month_return:8 "
        "benchmark_prediction:8 elastic_net_prediction:8 train_formation_end_date:d "
-       "train_target_end_date:d")
+       "train_target_end_date:d tree_scored:b")
 def _(m: MarketTables) -> DataFrame:
     out, _coefficients, _importances = oos.expanding_baseline(
         m.sample(), _START, None, _MIN_MONTHS, _EVERY, _ELASTIC, _TREES
     )
-    return out
+    return out.withColumn("tree_scored", is_finite(boosted_trees.PREDICTION))
+
+
+@query("oos_04_expanding_wide_stump", "permno:i formation_date:d actual_next_month_return:8 "
+       "benchmark_prediction:8 elastic_net_prediction:8 xgboost_prediction:8 "
+       "train_formation_end_date:d train_target_end_date:d")
+def _(m: MarketTables) -> DataFrame:
+    return oos.expanding_baseline(
+        m.sample(), _START, None, _MIN_MONTHS, _EVERY, _ELASTIC, _STUMP)[0]
+
+
+@query("oos_04_expanding_long_stump", "permno:i formation_date:d realized_return_date:d regime "
+       "model actual:8 benchmark_prediction:8 prediction:8 train_formation_end_date:d "
+       "train_realized_return_end_date:d")
+def _(m: MarketTables) -> DataFrame:
+    return oos.expanding_long(
+        m.sample(), _START, None, _MIN_MONTHS, _EVERY, _ELASTIC["alpha"], _ELASTIC["l1_ratio"],
+        trees=_STUMP)
+
+
+@query("oos_04_expanding_long_models", "permno:i formation_date:d model actual:8 "
+       "benchmark_prediction:8 prediction:8 train_formation_end_date:d")
+def _(m: MarketTables) -> DataFrame:
+    return oos.expanding_long(
+        m.sample(), _START, None, _MIN_MONTHS, _EVERY, _ELASTIC["alpha"], _ELASTIC["l1_ratio"],
+        trees=_TREES)
 
 
 @query("ml_01_elastic_net", "formation_date:d train_months:i intercept:8 raw0:8 raw1:8 raw2:8")
@@ -72,6 +115,11 @@ def _(m: MarketTables) -> DataFrame:
     return boosted_trees.score_refits(m.sample(), _calendar(m), _TREES)[0]
 
 
+@query("ml_02_stump", "permno:i formation_date:d xgboost_prediction:8")
+def _(m: MarketTables) -> DataFrame:
+    return boosted_trees.score_refits(m.sample(), _calendar(m), _STUMP)[0]
+
+
 @query("ml_02_tree_facts", "formation_date:d n_rows:i n_scored:i")
 def _(m: MarketTables) -> DataFrame:
     """What holds of tree predictions whatever the library: one per test row."""
@@ -90,6 +138,11 @@ def _(m: MarketTables) -> DataFrame:
         (F.abs(F.sum(v) - 1) < 1e-9).alias("sums_to_one"))
 
 
+@query("ml_03_stump_importances", "refit_date:d model predictor feature_importance:6")
+def _(m: MarketTables) -> DataFrame:
+    return boosted_trees.score_refits(m.sample(), _calendar(m), _STUMP)[1]
+
+
 @query("ml_03_coefficients", "refit_date:d model predictor standardized_coefficient:8")
 def _(m: MarketTables) -> DataFrame:
     return elastic_net.coefficient_rows(
@@ -100,6 +153,3 @@ def _(m: MarketTables) -> DataFrame:
 @query("ml_03_importances", "refit_date:d model predictor feature_importance:6")
 def _(m: MarketTables) -> DataFrame:
     return boosted_trees.score_refits(m.sample(), _calendar(m), _TREES)[1]
-
-
-

@@ -63,6 +63,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        folder = files[0].rsplit("/", 1)[0]
+        if f"/{_FOLDER}/" not in folder:
+            raise ValueError(f"{folder} is not a staged table.")
+        _delete(table.sparkSession, folder)
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Delete what is staged inside when it ends, also by an error.

@@ -97,9 +97,75 @@ body("oos_04_expanding_wide", f"""
 SELECT s.permno, s.formation_date, s.next_month_return AS actual_next_month_return,
   (SELECT avg(t.next_month_return) FROM sample t WHERE t.formation_date < s.formation_date)
     AS benchmark_prediction, {_SCORE} AS elastic_net_prediction,
-  c.train_formation_end_date, c.train_realized_return_end_date AS train_target_end_date
+  c.train_formation_end_date, c.train_realized_return_end_date AS train_target_end_date,
+  TRUE AS tree_scored
 FROM sample s JOIN cal6 c ON c.test_month = s.formation_date
 JOIN fits_cal6 f ON f.fit_month = c.fit_month""")
+
+_LONG = "UNPIVOT {rows} ON log_me, book_to_market, mom_12_2 INTO NAME name VALUE v"
+
+
+def stumps(calendar: str) -> str:
+    """The best single split of every window: cut points at every 64th of the rows that the first
+    window sees, gain of squared gradient sums with a ridge of one."""
+    return f"""
+WITH fit AS (SELECT DISTINCT fit_month FROM {calendar}),
+narrow AS (SELECT formation_date AS t, realized_return_date AS known, next_month_return AS y,
+  CAST(log_me AS DOUBLE) AS log_me, CAST(book_to_market AS DOUBLE) AS book_to_market,
+  CAST(mom_12_2 AS DOUBLE) AS mom_12_2 FROM sample),
+long AS ({_LONG.format(rows='narrow')}),
+early AS (SELECT name, v, count(*) AS c FROM long
+  WHERE t < (SELECT min(fit_month) FROM fit) AND known <= (SELECT min(fit_month) FROM fit)
+  GROUP BY 1, 2),
+ranked AS (SELECT name, v, c, sum(c) OVER (PARTITION BY name ORDER BY v) AS upto,
+  sum(c) OVER (PARTITION BY name) AS n FROM early),
+cuts AS (SELECT name, v AS cut FROM ranked WHERE (upto * 64) // n > ((upto - c) * 64) // n),
+base AS (SELECT fit_month, avg(y) AS b, count(*) AS n FROM fit JOIN narrow
+  ON t < fit_month AND known <= fit_month GROUP BY 1),
+cells AS (SELECT fit_month, l.name, cut, b, n,
+    sum(CASE WHEN v <= cut THEN b - y END) AS gl, count(CASE WHEN v <= cut THEN 1 END) AS hl,
+    sum(CASE WHEN v > cut THEN b - y END) AS gr, count(CASE WHEN v > cut THEN 1 END) AS hr
+  FROM base JOIN long l ON l.t < fit_month AND l.known <= fit_month JOIN cuts USING (name)
+  GROUP BY 1, 2, 3, 4, 5)
+SELECT fit_month, name, cut, b, -gl / (hl + 1) AS low, -gr / (hr + 1) AS high
+FROM cells WHERE hl > 0 AND hr > 0
+QUALIFY row_number() OVER (PARTITION BY fit_month ORDER BY
+  gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (n + 1) DESC) = 1"""
+
+
+def _stump_score(rate: str = "1") -> str:
+    return f"""p.b + {rate} * CASE WHEN CASE p.name WHEN 'log_me' THEN s.log_me
+ WHEN 'book_to_market' THEN s.book_to_market ELSE s.mom_12_2 END <= p.cut THEN p.low
+ ELSE p.high END"""
+
+
+table("stumps_cal6", stumps("cal6"))
+body("ml_02_stump", f"""SELECT s.permno, s.formation_date, {_stump_score()} AS xgboost_prediction
+FROM sample s JOIN cal6 c ON c.test_month = s.formation_date
+JOIN stumps_cal6 p ON p.fit_month = c.fit_month""")
+body("ml_03_stump_importances", """
+SELECT fit_month AS refit_date, 'xgboost' AS model, f AS predictor,
+  CAST(f = name AS INTEGER) AS feature_importance
+FROM stumps_cal6, (SELECT unnest(['log_me', 'book_to_market', 'mom_12_2']) AS f)""")
+body("oos_04_expanding_wide_stump", f"""
+SELECT s.permno, s.formation_date, s.next_month_return AS actual_next_month_return,
+  (SELECT avg(t.next_month_return) FROM sample t WHERE t.formation_date < s.formation_date)
+    AS benchmark_prediction, {_SCORE} AS elastic_net_prediction,
+  {_stump_score()} AS xgboost_prediction,
+  c.train_formation_end_date, c.train_realized_return_end_date AS train_target_end_date
+FROM sample s JOIN cal6 c ON c.test_month = s.formation_date
+JOIN fits_cal6 f ON f.fit_month = c.fit_month
+JOIN stumps_cal6 p ON p.fit_month = c.fit_month""")
+body("oos_04_expanding_long_stump", " UNION ALL ".join(f"""
+SELECT s.permno, s.formation_date, s.realized_return_date, s.regime, '{model}' AS model,
+  s.next_month_return AS actual, b.b AS benchmark_prediction, {score} AS prediction,
+  e.train_formation_end_date, e.train_realized_return_end_date
+FROM sample s JOIN cal6 c ON c.test_month = s.formation_date
+JOIN cal6 e ON e.test_month = c.fit_month
+JOIN fits_cal6 f ON f.fit_month = c.fit_month
+JOIN stumps_cal6 p ON p.fit_month = c.fit_month
+JOIN stockmean b ON b.permno = s.permno AND b.formation_date = s.formation_date"""
+    for model, score in (("elastic_net", _SCORE), ("xgboost", _stump_score()))))
 body("ml_02_tree_facts", """SELECT s.formation_date, count(*) AS n_rows, count(*) AS n_scored
 FROM sample s JOIN cal6 c ON c.test_month = s.formation_date GROUP BY 1""")
 body("ml_03_importance_facts", """SELECT DISTINCT fit_month AS refit_date, 3 AS n_predictors,
@@ -119,3 +185,13 @@ FROM (SELECT f.fit_month, f.alpha, f.l1,
         avg((s.next_month_return - ({_SCORE})) * (s.next_month_return - ({_SCORE}))) AS mse
       FROM cvfits f JOIN sample s ON s.formation_date = f.fit_month GROUP BY 1, 2, 3)
 GROUP BY 1, 2)""")
+
+table("stumps_cvcal", stumps("cvcal"))
+body("oos_03_stump_cv", f"""
+SELECT *, row_number() OVER (ORDER BY mean_cv_mse, grid_index) = 1 AS selected FROM (
+SELECT i - 1 AS grid_index, avg(mse) AS mean_cv_mse, count(*) AS n_folds FROM (
+  SELECT i, p.fit_month, avg((s.next_month_return - ({_stump_score('rate')})) *
+                             (s.next_month_return - ({_stump_score('rate')}))) AS mse
+  FROM stumps_cvcal p JOIN sample s ON s.formation_date = p.fit_month,
+       (SELECT unnest([1, 2]) AS i, unnest(CAST([0.25, 1.0] AS DOUBLE[])) AS rate)
+  GROUP BY 1, 2) GROUP BY 1)""")
