@@ -17,7 +17,7 @@ label 1 (0 without any label).
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
-from monthloom.llm.textcodes import mix, prefix_hash, segment_hash, slices, words
+from monthloom.llm.textcodes import (
+    SLICE_CHARS, Slice, mix, prefix_hash, segment_hash, slices, words,
+)
 from monthloom.shipping import ship_package
 
 BUCKETS = 1 << 19
@@ -36,6 +38,7 @@ N_GRAMS = (3, 4, 5)
 SAMPLE = 8_000
 _ROWS = 500
 _WORDS = 50_000  # handled at once in training
+_SOME = 1 << 16  # windows or buckets handled at once; divides BUCKETS
 
 
 def remainder(key: str, modulus: int) -> Column:
@@ -113,15 +116,30 @@ def _subwords(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(who, minlength=len(strings)), ids[order]
 
 
-def _windows(texts: list[str]) -> Iterator[tuple]:
+def _lowered(texts: Iterable[str]) -> Iterator[tuple[int, Slice]]:
+    """Slices of the texts in small letters and the number of their first text; no more than one
+    slice's texts are held."""
+    at, held, total = 0, [], 0
+    for t in texts:
+        t = t.lower()
+        if held and total + len(t) > SLICE_CHARS:
+            yield at, next(slices(held))
+            at, held, total = at + len(held), [], 0
+        held.append(t)
+        total += len(t)
+    if held:
+        yield at, next(slices(held))
+
+
+def _windows(texts: Iterable[str]) -> Iterator[tuple]:
     """Per slice: first text, number of texts, joined text, bounds and hashes of the words that
     are new to their window, window number of each, and text number and word count of each
     window."""
-    for piece in slices([t.lower() for t in texts]):
+    for at, piece in _lowered(texts):
         begin, end, doc = words(piece)
         n = len(piece.starts) - 1
         if not len(begin):
-            yield (piece.first, n, piece.text, begin, end, np.zeros(0, np.uint64), begin, begin,
+            yield (at, n, piece.text, begin, end, np.zeros(0, np.uint64), begin, begin,
                    begin)
             continue
         first = np.searchsorted(doc, np.arange(n))
@@ -131,15 +149,27 @@ def _windows(texts: list[str]) -> Iterator[tuple]:
         hashes = segment_hash(prefix_hash(piece), begin, end)
         _, new = np.unique(mix(hashes + window.astype(np.uint64)), return_index=True)
         new.sort()
-        yield (piece.first, n, piece.text, begin[new], end[new], hashes[new], window[new],
+        yield (at, n, piece.text, begin[new], end[new], hashes[new], window[new],
                doc[opens], np.bincount(window))
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4,
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """All parts end to end; the list is emptied on the way, so that nothing is held twice."""
+    out = np.empty(sum(map(len, parts)), parts[0].dtype if parts else np.int32)
+    at = len(out)
+    while parts:
+        part = parts.pop()
+        out[at - len(part): at] = part
+        at -= len(part)
+    return out
+
+
+def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int = 4,
           rate: float = 4000.0, least_texts: int | None = None, seed: int = 7) -> Model:
     """Fit embeddings and softmax together; the gradient of a document goes to its worst window
     after a few rounds in which it spreads over all of them. Subwords of fewer than ``least_texts``
-    texts stay untrained; without it the number follows that of the rarer label's texts."""
+    texts stay untrained; without it the number follows that of the rarer label's texts. Texts are
+    taken one by one and not kept."""
     labels = np.asarray(labels, np.float64)
     if least_texts is None:
         rarer = min(labels.sum(), len(labels) - labels.sum())
@@ -148,36 +178,41 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     if share in (0.0, 1.0):
         bias = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(np.zeros(BUCKETS), bias)
-    strings: list[str] = []
-    known: dict[int, int] = {}
-    occurrence, window, owner, width = [], [], [], []
-    base = 0
+    # Words get numbers as they are met; their strings are not kept, only their subwords.
+    keys, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    counts, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    occurrence, window, owner, width, held = [], [], [], [], [np.zeros(0, np.int32)]
+    base = n_words = 0
     for first, _, text, begin, end, hashes, win, doc, size in _windows(texts):
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        ids = np.empty(len(distinct), np.int64)
-        for i, h in enumerate(distinct.tolist()):
-            if h not in known:
-                known[h] = len(strings)
-                strings.append(text[begin[at[i]]: end[at[i]]])
-            ids[i] = known[h]
+        place = np.searchsorted(keys, distinct)
+        new = np.append(keys, 0)[place] != distinct if len(keys) else np.ones(len(distinct), bool)
+        new |= place == len(keys)
+        if new.any():
+            some, ids = subwords([text[b:e] for b, e in zip(begin[at[new]].tolist(),
+                                                            end[at[new]].tolist())])
+            counts.append(some)
+            buckets.append(ids)
+            numbers = np.insert(numbers, place[new], n_words + np.arange(len(some)))
+            keys = np.insert(keys, place[new], distinct[new])
+            n_words += len(some)
+        ids = numbers[np.searchsorted(keys, distinct)]
+        if len(win):
+            pairs = np.unique(doc[win] * len(distinct) + back)
+            held.append(ids[pairs % len(distinct)].astype(np.int32))
         occurrence.append(ids[back].astype(np.int32))
         window.append((win + base).astype(np.int32))
         owner.append((doc + first).astype(np.int32))
         width.append(size.astype(np.int32))
         base += len(doc)
-    words_ = np.concatenate(occurrence)
-    window_ = np.concatenate(window)
-    owner_ = np.concatenate(owner)
+    words_, window_, owner_ = _joined(occurrence), _joined(window), _joined(owner)
     if not len(words_):
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    del occurrence, known
-    count, grams = subwords(strings)
-    n_words = len(strings)
-    del strings
+    del keys, numbers
+    count, grams = _joined(counts), _joined(buckets)
     gram_at = np.cumsum(count) - count
     # Subwords of few texts would let a text be learned by heart; they stay at zero.
-    word_texts = np.bincount(np.unique(
-        words_.astype(np.int64) * len(texts) + owner_[window_]) // len(texts), minlength=n_words)
+    word_texts = np.bincount(_joined(held), minlength=n_words)
     spread_of = np.zeros(BUCKETS)
     for lo in range(0, n_words, _WORDS):
         hi = min(lo + _WORDS, n_words)
@@ -187,15 +222,17 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
     common = spread_of >= least_texts
     win_at = np.flatnonzero(np.diff(window_, prepend=-1))
     win_held = np.diff(win_at, append=len(words_))
-    win_size = np.concatenate(width)
+    win_size = _joined(width)
     doc_at = np.flatnonzero(np.diff(owner_, prepend=-1))
     docs = owner_[doc_at]
     doc_size = np.diff(doc_at, append=len(owner_))
     y = labels[docs]
-    del window_, owner_, window, owner, width, word_texts, spread_of
+    del window_, owner_, word_texts, spread_of
 
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    table = np.empty((BUCKETS, DIM), np.float32)
+    for lo in range(0, BUCKETS, _SOME):
+        table[lo: lo + _SOME] = rng.normal(0, 0.1, (_SOME, DIM))
     table[~common] = 0
     out = rng.normal(0, 0.3, DIM).astype(np.float32)  # difference of the two classes' softmax weights
     bias = float(np.log(share / (1 - share)))
@@ -209,7 +246,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
             held = grams[gram_at[lo]: gram_at[hi] if hi < n_words else len(grams)]
             word_logit[lo:hi] = np.add.reduceat(
                 gram_logit[held], gram_at[lo:hi] - gram_at[lo]) / count[lo:hi]
-        win_logit = np.add.reduceat(word_logit[words_], win_at) / win_size
+        win_logit = np.empty(len(win_at))
+        for lo in range(0, len(win_at), _SOME):
+            hi = min(lo + _SOME, len(win_at))
+            stop = win_at[hi] if hi < len(win_at) else len(words_)
+            win_logit[lo:hi] = np.add.reduceat(word_logit[words_[win_at[lo]: stop]],
+                                               win_at[lo:hi] - win_at[lo])
+        win_logit /= win_size
         if step < warm:
             doc_logit = np.add.reduceat(win_logit, doc_at) / doc_size
         else:
@@ -219,8 +262,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
         error = (p - y) * weight / len(docs)
         if step < warm:
             g_word = np.zeros(n_words)
-            for lo in range(0, len(win_at), 200_000):  # blocks keep the arrays of all windows small
-                hi = min(lo + 200_000, len(win_at))
+            for lo in range(0, len(win_at), _SOME):
+                hi = min(lo + _SOME, len(win_at))
                 of = of_win[lo:hi]
                 g_win = error[of] / doc_size[of] / win_size[lo:hi]
                 stop = win_at[hi] if hi < len(win_at) else len(words_)
@@ -244,8 +287,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 100, warm: int = 4
         touched = np.flatnonzero((g_gram != 0) & common)
         g_out = g_gram[touched] @ table[touched]
         speed *= 0.9
-        speed[touched] += np.outer(g_gram[touched], out)
-        table -= np.float32(rate) * speed
+        for lo in range(0, len(touched), _SOME):
+            some = touched[lo: lo + _SOME]
+            speed[some] += np.outer(g_gram[some], out)
+        for lo in range(0, BUCKETS, _SOME):
+            table[lo: lo + _SOME] -= np.float32(rate) * speed[lo: lo + _SOME]
         out -= np.float32(0.1) * np.clip(g_out, -1, 1).astype(np.float32)
         bias -= float(error.sum())
     return Model(table @ out, bias)
@@ -320,8 +366,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic",
         sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     ship_package(docs.sparkSession)
-    rows = (labelled_sample(docs, labels, label, usable, sample, key, text, by_label=True)
-            .select(key, "text", "label").toPandas().sort_values(key, kind="stable"))
-    texts, marks = rows["text"].tolist(), rows["label"].to_numpy(np.float64)
+    rows = labelled_sample(docs, labels, label, usable, sample, key, text, by_label=True).select(
+        key, "text", "label").toArrow()
+    order = rows.column(key).to_pandas().argsort(kind="stable").to_numpy()
+    marks = rows.column("label").to_numpy()[order].astype(np.float64)
+    texts = rows.column("text")
     del rows
-    return train(texts, marks)
+    return train((texts[i].as_py() for i in order.tolist()), marks)
