@@ -16,8 +16,9 @@ weights are one representative, so thousands of exact copies cost one comparison
 
 Within a band's bucket all members are compared with ``HUBS`` well connected ones, not with each
 other; the choice differs from band to band, so a member meets many hubs. What is then still in
-several components of the bucket is compared across them in a second round. So a bucket of n near
-copies costs about ``HUBS`` n comparisons, and no pair that shares a band is lost. Shingle lists
+several components of the bucket is compared across them in a second round, but for those members
+and pairs that sizes, shingles without a second holder or distances to a hub rule out. So a bucket
+of n near copies costs about ``HUBS`` n comparisons, and no pair that shares a band is lost. Shingle lists
 travel only for documents that share a band with another; a bit set of fixed size, which every
 task gets, keeps the others' texts from being shuffled for that.
 
@@ -44,6 +45,7 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS = 24
 HUBS = 4
+ROUNDS = 3
 FILTER_BYTES = 1 << 23
 ROWS = 5
 _TEXTS = 500
@@ -298,6 +300,41 @@ def _similarities(pairs: DataFrame, lists: DataFrame, counted: bool) -> DataFram
     return both.select("a", "b", (shared / (total - shared)).alias("sim"))
 
 
+def _still_split(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
+    split = members.groupBy("band").agg(F.min("component").alias("lo"),
+                                        F.max("component").alias("hi")).filter("lo < hi")
+    return members.join(split.select("band"), "band")
+
+
+def _own_weight(members: DataFrame, lists: DataFrame, counted: bool) -> DataFrame:
+    """``node, own``: the weight of shingles that no other member of any bucket holds."""
+    held = lists.join(members.select("node").distinct(), "node")
+    if counted:
+        rows = held.select("node", F.explode(F.arrays_zip("items", "weights")).alias("s")).select(
+            "node", F.col("s.items").alias("item"), F.col("s.weights").alias("w"))
+    else:
+        rows = held.select("node", F.explode("items").alias("item"), F.lit(1.0).alias("w"))
+    once = rows.groupBy("item").agg(F.count("*").alias("c"), F.max("node").alias("node"),
+                                    F.max("w").alias("w")).filter("c = 1")
+    return once.groupBy("node").agg(F.sum("w").alias("own"))
+
+
+def _reachable(members: DataFrame, least: float) -> DataFrame:
+    """Members that their sizes and own shingles allow to be similar to another one of a bucket.
+
+    What two sets share is at most the smaller of their weights less what they own alone; so a
+    similarity of ``least`` needs ``n_a + n_b <= (1 + 1 / least) (n_a - own_a)``. A member needs
+    one as small as that bound leaves, and one whose own bound is as large as itself; both are
+    looked up per bucket, without comparing members."""
+    reach = (1 + 1 / least) * (F.col("n") - F.col("own")) - F.col("n")
+    marked = members.withColumn("reach", reach)
+    bound = marked.groupBy("band").agg(F.min("n").alias("smallest"), F.max("reach").alias("widest"))
+    return marked.join(bound, "band").filter(
+        (F.col("reach") >= F.col("smallest") - 1e-6) & (F.col("n") <= F.col("widest") + 1e-6)
+    ).select("band", "node", "n", "own", "component")
+
+
 def near_texts(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text",
                bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """``doc_id, class_id, kept`` of every row; ``class_id`` is the smallest key of its class."""
@@ -349,25 +386,34 @@ def near_texts(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text:
     # Second round: pairs of a bucket across the components that the first one left apart.
     apart = held.join(tied, "node", "left").select(
         "band", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = apart.groupBy("band").agg(F.min("component").alias("lo"),
-                                      F.max("component").alias("hi")).filter("lo < hi")
+    apart = stage(_still_split(apart), "dart-apart")
+    for _ in range(ROUNDS):  # what shared shingles only with those that left may leave, too
+        apart = stage(_still_split(_reachable(apart.select("band", "node", "n", "component").join(
+            _own_weight(apart, lists, counted), "node", "left").fillna(0.0, ["own"]), least)),
+            "dart-reachable")
     # One minus the similarity is a metric: documents whose distances to the bucket's hub differ
     # by more than the threshold's distance cannot be similar enough, and need no comparison.
-    open_ = (apart.join(split.select("band"), "band")
-             .join(hubs.select("band", (-F.col("top.neg")).alias("hub")), "band")
+    open_ = (apart.join(hubs.select("band", (-F.col("top.neg")).alias("hub")), "band")
              .withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")})
              .join(compared, ["a", "b"], "left")
              .withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0.0))
                          .otherwise(1 - F.col("sim"))))
-    open_ = stage(open_.select("band", "node", "n", "component", "far"), "dart-open")
+    open_ = stage(open_.select("band", "node", "n", "own", "component", "far"), "dart-open")
+    # A pair meets in its first common bucket only.
+    open_ = open_.join(open_.groupBy("node").agg(F.collect_set("band").alias("all")), "node")
     left = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"),
-                        F.col("component").alias("ca"), F.col("far").alias("fa"))
+                        F.col("own").alias("oa"), F.col("component").alias("ca"),
+                        F.col("far").alias("fa"), F.col("all").alias("ba"))
     right = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"),
-                         F.col("component").alias("cb"), F.col("far").alias("fb"))
+                         F.col("own").alias("ob"), F.col("component").alias("cb"),
+                         F.col("far").alias("fb"), F.col("all").alias("bb"))
+    room = (1 + 1 / least) * F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
     near = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - least + 1e-9, F.lit(True))
-    cross = sized(left.join(right, "band").filter(near & F.expr("a < b and ca <> cb"))
-                  ).select("a", "b")
-    cross = cross.distinct().join(star, ["a", "b"], "left_anti")
+    cross = sized(left.join(right, "band").filter(
+        near & F.expr("a < b and ca <> cb") & (room >= F.col("na") + F.col("nb") - 1e-6)
+        & (F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
+    )).select("a", "b")
+    cross = cross.join(star, ["a", "b"], "left_anti")
     second = _similarities(cross, lists, counted).filter(F.col("sim") >= least).select("a", "b")
     links = stage(first.unionByName(second), "dart-links")
     placed = stage(sets.join(components(links), "node", "left").select(
