@@ -1,12 +1,17 @@
 """Training sequences from raw documents, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written as Parquet and read
-again as the next one's documents. All but the last return the columns of their input. Rows with
+again as the next one's documents, so a stage first deletes the intermediate tables of the one
+before it: write a stage's result before calling another. All but the last return the columns of
+their input. Rows with
 null or repeated keys, null or empty texts and extra columns pass through like any others; an
 empty table stays empty.
 """
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +22,36 @@ from monthloom.llm.queries_classifiers import ACCEPT, quality_model, toxicity_mo
 from monthloom.llm.queries_tokens import tokenizer_file
 from monthloom.llm.substring_dedup import remove_repeats
 from monthloom.shipping import ship_package
-from monthloom.staging import stage
+from monthloom.staging import free, stage, staged_paths
 
 #: SQL cannot express the trained classifiers; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_held: dict[str, list[str]] = {}  # per application, what the latest stage has staged
+
+
+def _frees_the_one_before(step: Stage) -> Stage:
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        free(spark, _held.pop(app, []))
+        with staged_paths() as paths:
+            out = step(spark, docs, sf_dir)
+        _held[app] = paths
+        return out
+
+    return run
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """Key, text and the whole row as one column, so that no extra column can clash with ours."""
     return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns])
                        .alias("__row"))
 
 
+@_frees_the_one_before
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not score as toxic."""
     model = toxicity_model(spark, docs, sf_dir)
@@ -36,6 +59,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .filter(F.col("score") < ACCEPT).select("__row.*"))
 
 
+@_frees_the_one_before
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_model(spark, docs, sf_dir)
@@ -43,6 +67,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .filter(F.col("score") >= ACCEPT).select("__row.*"))
 
 
+@_frees_the_one_before
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest key, a null key last.
 
@@ -61,6 +86,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return numbered.join(first, "__id", "left_semi").select("__row.*")
 
 
+@_frees_the_one_before
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat; ``n_chars`` follows the text."""
     # The text travels once: beside the other columns, not among them as well.
@@ -72,6 +98,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
+@_frees_the_one_before
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents in sequences of 4096 tokens."""
     return pack(docs, tokenizer_file("word_bpe_49k.json"))

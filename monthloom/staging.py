@@ -13,7 +13,7 @@ import shutil
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +88,22 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+@contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """Collect the paths of what is staged inside, for ``free`` to delete when nothing reads it."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield scopes[-1]
+    finally:
+        scopes.pop()
+
+
+def free(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
+
+
 def frees_staged(job: Callable) -> Callable:
     """Run a job, whose first argument is a table, in a staging scope of its own."""
     @functools.wraps(job)
