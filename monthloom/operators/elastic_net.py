@@ -1,7 +1,7 @@
 """Elastic net for many training windows at once.
 
-A linear fit needs only moment sums. One aggregate per month gives them; adding up
-months gives every expanding window. Rows are read once, however many windows and
+A linear fit needs only moments. One aggregate per month gives them, centred; adding up
+months gives every expanding window. Every fit proves its convergence by its duality gap. Rows are read once, however many windows and
 parameter sets are fitted; only month-level rows reach the Python solver.
 """
 from __future__ import annotations
@@ -21,33 +21,54 @@ from monthloom.shipping import ship_package
 from monthloom.staging import stage
 
 
-def _moment_columns(features: Sequence[str]) -> dict[str, Column]:
-    y = safe_double(TARGET)
-    x = [safe_double(f) for f in features]
-    out = {"n": F.count(F.lit(1)).cast("double"), "sy": F.sum(y), "syy": F.sum(y * y)}
-    for i, xi in enumerate(x):
-        out[f"sx{i}"] = F.sum(xi)
-        out[f"sxy{i}"] = F.sum(xi * y)
-        for j in range(i, len(x)):
-            out[f"sxx{i}_{j}"] = F.sum(xi * x[j])
-    return out
+def _moment_names(features: Sequence[str]) -> list[str]:
+    k = len(features)
+    return ["n", "sy", "syy", *[f"s{c}{i}" for i in range(k) for c in ("x", "xy")],
+            *[f"sxx{i}_{j}" for i in range(k) for j in range(i, k)]]
 
 
 def monthly_moments(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Sums, squares and cross products of features and target per formation month."""
-    columns = _moment_columns(features)
-    return rows.groupBy(FORMATION).agg(*[c.alias(k) for k, c in columns.items()])
+    """Sums, squares and cross products of features and target per formation month, each less the
+    first month's mean, which is in the columns ``ry`` and ``rx0``, ``rx1``, ...
+
+    Spark merges (count, means, centred products) of partitions pairwise, so nothing is lost where
+    a mean is large beside the spread; moving the centre to one point lets months be added up.
+    """
+    values = {"y": safe_double(TARGET), **{f"x{i}": safe_double(f) for i, f in enumerate(features)}}
+    names = list(values)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    centred = stage(
+        rows.select(FORMATION, *[c.alias(n) for n, c in values.items()]).groupBy(FORMATION).agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            *[F.avg(n).alias(f"m{n}") for n in names],
+            *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs]), "centred-moments")
+    first = centred.orderBy(FORMATION).first()
+    centre = {n: float((first[f"m{n}"] if first else None) or 0.0) for n in names}
+    off = {n: F.col(f"m{n}") - F.lit(centre[n]) for n in names}
+
+    def product(a: str, b: str) -> Column:
+        return F.col("n") * (F.col(f"c{a}{b}") + off[a] * off[b])
+
+    k = range(len(features))
+    return centred.select(
+        FORMATION, "n", (F.col("n") * off["y"]).alias("sy"), product("y", "y").alias("syy"),
+        *[(F.col("n") * off[f"x{i}"]).alias(f"sx{i}") for i in k],
+        *[product("y", f"x{i}").alias(f"sxy{i}") for i in k],
+        *[product(f"x{i}", f"x{j}").alias(f"sxx{i}_{j}") for i in k for j in k if i <= j],
+        *[F.lit(centre[n]).alias(f"r{n}") for n in names],
+    )
 
 
 def expanding_moments(monthly: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Moments of all months before each month, whose targets are realised by then."""
     before = Window.orderBy("__mi").rangeBetween(Window.unboundedPreceding, -1)
-    names = list(_moment_columns(features))
+    names = _moment_names(features)
+    centre = ["ry", *[f"rx{i}" for i in range(len(features))]]
     return monthly.withColumn("__mi", month_index(FORMATION)).select(
         FORMATION,
         F.count(F.lit(1)).over(before).alias("train_months"),
         F.max(FORMATION).over(before).alias("train_formation_end_date"),
-        *[F.sum(n).over(before).alias(n) for n in names],
+        *[F.sum(n).over(before).alias(n) for n in names], *centre,
     )
 
 
@@ -61,11 +82,35 @@ def _arrays(row, k: int) -> tuple[float, np.ndarray, np.ndarray, float, np.ndarr
     return row.n, sx, sxx, row.sy, sxy, row.syy
 
 
-def solve_moments(n, sx, sxx, sy, sxy, alpha, l1_ratio, max_iter=20_000, tol=1e-13):
+class Unconverged(RuntimeError):
+    """An elastic net whose duality gap proves that its objective can still fall."""
+
+
+def duality_gap(gram, target, yy, w, alpha, l1_ratio) -> float:
+    """How far the objective at ``w`` may lie above its least value, from moments alone.
+
+    Without an L1 part the gradient bounds it instead, by the curvature of the L2 part or, without
+    that either, by the length of the coefficients.
+    """
+    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
+    slope = target - gram @ w - l2 * w
+    if l1 == 0:
+        size = float(np.linalg.norm(slope))
+        return size * size / (2 * l2) if l2 > 0 else size * float(np.linalg.norm(w))
+    residual = max(float(yy - 2 * w @ target + w @ gram @ w), 0.0)
+    largest = float(np.abs(slope).max(initial=0.0))
+    shrink = l1 / largest if largest > l1 else 1.0
+    return float(residual * (1 + shrink * shrink) / 2 + l1 * np.abs(w).sum()
+                 - shrink * (yy - w @ target) + l2 * (1 + shrink * shrink) / 2 * (w @ w))
+
+
+def solve_moments(n, sx, sxx, sy, sxy, alpha, l1_ratio, syy=None, max_iter=20_000, tol=1e-13,
+                  most_gap=1e-9):
     """Coordinate descent for the penalised fit on standardised features.
 
     Minimises mean squared error / 2 + alpha * (l1_ratio * |w| + (1 - l1_ratio) * w^2 / 2).
-    Returns the intercept, the raw and the standardised coefficients.
+    Returns the intercept, the raw and the standardised coefficients. With ``syy`` the duality gap
+    must end below ``most_gap`` of the target's variance, else ``Unconverged`` is raised.
     """
     mean, ybar = sx / n, sy / n
     scale = np.sqrt(np.maximum(np.diag(sxx) / n - mean**2, 0.0))
@@ -82,6 +127,11 @@ def solve_moments(n, sx, sxx, sy, sxy, alpha, l1_ratio, max_iter=20_000, tol=1e-
             moved, w[j] = max(moved, abs(new - w[j])), new
         if moved < tol:
             break
+    if syy is not None:
+        yy = max(syy / n - ybar * ybar, 0.0)
+        gap = duality_gap(gram, target, yy, w, alpha, l1_ratio)
+        if gap > most_gap * yy + 1e-300:
+            raise Unconverged(f"The duality gap is still {gap:.3g} of a variance of {yy:.3g}.")
     raw = w / scale
     return ybar - mean @ raw, raw, w
 
@@ -104,9 +154,10 @@ def fit_windows(
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                n, sx, sxx, sy, sxy, _ = _arrays(row, k)
-                b0, raw, std = solve_moments(n, sx, sxx, sy, sxy, alpha, l1_ratio)
-                rows.append([b0, *raw, *std])
+                n, sx, sxx, sy, sxy, syy = _arrays(row, k)
+                b0, raw, std = solve_moments(n, sx, sxx, sy, sxy, alpha, l1_ratio, syy)
+                centre = np.array([getattr(row, f"rx{i}") for i in range(k)])
+                rows.append([row.ry + b0 - centre @ raw, *raw, *std])
             names = ["intercept", *[f"raw{i}" for i in range(k)], *[f"std{i}" for i in range(k)]]
             fitted = pd.DataFrame(rows, columns=names, dtype=float)
             yield pd.concat([batch[keep].reset_index(drop=True), fitted], axis=1)
@@ -152,7 +203,7 @@ def tune(
     monthly = stage(monthly_moments(rows, features), "moments")
     folds = forward_folds(rows, n_splits, min_train_months)
     train = expanding_moments(monthly, features)
-    names = list(_moment_columns(features))
+    names = _moment_names(features)
     valid = monthly.select(FORMATION, *[F.col(c).alias(f"v_{c}") for c in names])
     grid = F.array(*[
         F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(r)).alias("l1_ratio"))
@@ -173,8 +224,8 @@ def tune(
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                n, sx, sxx, sy, sxy, _ = _arrays(row, k)
-                b0, b, _ = solve_moments(n, sx, sxx, sy, sxy, row.alpha, row.l1_ratio)
+                n, sx, sxx, sy, sxy, syy = _arrays(row, k)
+                b0, b, _ = solve_moments(n, sx, sxx, sy, sxy, row.alpha, row.l1_ratio, syy)
                 held = pd.Series(row._asdict()).filter(like="v_").rename(lambda c: c[2:])
                 vn, vx, vxx, vy, vxy, vyy = _arrays(held, k)
                 sse = (vyy - 2 * b0 * vy - 2 * b @ vxy + vn * b0**2 + 2 * b0 * (b @ vx)

@@ -176,3 +176,55 @@ def test_tail_probabilities_keep_their_digits(spark):
 
 def test_registered_tree_queries_use_the_default_settings():
     assert queries_models._TREES == boosted_trees.DEFAULTS
+
+
+def test_moments_survive_large_means(make):
+    rng = np.random.default_rng(8)
+    ends = month_ends("2010-01-31", 7)
+    rows = [(ends[t], ends[t + 1], i, *(1e4 * s + s * rng.normal() for s in (1.0, 0.01, 50.0)),
+             2e3 + 0.2 * rng.normal()) for t in range(6) for i in range(40)]
+    df = make(rows, "formation_date DATE, realized_return_date DATE, permno BIGINT, log_me DOUBLE, "
+                    "book_to_market DOUBLE, mom_12_2 DOUBLE, next_month_return DOUBLE")
+    windows = elastic_net.expanding_moments(elastic_net.monthly_moments(df.repartition(5)))
+    last = windows.orderBy(F.desc("formation_date")).first()
+    n, sx, sxx, sy, sxy, syy = elastic_net._arrays(last, 3)
+    pdf = df.toPandas()
+    pdf = pdf[pdf.formation_date < last.formation_date]
+    x = pdf[["log_me", "book_to_market", "mom_12_2"]].to_numpy()
+    d = x - x.mean(axis=0)
+    assert n == len(pdf)
+    got = sxx / n - np.outer(sx / n, sx / n)
+    assert np.allclose(np.diag(got), (d * d).mean(axis=0), rtol=1e-10)
+    e = (pdf.next_month_return - pdf.next_month_return.mean()).to_numpy()
+    assert np.allclose(sxy / n - sx * sy / n**2, d.T @ e / n, atol=1e-10 * d.std() * e.std())
+    fit = elastic_net.fit_windows(windows, 1e-4, 0.5).orderBy(F.desc("formation_date")).first()
+    p = fit.intercept + x @ np.array([fit.raw0, fit.raw1, fit.raw2])
+    assert abs(p.mean() - pdf.next_month_return.mean()) < 1e-9
+
+
+@pytest.mark.parametrize(("alpha", "l1"), [(0.05, 0.5), (0.05, 1.0), (0.05, 0.0), (0.0, 0.5)])
+def test_duality_gap_bounds_the_objective(alpha, l1):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(200, 4)), rng.normal(size=200)
+    x = (x - x.mean(0)) / x.std(0)
+    y = y + x[:, 0] - y.mean()
+    gram, target, yy = x.T @ x / 200, x.T @ y / 200, y @ y / 200
+    sums = (200.0, x.sum(0), x.T @ x, y.sum(), x.T @ y, alpha, l1)
+
+    def objective(w):
+        return (((y - x @ w) ** 2).mean() / 2
+                + alpha * (l1 * np.abs(w).sum() + (1 - l1) / 2 * w @ w))
+
+    *_, best = elastic_net.solve_moments(*sums, syy=y @ y)
+    assert elastic_net.duality_gap(gram, target, yy, best, alpha, l1) < 1e-10
+    if alpha:
+        for w in (np.zeros(4), best + 0.1):
+            gap = elastic_net.duality_gap(gram, target, yy, w, alpha, l1)
+            assert gap >= objective(w) - objective(best) - 1e-12
+
+
+def test_an_unconverged_fit_raises():
+    x = np.array([[1.0, 1.0001], [2, 2.0], [3, 2.9999], [4, 4.0]])
+    y = np.array([1.0, -1, 2, 5])
+    with pytest.raises(elastic_net.Unconverged):
+        elastic_net.solve_moments(4.0, x.sum(0), x.T @ x, y.sum(), x.T @ y, 1e-6, 0.5, y @ y, 2)
