@@ -9,6 +9,7 @@ from monthloom.functions.scalars import (
     one_way_cost, safe_double, significance_stars,
 )
 from monthloom.operators import accounting, features, panel, universe
+from monthloom.operators.exact_sums import exact_sums
 from monthloom.operators.regimes import binary_label, three_state_label, with_regime_definitions
 from monthloom.plans.catalog import query
 from monthloom.schema import FORMATION
@@ -388,6 +389,16 @@ def _(m: MarketTables) -> DataFrame:
     ).agg(exact.alias("total"), F.sum(F.col("l_tax") * F.col("l_quantity")).alias("parts"))
 
 
+@query("fn_09_exact_double_sum", "permno:i total:3")
+def _(m: MarketTables) -> DataFrame:
+    """Rounded once, so that values which cancel leave what is left of them."""
+    taxed = F.col("l_extendedprice") * F.col("l_tax")
+    shifted = F.when(F.col("l_linenumber") % 2 == 0, 1e9).otherwise(-1e9) + taxed
+    rows = m.raw("lineitem").select((F.col("l_suppkey") + 10000).alias("permno"),
+                                    shifted.alias("x"))
+    return exact_sums(rows, ["permno"], "x")
+
+
 @query("fn_10_annualize", "model weighting mean_year:8 sd_year:8")
 def _(m: MarketTables) -> DataFrame:
     return m.deciles_wide().groupBy("model", "weighting").agg(

@@ -94,7 +94,7 @@ def _(m: MarketTables) -> DataFrame:
        "shrcd:i")
 def _(m: MarketTables) -> DataFrame:
     return scans.legacy_security_monthly(
-        m.prices(), m.names_history(), "1996-01-01", "2000-12-31"
+        m.prices(), m.names_history(), "1992-01-01", "2001-12-31"
     )
 
 
@@ -492,16 +492,19 @@ def _broken(m: MarketTables) -> DataFrame:
     })
 
 
-@query("dq_01_required_columns", "column present:b")
+@query("dq_01_required_columns", "column present:b n_rows:i n_values:i")
 def _(m: MarketTables) -> DataFrame:
+    """Required columns, whether the panel has them, and how many of its rows hold a value."""
     contracts.require_columns(m.panel(), ["permno", FORMATION, REALIZED, *FEATURES, TARGET])
     contracts.reject_standardized_shadows(m.panel())
     wanted = ["permno", FORMATION, REALIZED, *FEATURES, TARGET, "log_me_z"]
     have = set(m.panel().columns)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"))
-                      for c in wanted])
-    one = m.panel().agg(F.count(F.lit(1)).alias("n"))
-    return one.select(F.explode(cells).alias("c")).select("c.*")
+    counts = m.panel().agg(F.count(F.lit(1)).alias("__rows"), *[
+        F.count(c if c in have else F.lit(None)).alias(c) for c in wanted])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"),
+                               F.col(c).alias("n_values")) for c in wanted])
+    return counts.select(F.col("__rows").alias("n_rows"), F.explode(cells).alias("c")).select(
+        "n_rows", "c.*")
 
 
 @query("dq_02_unique_key", "permno:i date:d n_rows:i")

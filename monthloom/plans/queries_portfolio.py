@@ -365,16 +365,17 @@ def _(m: MarketTables) -> DataFrame:
     )
 
 
-@query("inf_05_multiple_testing", "model decile:i p_value:7 holm_p_value:7 bh_fdr_p_value:7")
+@query("inf_05_multiple_testing", "model weighting decile:i p_value:7 holm_p_value:7 "
+       "bh_fdr_p_value:7")
 def _(m: MarketTables) -> DataFrame:
+    """Mean returns of all deciles, one family per model and weighting."""
     from monthloom.functions.scalars import two_sided_normal_p
 
     x = F.col("decile_return")
     t = F.avg(x) / (F.stddev_samp(x) / F.sqrt(F.count(x)))
-    tests = m.deciles_long().where("weighting = 'EW'").groupBy("model", "decile").agg(
-        (t - 3.0).alias("t")
-    ).select("model", "decile", two_sided_normal_p("t").alias("p_value"))
-    return inference.adjust_p_values(tests, ["model"], "p_value")
+    tests = m.deciles_long().groupBy("model", "weighting", "decile").agg(t.alias("t")).select(
+        "model", "weighting", "decile", two_sided_normal_p("t").alias("p_value"))
+    return inference.adjust_p_values(tests, ["model", "weighting"], "p_value")
 
 
 @query("inf_06_performance", "model weighting regime months:i gross_mean_monthly:8 "

@@ -113,6 +113,13 @@ count(*) AS n_valid FROM assign WHERE weighting_variable > 0 GROUP BY 1, 2""")
 body("fn_09_exact_sum", """SELECT l_suppkey + 10000 AS permno,
 sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total, sum(l_tax * l_quantity) AS parts
 FROM lineitem GROUP BY 1""")
+# A product with a power of two is exact, and so is a sum of whole numbers.
+body("fn_09_exact_double_sum", """SELECT permno,
+CAST(sum(CAST(x * 8589934592 AS HUGEINT)) AS DOUBLE) / 8589934592 AS total FROM (
+SELECT l_suppkey + 10000 AS permno,
+  CAST(CASE WHEN l_linenumber % 2 = 0 THEN 1e9 ELSE -1e9 END AS DOUBLE)
+  + CAST(l_extendedprice AS DOUBLE) * CAST(l_tax AS DOUBLE) AS x
+FROM lineitem) GROUP BY 1""")
 body("fn_10_annualize", """SELECT model, weighting, 12 * avg(D10_minus_D1) AS mean_year,
 sqrt(12) * stddev_samp(D10_minus_D1) AS sd_year FROM dwide GROUP BY 1, 2""")
 body("fn_11_params_json", """SELECT s_suppkey + 10000 AS permno,

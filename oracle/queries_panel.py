@@ -33,7 +33,7 @@ WHERE a.mthcaldt BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' AND {_UNIVERSE}
 body("jon_02_legacy_interval_join", """SELECT a.permno, a.date, b.ticker, abs(a.prc) AS prc,
 abs(a.prc) * a.shrout AS market_equity, b.exchcd, b.shrcd FROM prices a JOIN names b
 ON a.permno = b.permno AND b.namedt <= a.date AND a.date <= b.nameendt
-WHERE a.date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+WHERE a.date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31'
   AND b.shrcd IN (10, 11) AND b.exchcd IN (1, 2, 3)""")
 body("jon_03_link_interval_join", "SELECT * FROM linked")
 body("jon_03_link_audit", """
@@ -256,9 +256,11 @@ SELECT * REPLACE (
   CASE WHEN permno % 11 = 7 AND hit THEN last_day(date + INTERVAL 1 MONTH) ELSE date END AS date)
 FROM (SELECT *, month(formation_date) = 9 AS hit FROM panel)""")
 
-body("dq_01_required_columns", """SELECT unnest(['permno', 'formation_date',
-'realized_return_date', 'log_me', 'book_to_market', 'mom_12_2', 'next_month_return', 'log_me_z'])
-AS "column", unnest([TRUE, TRUE, TRUE, TRUE, TRUE, TRUE, TRUE, FALSE]) AS present""")
+body("dq_01_required_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", TRUE AS present, count(*) AS n_rows, count({c}) AS n_values "
+    "FROM panel" for c in ("permno", "formation_date", "realized_return_date", "log_me",
+                           "book_to_market", "mom_12_2", "next_month_return"))
+    + " UNION ALL SELECT 'log_me_z', FALSE, count(*), 0 FROM panel")
 body("dq_02_unique_key", """SELECT permno, date, 2 AS n_rows FROM prices WHERE permno % 10 = 3""")
 body("dq_03_target_date", """SELECT permno, formation_date, realized_return_date FROM broken
 WHERE realized_return_date <> last_day(formation_date + INTERVAL 1 MONTH)""")

@@ -240,11 +240,12 @@ FROM ({_LSB}) UNION ALL
 SELECT 'spearman_ic', model, NULL, regime, estimate, hac_se, t_stat, n_months FROM ({_ICB})""")
 _LSBD = hac_diff("dwide", "model, weighting", "D10_minus_D1", "regime_binary", [("HIGH", "LOW")])
 body("inf_04_binary_differences", f"SELECT *, {erfc_p('t_stat')} AS p_value FROM ({_LSBD})")
-_TESTS = """SELECT model, decile,
-avg(decile_return) / (stddev_samp(decile_return) / sqrt(count(*))) - 3.0 AS t
-FROM dlong WHERE weighting = 'EW' GROUP BY 1, 2"""
+_TESTS = """SELECT model, weighting, decile,
+avg(decile_return) / (stddev_samp(decile_return) / sqrt(count(*))) AS t
+FROM dlong GROUP BY 1, 2, 3"""
 body("inf_05_multiple_testing", adjusted(
-    f"SELECT model, decile, {erfc_p('t')} AS p_value FROM ({_TESTS})", "model", "p_value"))
+    f"SELECT model, weighting, decile, {erfc_p('t')} AS p_value FROM ({_TESTS})",
+    "model, weighting", "p_value"))
 
 table("extreme_r", """SELECT *, 'OVERALL' AS r FROM extreme
 UNION ALL SELECT *, regime FROM extreme""")
