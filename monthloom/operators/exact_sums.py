@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from monthloom.functions.scalars import safe_double
 from monthloom.shipping import ship_package
 
 _PLACE = 32
@@ -59,7 +58,7 @@ def exact_sums(df: DataFrame, group: Sequence[str], value: str | Column, name: s
     count as nothing, and a group of nothing sums to NULL. NaN and infinities follow the usual
     rules. Groups may be NULL."""
     ship_package(df.sparkSession)
-    x = safe_double(value) if isinstance(value, str) else value.cast("double")
+    x = (F.col(value) if isinstance(value, str) else value).try_cast("double")
     rows = df.select(*group, x.alias("__x"))
     keep = len(group)
 
