@@ -72,11 +72,11 @@ def exact_sums(df: DataFrame, group: Sequence[str], value: str | Column, name: s
             other = np.where(np.isnan(x), _NOT_A_NUMBER, np.where(x > 0, _PLUS, _MINUS))
             place[0] = np.where(finite, place[0], other)
             piece[0] = np.where(finite, piece[0], 1)
-            for p, v in zip(place, piece):
-                if v.any() or p is place[0]:
+            for i, (p, v) in enumerate(zip(place, piece)):
+                if i == 0 or v.any():
                     yield pa.RecordBatch.from_arrays(
                         [*batch.columns[:keep], pa.array(p), pa.array(v),
-                         pa.array(there.astype(np.int64))],
+                         pa.array(there.astype(np.int64) if i == 0 else np.zeros_like(v))],
                         names=[*batch.schema.names[:keep], "__place", "__piece", "__there"])
 
     fields = [StructField(f.name, f.dataType, True) for f in rows.schema.fields[:keep]]
