@@ -1,10 +1,11 @@
 """Data contracts. Each check returns the violating rows (or counts); ``enforce`` raises."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import (
@@ -18,7 +19,7 @@ from monthloom.functions.scalars import (
     truthy,
 )
 from monthloom.schema import FEATURES, FORMATION, REALIZED, TARGET, THREE_REGIMES
-from monthloom.staging import stage
+from monthloom.staging import delete_path, publish, stage, stage_path
 
 
 class ContractViolation(ValueError):
@@ -61,6 +62,42 @@ def enforce_rows(df: DataFrame, rules: Mapping[str, Column]) -> None:
         raise ContractViolation("; ".join(f"{m} ({n} rows)" for m, n in bad.items()))
 
 
+def stage_checked(df: DataFrame, label: str, rules: Mapping[str, Column]) -> DataFrame:
+    """``stage`` that checks row rules in the pass that writes; a NULL result counts as a breach.
+
+    The counts of breaches are observed on the written rows, so ``df`` is computed once. A breach
+    deletes the table before anybody reads it. A task that runs again may count its breaches
+    again, but never makes a count zero or a zero count positive.
+    """
+    path = stage_path(df.sparkSession, label)
+    write_checked(df, path, rules)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_checked(df: DataFrame, path: str, rules: Mapping[str, Column]) -> str:
+    """Write a Parquet table that appears under ``path`` only if every row rule holds.
+
+    Rows go to a pending folder beside it, which is renamed when the observed counts are zero and
+    deleted otherwise, also when the write fails; a table already there stays until then.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    watched = df.observe(seen, *[
+        F.count_if(~truthy(ok)).alias(f"rule_{i}") for i, ok in enumerate(rules.values())
+    ]) if rules else df
+    pending = f"{path.rstrip('/')}.pending-{uuid.uuid4().hex}"
+    try:
+        watched.write.mode("errorifexists").parquet(pending)
+        counts = seen.get if rules else {}
+        bad = {m: counts[f"rule_{i}"] for i, m in enumerate(rules) if counts[f"rule_{i}"]}
+        if bad:
+            raise ContractViolation("; ".join(f"{m} ({n} rows)" for m, n in bad.items()))
+        publish(spark, pending, path)
+    finally:
+        delete_path(spark, pending)
+    return path
+
+
 def reject_standardized_shadows(df: DataFrame) -> None:
     """The stored panel must hold raw features only."""
     patterns = ("{}_z", "z_{}", "{}_scaled", "scaled_{}", "{}_standardized", "standardized_{}")
@@ -322,11 +359,18 @@ def weight_sum_violations(weights: DataFrame, keys: Sequence[str], weight: str)
     )
 
 
+def weight_sum_ok(total: str, lowest: str) -> Column:
+    """Weights of a leg add up to one, but for rounding over many members; none is negative."""
+    return is_close(total, F.lit(1.0), 1e-9, 1e-9) & (F.col(lowest) >= 0)
+
+
+def turnover_range_ok(turnover: str = "turnover") -> Column:
+    """One-way turnover lies in [0, 1]."""
+    return F.col(turnover).between(-1e-12, 1.0 + 1e-12)
+
+
 def turnover_range_violations(turnover: DataFrame) -> DataFrame:
-    return turnover.where(
-        F.col("turnover").isNull() | (F.col("turnover") < -1e-12)
-        | (F.col("turnover") > 1.0 + 1e-12)
-    )
+    return turnover.where(~truthy(turnover_range_ok()))
 
 
 def value_weight_date_ok(date: str = "date") -> Column:

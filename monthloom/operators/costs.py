@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from monthloom.functions.scalars import bps_to_rate, finite_double, ratio
-from monthloom.operators.contracts import check_assignments, duplicate_keys, enforce
+from monthloom.functions.scalars import bps_to_rate, finite_double, ratio, truthy
+from monthloom.operators.contracts import (
+    check_assignments, duplicate_keys, enforce, stage_checked, turnover_range_ok, weight_sum_ok,
+)
 from monthloom.operators.ordering import spread_group_stats
 from monthloom.operators.portfolios import assign_tie_preserving, with_weightings
 from monthloom.operators.reshape import models_to_rows
@@ -103,15 +105,14 @@ def reconstruct(
     """Monthly gross returns with turnover, turnover by decile, and D1/D10 weight rows."""
     if check:
         check_assignments(assignments)
-    weights = stage(
+    weights = stage_checked(
         target_weights(assignments).select(
             *_LEG, "permno", "ticker", "realized_next_month_return", "target_weight",
             "drifted_weight",
         ),
         "weights",
+        {"A leg lost all its capital": F.col("drifted_weight").isNotNull()} if check else {},
     )
-    if check:
-        enforce(weights.where(F.col("drifted_weight").isNull()), "A leg lost all its capital")
     calendar = month_calendar(assignments)
     aligned = stage(aligned_weights(weights, calendar), "aligned")
     regimes = stage(
@@ -126,8 +127,15 @@ def reconstruct(
     gross = weights.groupBy(*_LEG).agg(
         F.sum(F.col("target_weight") * F.col("realized_next_month_return")).alias("gross"),
         F.count(F.lit(1)).alias("n"),
+        F.sum("target_weight").alias("weight_sum"),
+        F.min("target_weight").alias("least_weight"),
+    )
+    legs = stage_checked(
+        gross.join(by_decile.select(*_LEG, "turnover"), _LEG), "legs", {
+            "Weights of a leg do not add up to one": weight_sum_ok("weight_sum", "least_weight"),
+            "Turnover is outside [0, 1]": turnover_range_ok(),
+        } if check else {},
     )
-    legs = gross.join(by_decile.select(*_LEG, "turnover"), _LEG)
     deciles = range(1, N_PORTFOLIOS + 1)
     wide = legs.groupBy(FORMATION, "model", "weighting").agg(
         *[F.max(F.when(F.col("decile") == d, F.col(v))).alias(name.format(d))
@@ -174,13 +182,15 @@ def apply_cost_scenarios(
         "long_short_cost": F.col("D10_cost") + F.col("D1_cost"),
     }).withColumn("D10_minus_D1_net", F.col("D10_minus_D1_gross") - F.col("long_short_cost"))
     if check:
-        enforce(cost_identity_violations(out), "Cost accounting identities fail")
+        out = stage_checked(out, "net", {
+            "Cost accounting identities fail": ~truthy(_cost_identity_breach())
+        })
     return out
 
 
-def cost_identity_violations(net: DataFrame) -> DataFrame:
+def _cost_identity_breach() -> Column:
     legs = F.col("D10_net") + F.col("D1_short_leg_net_contribution")
-    bad = (
+    return (
         (F.col("D1_cost") < 0) | (F.col("D10_cost") < 0)
         | (F.abs(legs - F.col("D10_minus_D1_net"))
            > 1e-12 + 1e-10 * F.abs("D10_minus_D1_net"))
@@ -188,7 +198,11 @@ def cost_identity_violations(net: DataFrame) -> DataFrame:
            & (F.col("D10_minus_D1_net") != F.col("D10_minus_D1_gross")))
         | (F.col("D10_minus_D1_net") > F.col("D10_minus_D1_gross") + 1e-12)
     )
-    return net.where(bad).select(FORMATION, "model", "weighting", "transaction_cost_bps")
+
+
+def cost_identity_violations(net: DataFrame) -> DataFrame:
+    return net.where(_cost_identity_breach()).select(
+        FORMATION, "model", "weighting", "transaction_cost_bps")
 
 
 def extreme_portfolio_returns(
@@ -219,8 +233,16 @@ def extreme_portfolio_returns(
         F.sum(F.col("target_weight") * F.col("actual_next_month_return")).alias("gross"),
         F.count(F.lit(1)).alias("n"),
         F.upper(F.min("regime")).alias("regime"),
+        F.sum("target_weight").alias("weight_sum"),
+        F.min("target_weight").alias("least_weight"),
     )
     legs = gross.join(turn.select(*_LEG, "turnover"), _LEG)
+    if check:
+        legs = stage_checked(legs, "legs", {
+            "Weights of a leg do not add up to one": weight_sum_ok("weight_sum", "least_weight"),
+            "Turnover is outside [0, 1]": turnover_range_ok(),
+        })
+
     def leg(value: str, side: int):
         return F.max(F.when(F.col("decile") == side, F.col(value)))
 
@@ -233,7 +255,9 @@ def extreme_portfolio_returns(
         leg("turnover", 1).alias("short_turnover"),
     )
     if check:
-        enforce(out.where("n_long IS NULL OR n_short IS NULL"), "An extreme portfolio is empty")
+        out = stage_checked(out, "extremes", {
+            "An extreme portfolio is empty": F.expr("n_long IS NOT NULL AND n_short IS NOT NULL"),
+        })
     return out.withColumn(
         "total_turnover", F.col("long_turnover") + F.col("short_turnover")
     ).withColumn("transaction_cost", F.lit(rate) * F.col("total_turnover")).withColumn(

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions.scalars import finite_double, is_finite, ratio, safe_double
-from monthloom.operators.contracts import enforce, require_columns
+from monthloom.functions.scalars import all_of, finite_double, is_finite, ratio, safe_double
+from monthloom.operators.contracts import enforce, require_columns, stage_checked
 from monthloom.operators.ordering import average_ranks, ordered_index
 from monthloom.operators.reshape import models_to_rows
 from monthloom.schema import FORMATION, N_PORTFOLIOS, REALIZED, WEIGHTINGS
@@ -259,10 +259,9 @@ def decile_returns_wide(
         F.sum("n_weight").alias("n_stocks"),
     ).withColumn("D10_minus_D1", F.col("D10") - F.col("D1"))
     if strict:
-        missing = F.lit(False)
-        for d in deciles:
-            missing = missing | F.col(f"D{d}").isNull()
-        enforce(out.where(missing).select(*keys), "A decile has no return")
+        out = stage_checked(out, "decile-returns", {
+            "A decile has no return": all_of(F.col(f"D{d}").isNotNull() for d in deciles)
+        })
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from monthloom.functions.scalars import (
     finite_double, ratio, safe_corr, safe_double, truthy,
 )
-from monthloom.operators.contracts import ContractViolation, enforce
+from monthloom.operators.contracts import ContractViolation, enforce, stage_checked
 from monthloom.operators.ordering import (
     average_ranks, grouped_quantiles, ordered_index, side_by_side,
 )
@@ -536,7 +536,10 @@ def economic_sanity(panel: DataFrame, check: bool = True) -> DataFrame:
     out = side_by_side([errors, q])
     ok = F.col("book_to_market_median").between(0.001, 50.0)
     if check:
-        enforce(out.where(~ok), "Book-to-market scale points to a unit error")
+        out = stage_checked(out, "unit-sanity", {
+            "Book-to-market scale points to a unit error":
+                ok | F.col("book_to_market_median").isNull()
+        })
     return out.withColumn(
         "unit_sanity_status", F.when(ok, "pass").otherwise("fail_scale_check")
     )

@@ -1,7 +1,7 @@
 """Security universes: predicates, top-N membership and samples."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import month_end, safe_double
@@ -86,9 +86,26 @@ def top_n_or_named(
 def monthly_hash_sample(
     rows: DataFrame, max_rows_per_month: int | None, seed: int, date: str = FORMATION
 ) -> DataFrame:
-    """At most k rows per month, the same ones in every run with the same seed."""
+    """At most k rows per month, those with the least md5 of ``permno|month|seed``.
+
+    The same rows come in every run with the same seed, and SQL can repeat the draw. Up to Spark's
+    own bound for top-k windows, each task sends at most k rows per month; beyond it the digests
+    are placed by range. Equal digests, that is repeated (permno, month) keys, are drawn by permno
+    alone, so which of them comes first is open. Rows without a month form a group of their own. A
+    missing k draws every row.
+    """
     if not max_rows_per_month or max_rows_per_month <= 0:
         return rows
-    drawn = rows.withColumn("__draw", F.xxhash64("permno", date, F.lit(seed)))
-    placed = ordered_index(drawn, [date], ["__draw", "permno"], "__n", "__size")
-    return placed.where(F.col("__n") <= max_rows_per_month).drop("__draw", "__n", "__size")
+    drawn = rows.withColumn("__draw", F.md5(F.concat_ws(
+        "|", F.col("permno").cast("string"), F.col(date).cast("string"), F.lit(str(seed)))))
+    order = ["__draw", "permno"]
+    bound = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if max_rows_per_month <= bound:
+        window = Window.partitionBy(date).orderBy(*order)
+        placed = drawn.withColumn("__n", F.row_number().over(window))
+    else:
+        month = F.coalesce(F.col(date).cast("string"), F.lit(""))
+        placed = ordered_index(
+            drawn.withColumn("__month", month), ["__month"], order, "__n", "__size"
+        ).drop("__month", "__size")
+    return placed.where(F.col("__n") <= max_rows_per_month).drop("__draw", "__n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import month_index
 from monthloom.operators import (
-    accounting, contracts, features, panel, portfolios, regimes, reports, reshape, splits,
+    accounting, contracts, features, fingerprints, panel, portfolios, regimes, reports, reshape, splits,
     transforms, universe,
 )
 from monthloom.operators.ordering import average_ranks, spread_group_stats
@@ -663,6 +663,35 @@ def _(m: MarketTables) -> DataFrame:
              .alias("same_content"))
 
 
+_PRICE_TEXT = {
+    "permno": "permno", "ticker": "ticker", "date": "date",
+    "shares": "CAST(floor(shrout) AS BIGINT)", "price": "CAST(floor(prc * 1000) AS BIGINT)",
+    "return": "CAST(floor(ret * 1000) AS BIGINT)",
+}
+
+
+def _price_tree(prices: DataFrame) -> DataFrame:
+    plain = prices.select(*[F.expr(e).alias(n) for n, e in _PRICE_TEXT.items()])
+    return fingerprints.fingerprint_tree(plain, "permno", list(_PRICE_TEXT))
+
+
+@query("dq_15_fingerprint_nodes", "level:i node:i first_key:i last_key:i n_rows:i low:i high:i")
+def _(m: MarketTables) -> DataFrame:
+    return _price_tree(m.prices())
+
+
+@query("dq_15_changed_ranges", "level:i node:i first_key:i last_key:i n_left:i n_right:i")
+def _(m: MarketTables) -> DataFrame:
+    """A copy of the price table with some corrected shares and one security's year left out."""
+    prices = m.prices()
+    corrected = (F.col("permno") % 23 == 5) & (F.month("date") == 3)
+    missing = (F.col("permno") % 41 == 7) & (F.year("date") == 1997)
+    copy = prices.withColumn(
+        "shrout", F.when(corrected, F.col("shrout") + 1).otherwise(F.col("shrout"))
+    ).where(~missing)
+    return fingerprints.changed_ranges(_price_tree(prices), _price_tree(copy))
+
+
 @query("dq_16_panel_metadata", "rows:i unique_permnos:i formation_start:d formation_end:d "
        "realized_return_start:d realized_return_end:d complete_case_rows:i "
        "complete_case_permnos:i size_valid:i size_missing:i market_equity_nonpositive:i "

@@ -58,11 +58,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def publish(spark: SparkSession, source: str, path: str) -> None:
+    """Rename a finished folder to ``path``, in place of what is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(source), hadoop.Path(path)
+    system = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(b, True)
+    if not system.rename(a, b):
+        raise RuntimeError(f"{source} could not be renamed to {path}.")
+
+
 def discard(table: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     files = table.inputFiles()
@@ -70,7 +80,7 @@ def discard(table: DataFrame) -> None:
         folder = files[0].rsplit("/", 1)[0]
         if f"/{_FOLDER}/" not in folder:
             raise ValueError(f"{folder} is not a staged table.")
-        _delete(table.sparkSession, folder)
+        delete_path(table.sparkSession, folder)
 
 
 @contextmanager
@@ -85,7 +95,7 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in scopes.pop():
-            _delete(spark, path)
+            delete_path(spark, path)
 
 
 @contextmanager
@@ -101,7 +111,7 @@ def staged_paths() -> Iterator[list[str]]:
 
 def free(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
-        _delete(spark, path)
+        delete_path(spark, path)
 
 
 def frees_staged(job: Callable) -> Callable:
@@ -117,4 +127,4 @@ def frees_staged(job: Callable) -> Callable:
 def release_staged(spark: SparkSession) -> None:
     """Drop every table this application has staged."""
     app = spark.sparkContext.applicationId
-    _delete(spark, f"{shared_root(spark)}/{_FOLDER}/{app}")
+    delete_path(spark, f"{shared_root(spark)}/{_FOLDER}/{app}")

@@ -213,6 +213,9 @@ WHERE v.tail_rank <= 10""")
 body("srt_04_row_limit", f"""SELECT permno, mthcaldt AS date, mthprc AS prc FROM secfile b
 WHERE mthcaldt BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND {_UNIVERSE}
 ORDER BY mthcaldt, permno LIMIT 40""")
+body("srt_05_monthly_sample", """SELECT permno, formation_date, next_month_return FROM sample
+QUALIFY row_number() OVER (PARTITION BY formation_date
+  ORDER BY md5(permno || '|' || formation_date || '|42'), permno) <= 20""")
 body("srt_05_sample_sizes", """SELECT formation_date, least(20, count(*)) AS n_rows FROM sample
 GROUP BY 1""")
 body("srt_06_sorted_output",
@@ -321,6 +324,52 @@ body("dq_14_value_weight_date", """SELECT permno, formation_date, formation_date
 FROM preds WHERE permno % 37 = 3 AND month(formation_date) = 8""")
 body("dq_15_table_fingerprint",
      "SELECT 'prices' AS \"table\", count(*) AS n_rows, TRUE AS same_content FROM prices")
+_PRICE_PARTS = ("permno", "ticker", "date", "CAST(floor(shrout) AS BIGINT)",
+                "CAST(floor(prc * 1000) AS BIGINT)", "CAST(floor(ret * 1000) AS BIGINT)")
+_PRICE_DIGEST = " || '|' || ".join(
+    f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')"
+    for e in _PRICE_PARTS)
+
+
+def _digest_sum(begin: int) -> str:
+    return (f"CAST(sum(CAST(CAST('0x' || substr(h, {begin}, 12) AS BIGINT) AS HUGEINT)) "
+            f"% 9007199254740992 AS BIGINT)")
+
+
+def _price_nodes(level: int) -> str:
+    size = 16 * 8 ** level
+    if level == 3:
+        node, first, last, keys = "0", "min(permno) // 16 * 16", "max(permno) // 16 * 16 + 15", ""
+    else:
+        node = f"permno // {size}"
+        first, last, keys = f"permno // {size} * {size}", f"permno // {size} * {size} + {size - 1}", \
+            f"GROUP BY permno // {size}"
+    return f"""SELECT {level} AS level, {node} AS node, {first} AS first_key, {last} AS last_key,
+count(*) AS n_rows, {_digest_sum(1)} AS low, {_digest_sum(13)} AS high FROM digests {keys}"""
+
+
+body("dq_15_fingerprint_nodes", f"""WITH digests AS
+(SELECT permno, md5({_PRICE_DIGEST}) AS h FROM prices) """
+     + " UNION ALL ".join(_price_nodes(level) for level in range(4)))
+
+
+def _changed_nodes(level: int) -> str:
+    size = 16 * 8 ** level
+    if level == 3:
+        return """SELECT 3 AS level, 0 AS node, min(permno) // 16 * 16 AS first_key,
+max(permno) // 16 * 16 + 15 AS last_key, count(*) AS n_left,
+count(*) FILTER (NOT missing) AS n_right FROM marked HAVING bool_or(corrected OR missing)"""
+    return f"""SELECT {level} AS level, permno // {size} AS node,
+permno // {size} * {size} AS first_key, permno // {size} * {size} + {size - 1} AS last_key,
+count(*) AS n_left, count(*) FILTER (NOT missing) AS n_right
+FROM marked GROUP BY permno // {size} HAVING bool_or(corrected OR missing)"""
+
+
+# Found from the changed rows themselves, without any hashes.
+body("dq_15_changed_ranges", """WITH marked AS (SELECT permno,
+permno % 23 = 5 AND month(date) = 3 AS corrected,
+permno % 41 = 7 AND year(date) = 1997 AS missing FROM prices) """
+     + " UNION ALL ".join(_changed_nodes(level) for level in range(4)))
 body("dq_16_panel_metadata", """
 SELECT count(*) AS rows, count(DISTINCT permno) AS unique_permnos,
   min(formation_date) AS formation_start, max(formation_date) AS formation_end,

@@ -48,5 +48,5 @@ def test_every_oracle_has_a_query():
     assert set(BODIES) <= set(BUILDERS)
     without = set(BUILDERS) - set(BODIES)
     # Draws by hash; brute force and stumps with SQL stand for the boosted trees.
-    assert without == {"srt_05_monthly_sample", "ml_02_boosted_trees", "ml_03_importances",
-                       "oos_03_tree_cv", "oos_04_expanding_long_models"}
+    assert without == {"ml_02_boosted_trees", "ml_03_importances", "oos_03_tree_cv",
+                       "oos_04_expanding_long_models"}
