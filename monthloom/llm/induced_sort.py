@@ -15,9 +15,12 @@ and run lengths, and the starred suffixes: some 20 bytes per symbol.
 """
 from __future__ import annotations
 
+import bisect
+import heapq
 import os
 import shutil
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,114 +31,169 @@ IN_MEMORY = 1 << 22
 
 
 class Queue:
-    """Priority queue of (symbol, position, prefix) tuples; equal symbols keep their push order."""
+    """Priority queue of (symbol, position, prefix) tuples; equal symbols keep their push order:
+    runs in the order they were spilled, then what is held.
 
-    def __init__(self, folder: str, buffer: int = BUFFER):
-        self.folder, self.buffer = folder, buffer
-        self.runs: list[tuple] = []
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    A heap of run heads names the runs that may hold a symbol. Pops that go through the symbols in
+    the queue's direction read each run forward through a memory map; a pop that skips symbols
+    splits a run into two views. A run is deleted once it is used up.
+    """
+
+    def __init__(self, folder: str, buffer: int = BUFFER, descending: bool = False):
+        self.folder, self.buffer, self.sign = folder, buffer, -1 if descending else 1
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.size = 0
+        self.heads: list[tuple[int, int, int]] = []  # signed symbol, run, view
+        self.views: dict[int, tuple] = {}  # signed symbols, positions and prefixes of a run
+        self.open: dict[int, int] = {}  # views of each run
         self.number = 0
+        self.made = 0
 
     def push(self, symbol: np.ndarray, position: np.ndarray, prefix: np.ndarray) -> None:
-        if not len(symbol):
+        n = len(symbol)
+        if not n:
             return
-        self.held.append((symbol, position, prefix))
-        self.size += len(symbol)
+        if n == 1:
+            self.held.setdefault(int(symbol[0]), []).append((position, prefix))
+        else:
+            order = np.argsort(symbol, kind="stable")
+            s, p, c = symbol[order], position[order], prefix[order]
+            edges = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), n]
+            for a, b in zip(edges[:-1], edges[1:]):
+                self.held.setdefault(int(s[a]), []).append((p[a:b], c[a:b]))
+        self.size += n
         if self.size >= self.buffer:
             self._spill()
 
-    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s, p, c = (np.concatenate(x) for x in zip(*self.held))
-        order = np.argsort(s, kind="stable")
-        self.held, self.size = [], 0
-        return s[order], p[order], c[order]
+    def _path(self, run: int, label: str) -> str:
+        return os.path.join(self.folder, f"queue-{id(self)}-{run}-{label}.npy")
+
+    def _view(self, run: int, s: np.ndarray, p: np.ndarray, c: np.ndarray) -> None:
+        if len(s):
+            self.views[self.made] = (s, p, c)
+            self.open[run] = self.open.get(run, 0) + 1
+            heapq.heappush(self.heads, (int(s[0]), run, self.made))
+            self.made += 1
 
     def _spill(self) -> None:
-        arrays = self._sorted()
-        names = []
-        for label, a in zip("spc", arrays):
-            name = os.path.join(self.folder, f"queue-{id(self)}-{self.number}-{label}.npy")
-            np.save(name, a)
-            names.append(np.load(name, mmap_mode="r"))
-        self.runs.append(tuple(names))
+        keys = sorted(self.held, reverse=self.sign < 0)
+        parts = [part for k in keys for part in self.held[k]]
+        sizes = [sum(len(p) for p, _ in self.held[k]) for k in keys]
+        arrays = []
+        for label, a in (("s", np.repeat(np.array(keys, np.int64) * self.sign, sizes)),
+                         ("p", np.concatenate([p for p, _ in parts])),
+                         ("c", np.concatenate([c for _, c in parts]))):
+            np.save(self._path(self.number, label), a)
+            arrays.append(np.asarray(np.load(self._path(self.number, label), mmap_mode="r")))
+        self._view(self.number, *arrays)
         self.number += 1
+        self.held, self.size = {}, 0
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
         """All tuples of one symbol in push order; later pushes of it come with the next call."""
+        key = symbol * self.sign
+        found = []
+        while self.heads and self.heads[0][0] <= key:
+            found.append(heapq.heappop(self.heads)[1:])
         parts = []
-        for i, (s, p, c) in enumerate(self.runs):
-            lo, hi = np.searchsorted(s, [symbol, symbol + 1])
+        for run, view in sorted(found):
+            s, p, c = self.views.pop(view)
+            lo = 0 if s[0] == key else int(np.searchsorted(s, key))
+            hi = lo + int(np.searchsorted(s[lo:], key, side="right"))
             if hi > lo:
                 parts.append((np.array(p[lo:hi]), np.array(c[lo:hi])))
-                self.runs[i] = (np.concatenate([s[:lo], s[hi:]]), np.concatenate([p[:lo], p[hi:]]),
-                                np.concatenate([c[:lo], c[hi:]])) if lo else (s[hi:], p[hi:], c[hi:])
-        if self.held:
-            keep = []
-            for s, p, c in self.held:
-                hit = s == symbol
-                if hit.any():
-                    parts.append((p[hit], c[hit]))
-                    rest = ~hit
-                    if rest.any():
-                        keep.append((s[rest], p[rest], c[rest]))
-                else:
-                    keep.append((s, p, c))
-            self.held = keep
-            self.size = sum(len(s) for s, _, _ in keep)
-        self.runs = [r for r in self.runs if len(r[0])]
+            self._view(run, s[:lo], p[:lo], c[:lo])
+            self._view(run, s[hi:], p[hi:], c[hi:])
+            self.open[run] -= 1
+            if not self.open[run]:
+                del self.open[run]
+                for label in "spc":
+                    os.remove(self._path(run, label))
+        held = self.held.pop(symbol, [])
+        self.size -= sum(len(p) for p, _ in held)
+        parts += held
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
 
 
 class _RangeMin:
-    """Least common prefix since the last push of each symbol, batch by batch."""
+    """Least common prefix since the last push of each symbol.
+
+    A push leaves a time stamp. A stack holds, for rising values, the last time at which each was
+    the least since; the first entry not before a time is the least value from there on. Values are
+    capped, so the stack is no longer than the cap, and a step does no work per symbol.
+    """
+
+    NEVER = -2
+    FEW = 16
 
     def __init__(self, symbols: int):
-        self.least = np.full(symbols, -1, np.int32)  # -1: nothing was pushed for the symbol
+        self.last = np.full(symbols, self.NEVER, np.int64)
+        self.times, self.values = [0], [0]
+        self.now = 1
+
+    def end_of_text(self, symbol: int) -> None:
+        """The end, which shares no prefix, pushes the first suffix of ``symbol``."""
+        self.last[symbol] = -1
 
     def step(self, prefix: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """``prefix`` of a batch of processed suffixes with their predecessors; those at ``at``
-        push ``symbol``. Returns the least prefix between each and the push before it."""
-        least = self.least
-        low = int(prefix.min()) if len(prefix) else 0
-        if not len(at):
-            np.minimum(least, np.where(least >= 0, low, -1), out=least)
-            return np.zeros(0, np.int32)
-        table = [prefix]
-        while (1 << len(table)) <= len(prefix):
-            half, last = 1 << (len(table) - 1), table[-1]
-            table.append(np.minimum(last[:-half], last[half:]))
-        order = np.argsort(symbol, kind="stable")
-        s, p = symbol[order], at[order]
-        first = np.append(True, s[1:] != s[:-1])
-        begin = np.where(first, 0, np.append(0, p[:-1] + 1))
-
-        def span(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            """Least value of prefix[lo:hi], hi > lo."""
-            level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-            out = np.empty(len(lo), np.int32)
-            for k in np.unique(level):
-                m = level == k
-                out[m] = np.minimum(table[k][lo[m]], table[k][hi[m] - (1 << int(k))])
-            return out
-
-        got = span(begin, p + 1)
-        head = s[first]
-        got[first] = np.minimum(got[first], least[head])  # -1 stays -1
-        last = np.append(s[1:] != s[:-1], True)
-        np.minimum(least, np.where(least >= 0, low, -1), out=least)
-        tail, end = s[last], p[last] + 1
-        rest = np.full(len(tail), np.iinfo(np.int32).max, np.int32)
-        open_ = end < len(prefix)
-        if open_.any():
-            rest[open_] = span(end[open_], np.full(int(open_.sum()), len(prefix)))
-        least[tail] = rest
+        push ``symbol``. Returns the least prefix between each and the push before it, -1 for the
+        first push of a symbol."""
+        if len(prefix) <= self.FEW:
+            return self._one_by_one(prefix, at, symbol)
         out = np.empty(len(at), np.int32)
-        out[order] = got
+        if len(at):
+            order = np.argsort(symbol, kind="stable")
+            s, p = symbol[order], at[order]
+            first = np.append(True, s[1:] != s[:-1])
+            got = _least_of(prefix, np.where(first, 0, np.append(0, p[:-1] + 1)), p + 1)
+            before = self.last[s[first]]
+            place = np.searchsorted(np.array(self.times), before + 1)
+            least = np.append(np.array(self.values), np.iinfo(np.int32).max)[place]
+            got[first] = np.where(before == self.NEVER, -1, np.minimum(got[first], least))
+            final = np.append(s[1:] != s[:-1], True)
+            self.last[s[final]] = self.now + p[final]
+            out[order] = got
+        low = np.minimum.accumulate(prefix[::-1])[::-1]
+        entry = np.flatnonzero(np.append(low[1:] != low[:-1], True))
+        keep = bisect.bisect_left(self.values, int(low[0]))
+        self.times[keep:] = (self.now + entry).tolist()
+        self.values[keep:] = low[entry].tolist()
+        self.now += len(prefix)
         return out
 
+    def _one_by_one(self, prefix: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), np.int32)
+        pushes, k = at.tolist(), 0
+        for i, x in enumerate(prefix.tolist()):
+            keep = bisect.bisect_left(self.values, x)
+            self.times[keep:] = [self.now]
+            self.values[keep:] = [x]
+            if k < len(pushes) and pushes[k] == i:
+                before = int(self.last[symbol[k]])
+                out[k] = (-1 if before == self.NEVER
+                          else self.values[bisect.bisect_left(self.times, before + 1)])
+                self.last[symbol[k]] = self.now
+                k += 1
+            self.now += 1
+        return out
+
+
+def _least_of(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of values[lo:hi] for each pair of bounds, hi > lo, from minima over powers of two."""
+    table = [values]
+    while (1 << len(table)) <= len(values):
+        half, last = 1 << (len(table) - 1), table[-1]
+        table.append(np.minimum(last[:-half], last[half:]))
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    out = np.empty(len(lo), np.int32)
+    for k in np.unique(level):
+        m = level == k
+        out[m] = np.minimum(table[k][lo[m]], table[k][hi[m] - (1 << int(k))])
+    return out
+
 
 def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flags of ascending suffixes (smaller than their successor) and length of the run of equal
@@ -268,7 +326,6 @@ def suffix_order(text: np.ndarray, cap: int, folder: str, in_memory: int = IN_ME
     # Descending suffixes, by ascending symbols.
     queue = Queue(folder, buffer)
     least = _RangeMin(symbols)
-    down_p: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     spool = _Spool(folder, "down")
 
     def induce(position: np.ndarray, prefix: np.ndarray, c: int, upward: bool) -> None:
@@ -284,7 +341,7 @@ def suffix_order(text: np.ndarray, cap: int, folder: str, in_memory: int = IN_ME
 
     # The last suffix is descending and first of its symbol: the end induces it.
     queue.push(np.array([int(text[n - 1])]), np.array([n - 1]), np.zeros(1, np.int32))
-    least.least[int(text[n - 1])] = 0
+    least.end_of_text(int(text[n - 1]))
     for c in present.tolist():
         first = True
         last_down = -1
@@ -306,7 +363,7 @@ def suffix_order(text: np.ndarray, cap: int, folder: str, in_memory: int = IN_ME
 
     # Ascending suffixes, by descending symbols. Walking down, the prefix that belongs to a
     # suffix is the one with the suffix met before, that is the next larger one.
-    queue = Queue(folder, buffer)
+    queue = Queue(folder, buffer, descending=True)
     least = _RangeMin(symbols)
     for c in present[::-1].tolist():
         first = True
@@ -336,29 +393,38 @@ def suffix_order(text: np.ndarray, cap: int, folder: str, in_memory: int = IN_ME
 
 
 class _Spool:
-    """Descending suffixes of each symbol, on disk between the two passes."""
+    """Descending suffixes of each symbol, on disk between the two passes: added by rising symbols
+    and taken by falling ones, so that only a stack of places is in memory."""
 
     def __init__(self, folder: str, label: str):
         self.path = os.path.join(folder, f"{label}-{id(self)}.bin")
         self.file = open(self.path, "w+b")
-        self.where: dict[int, list[tuple[int, int]]] = {}
+        self.end = 0
+        self.symbols, self.places, self.sizes = array("q"), array("q"), array("q")
 
     def add(self, c: int, p: np.ndarray, x: np.ndarray) -> None:
-        at = self.file.seek(0, 2)
         self.file.write(p.astype(np.int64).tobytes())
         self.file.write(x.astype(np.int32).tobytes())
-        self.where.setdefault(c, []).append((at, len(p)))
+        self.symbols.append(c)
+        self.places.append(self.end)
+        self.sizes.append(len(p))
+        self.end += 12 * len(p)
 
     def take(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        ps, xs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for at, n in self.where.pop(c, []):
-            self.file.seek(at)
+        ps, xs = [], []
+        while self.symbols and self.symbols[-1] == c:
+            self.symbols.pop()
+            n = self.sizes.pop()
+            self.file.seek(self.places.pop())
             ps.append(np.frombuffer(self.file.read(8 * n), np.int64))
             xs.append(np.frombuffer(self.file.read(4 * n), np.int32))
-        return np.concatenate(ps), np.concatenate(xs)
+        if not ps:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.concatenate(ps[::-1]), np.concatenate(xs[::-1])
 
     def close(self) -> None:
         self.file.close()
+        os.remove(self.path)
 
 
 class ScratchFolder:

@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -64,6 +65,56 @@ def test_queue_spills_and_keeps_push_order(tmp_path):
     assert queue.pop(1)[0].tolist() == []
 
 
+def test_queue_reads_runs_forward_and_deletes_them(tmp_path):
+    for descending in (False, True):
+        queue = induced_sort.Queue(str(tmp_path), buffer=50, descending=descending)
+        rng = np.random.default_rng(5)
+        waiting = collections.defaultdict(list)
+        order = range(400)[::-1] if descending else range(400)
+        for step, symbol in enumerate(order):
+            ahead = np.array([s for s in rng.integers(0, 400, 9)
+                              if (s <= symbol if descending else s >= symbol)], np.int64)
+            place = np.arange(len(ahead)) + 1000 * step
+            queue.push(ahead, place, place.astype(np.int32))
+            for s, v in zip(ahead.tolist(), place.tolist()):
+                waiting[s].append(v)
+            assert queue.pop(symbol)[0].tolist() == waiting[symbol]
+        assert queue.number > 10 and not any(tmp_path.iterdir())
+
+
+def test_least_prefix_by_time_stamps():
+    rng = np.random.default_rng(9)
+    least, history, last = induced_sort._RangeMin(40), [0], {}
+    last[3] = -1
+    least.end_of_text(3)
+    for size in [1, 3, 40, 16, 17, 200, 1, 0, 90]:
+        prefix = rng.integers(0, 30, size).astype(np.int32)
+        at = np.flatnonzero(rng.random(size) < 0.6)
+        symbol = rng.integers(0, 40, len(at))
+        got = least.step(prefix, at, symbol)
+        base = len(history)
+        history += prefix.tolist()
+        want = []
+        for a, s in zip((at + base).tolist(), symbol.tolist()):
+            want.append(min(history[last[s] + 1: a + 1]) if s in last else -1)
+            last[s] = a
+        assert got.tolist() == want
+
+
+def test_recursion_stays_in_proportion(tmp_path):
+    """CPU time of a forced recursion: the alphabet one level down grows with the text."""
+    rng = np.random.default_rng(1)
+    spent = []
+    for n in (4_000, 32_000):
+        text = rng.integers(0, 60, n).astype(np.uint16)
+        text = np.concatenate([text, text[: n // 3]])
+        begin = time.process_time()
+        out = [p for p, _ in induced_sort.suffix_order(text, 400, str(tmp_path), in_memory=100)]
+        spent.append(time.process_time() - begin)
+        assert sum(map(len, out)) == len(text)
+    assert spent[1] < 24 * spent[0]  # eight times the text; a quadratic sort takes 64 times
+
+
 # --- repeated substrings -----------------------------------------------------------------------
 
 def brute_repeats(rows, length):
