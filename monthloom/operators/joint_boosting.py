@@ -1,11 +1,14 @@
 """Boosted regression trees of many training windows, grown side by side.
 
-Features are binned once, by cut points that the earliest window already knows, and rows are
-packed into blocks of codes. A tree level is one pass over the blocks: every task adds up gradient
-histograms per (fit, node, feature, bin), and only these sums leave it. All windows and parameter
-sets grow in the same passes, so ``rounds x depth`` jobs serve any number of fits. Each block
-carries the scores that its rows have reached in every fit; they are written anew every
-``REFRESH`` trees, which bounds what a pass has to compute again.
+Features are binned once, by cut points that the earliest window already knows, and rows are put
+in the order of their codes and packed into blocks. Rows with equal codes form a cell: every tree
+sends them to the same leaf, so scores, nodes and histograms are taken per cell, whatever number
+of rows it holds. A tree level is one pass over the blocks: every task draws its rows once for all
+fits, adds up their targets per cell and window, and then gradient histograms per (fit, node,
+feature, bin); only these sums leave it. All windows and parameter sets grow in the same passes, so
+``rounds x depth`` jobs serve any number of fits. Each block carries the scores that its cells have
+reached in every fit; they are renewed in memory every ``RENEW`` trees and written anew every
+``REFRESH``, which bounds what a pass has to compute again and what a lost executor costs.
 
 Gradients are added as whole numbers of a fixed unit, so a histogram does not depend on how rows
 are spread over tasks, and a run can be repeated to the last bit. The error of a validation month
@@ -29,6 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.functions.scalars import finite_double
 from monthloom.operators.ordering import value_ranks
 from monthloom.schema import FORMATION, REALIZED, TARGET
 from monthloom.shipping import ship_package
@@ -39,7 +43,10 @@ DEFAULTS = {"n_estimators": 100, "max_depth": 2, "learning_rate": 0.05, "subsamp
             "colsample_bytree": 0.8, "reg_lambda": 1.0, "min_child_weight": 1.0}
 BINS = 64
 REFRESH = 25
-_BLOCK = 1 << 15
+RENEW = 2
+_BLOCK = 1 << 19  # rows; fewer if many fits keep scores of their cells
+_LEAST = 1 << 14  # rows for which a task of their own pays
+_SCORES = 1 << 23
 _FAN_IN = 64
 _EPOCH = dt.date(1970, 1, 1)
 
@@ -119,8 +126,12 @@ def cut_points(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> li
 
 # --- blocks --------------------------------------------------------------------------------------
 
-_PARTS = {"security": np.int64, "day": np.int32, "known": np.int32, "target": np.float64,
-          "codes": np.uint8, "score": np.float64}
+#: Rows that train, in the order of their cell and first window; where each (cell, window) starts
+#: among them; rows that are held out, in the order of their day; codes and scores of the cells.
+_PARTS = {"security": np.int64, "day": np.int32, "amount": np.int64,
+          "start": np.int64, "cell": np.int32, "window": np.int32,
+          "held_security": np.int64, "held_day": np.int32, "held_target": np.float64,
+          "held_cell": np.int32, "codes": np.uint8, "score": np.float64}
 _BLOCK_SCHEMA = ", ".join(f"{name} binary" for name in _PARTS)
 
 
@@ -132,9 +143,8 @@ def _pack(arrays: Mapping[str, np.ndarray]) -> pa.RecordBatch:
 
 def _block(parts: Sequence, width: int, fits: int) -> dict[str, np.ndarray]:
     out = {n: np.frombuffer(p, k) for (n, k), p in zip(_PARTS.items(), parts)}
-    n = len(out["security"])
-    out["codes"] = out["codes"].reshape(n, width)
-    out["score"] = out["score"].reshape(n, fits)
+    out["codes"] = out["codes"].reshape(-1, width)
+    out["score"] = out["score"].reshape(fits, -1)
     return out
 
 
@@ -145,8 +155,11 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], width: int, fits: int
             yield _block([c[at].as_buffer() for c in batch.columns], width, fits)
 
 
-def _binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], fits: int
-            ) -> DataFrame:
+def _coded(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], windows: np.ndarray,
+           held: np.ndarray) -> DataFrame:
+    """Codes and first window of every row that trains a fit or is held out by one.
+
+    A row trains the fits of all windows from its first on; ``len(windows)`` stands for none."""
     def days(c: str):
         return F.datediff(F.col(c).cast("date"), F.lit(_EPOCH))
 
@@ -157,24 +170,110 @@ def _binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, _BLOCK):
-                part = batch.slice(at, _BLOCK)
-                out = {n: part.column(n).to_numpy(zero_copy_only=False)
-                       for n in ("security", "day", "known", "target")}
-                out["codes"] = np.column_stack([
-                    np.searchsorted(c, part.column(f"x{i}").to_numpy(zero_copy_only=False))
-                    for i, c in enumerate(cuts)])
-                out["score"] = np.zeros((part.num_rows, fits))
-                yield _pack(out)
+            security, day, known, target, *x = [
+                c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            window = np.searchsorted(windows, np.maximum(day + 1, known))
+            window[~np.isfinite(target)] = len(windows)
+            codes = np.column_stack([np.searchsorted(c, v) for c, v in zip(cuts, x)])
+            keep = np.flatnonzero((window < len(windows)) | np.isin(day, held))
+            flat = np.ascontiguousarray(codes[keep], np.uint8)
+            ends = np.arange(len(keep) + 1, dtype=np.int32) * flat.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(security[keep].astype(np.int64)), pa.array(day[keep].astype(np.int32)),
+                 pa.array(window[keep].astype(np.int32)), pa.array(target[keep]),
+                 pa.BinaryArray.from_buffers(
+                     pa.binary(), len(keep), [None, pa.py_buffer(ends), pa.py_buffer(flat)])],
+                names=["security", "day", "window", "target", "codes"])
+
+    return narrow.mapInArrow(
+        run, "security BIGINT, day INT, window INT, target DOUBLE, codes BINARY")
+
+
+def _cells(rows: pa.Table, width: int, fits: int, windows: int, held: np.ndarray, unit: float
+           ) -> dict[str, np.ndarray]:
+    """A block of rows that lie in the order of codes and window."""
+    security, day, window, target = [rows.column(n).to_numpy() for n in
+                                     ("security", "day", "window", "target")]
+    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(-1, width)
+    opens = np.ones(len(codes), bool)
+    opens[1:] = (codes[1:] != codes[:-1]).any(axis=1)
+    cell = np.cumsum(opens) - 1
+    train = np.flatnonzero(window < windows)
+    first = np.ones(len(train), bool)
+    first[1:] = (np.diff(cell[train]) != 0) | (np.diff(window[train]) != 0)
+    start = np.flatnonzero(first)
+    out = np.flatnonzero(np.isin(day, held))
+    out = out[np.argsort(day[out], kind="stable")]
+    return {"security": security[train], "day": day[train],
+            "amount": np.rint(target[train] / unit), "start": start,
+            "cell": cell[train[start]], "window": window[train[start]],
+            "held_security": security[out], "held_day": day[out], "held_target": target[out],
+            "held_cell": cell[out], "codes": codes[opens],
+            "score": np.zeros((fits, int(opens.sum())))}
+
+
+def _packed(coded: DataFrame, width: int, fits: int, windows: int, held: np.ndarray, unit: float,
+            n: int) -> DataFrame:
+    """Blocks of neighbouring cells. A cell of many rows is split by security and month."""
+    most = min(_BLOCK, max(_SCORES // fits, 1))
+    cores = coded.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-n // _BLOCK), min(cores, n // _LEAST))
+    placed = coded.repartitionByRange(tasks, "codes", "security", "day").sortWithinPartitions(
+        "codes", "window")
 
-    return narrow.mapInArrow(run, _BLOCK_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                kept.append(batch.slice(at, most))
+                size += kept[-1].num_rows
+                if size >= most:
+                    yield _pack(_cells(pa.Table.from_batches(kept), width, fits, windows, held,
+                                       unit))
+                    kept, size = [], 0
+        if size:
+            yield _pack(_cells(pa.Table.from_batches(kept), width, fits, windows, held, unit))
+
+    return placed.mapInArrow(run, _BLOCK_SCHEMA)
+
+
+def _held_rows(b: Mapping[str, np.ndarray], days: np.ndarray) -> np.ndarray:
+    """Places of the rows of some days among the rows held out."""
+    lo, hi = [np.searchsorted(b["held_day"], days, side=s) for s in ("left", "right")]
+    return np.concatenate([np.zeros(0, np.int64), *map(np.arange, lo, hi)])
+
+
+def _sums_at(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers per place: doubles hold those of either half of their bits."""
+    high, low = np.bincount(at, values >> 26, size), np.bincount(at, values & (1 << 26) - 1, size)
+    return (high.astype(np.int64) << 26) + low.astype(np.int64)
+
+
+def _window_sums(b: Mapping[str, np.ndarray], drawn: np.ndarray | None, windows: Sequence[int]
+                 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and targets of each cell in every one of the rising ``windows``, of the rows drawn."""
+    cells = len(b["codes"])
+    count, total = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    n = s = np.zeros(0, np.int64)
+    if len(b["start"]):
+        rows = np.ones(len(b["day"]), np.int64) if drawn is None else drawn.astype(np.int64)
+        n = np.add.reduceat(rows, b["start"])
+        s = np.add.reduceat(b["amount"] * rows, b["start"])
+    upto = 0
+    for window in windows:
+        for w in range(upto, window + 1):
+            here = np.flatnonzero(b["window"] == w)
+            count[b["cell"][here]] += n[here]
+            total[b["cell"][here]] += s[here]
+        upto = max(upto, window + 1)
+        yield count, total
 
 
 # --- growing -------------------------------------------------------------------------------------
 
 @dataclass
 class _Fit:
-    day: int
+    window: int
     held: np.ndarray
     params: dict[str, Any]
     base: float = 0.0
@@ -189,15 +288,6 @@ class _Fit:
     def depth(self) -> int:
         return int(self.params["max_depth"])
 
-    def trains(self, b: Mapping[str, np.ndarray]) -> np.ndarray:
-        return (b["day"] < self.day) & (b["known"] <= self.day) & np.isfinite(b["target"])
-
-    def trains_tree(self, b: Mapping[str, np.ndarray], seed: int, tree: int) -> np.ndarray:
-        share, out = float(self.params["subsample"]), self.trains(b)
-        if share < 1:
-            out &= drawn_rows(b["security"], b["day"], share, seed, tree)
-        return np.flatnonzero(out)
-
     def splits(self, hist: np.ndarray, features: list[int], level: int, tree: Tree, unit: float
                ) -> None:
         """Set the level's splits, and on the last level the leaves, from (node, feature, bin)
@@ -245,16 +335,22 @@ class Forests:
         for s in specs:
             if not 0 < float({**DEFAULTS, **s.params}["learning_rate"]) <= 1:
                 raise ValueError("Learning rates lie above 0 and at most at 1.")
-        self.fits = [_Fit((s.month - _EPOCH).days, np.array([(d - _EPOCH).days for d in s.held]),
-                          {**DEFAULTS, **s.params}) for s in specs]
         first = min(s.month for s in specs)
+        windows = np.unique([(s.month - _EPOCH).days for s in specs])
+        self.fits = [_Fit(int(np.searchsorted(windows, (s.month - _EPOCH).days)),
+                          np.array([(d - _EPOCH).days for d in s.held], np.int64),
+                          {**DEFAULTS, **s.params}) for s in specs]
+        self.days = np.unique(np.concatenate([f.held for f in self.fits]))
         seen = rows.where((F.col(FORMATION) < F.lit(first)) & (F.col(REALIZED) <= F.lit(first)))
         self.cuts = cut_points(seen, features, bins)
         self.bins = max((len(c) for c in self.cuts), default=0) + 1
-        self.resident = None
-        self._keep(stage(_binned(rows, features, self.cuts, len(specs)), "tree-blocks"))
+        self._set_units(rows)
+        self.resident = self.stale = None
+        self.written = self.stored = 0  # trees whose values the resident, the staged scores hold
+        coded = _coded(rows, features, self.cuts, windows, self.days)
+        self._keep(stage(_packed(coded, len(self.features), len(specs), len(windows), self.days,
+                                 self.unit, self.n), "tree-blocks"))
         self.parts = self.resident.getNumPartitions()
-        self.written = 0  # trees whose values the blocks' scores hold
         self._measure()
         #: per fit, the mean squared error over its held months with 0, 1, ... trees
         self.errors: list[list[float]] = [[] for _ in specs]
@@ -273,8 +369,13 @@ class Forests:
 
         partial = self.resident.mapPartitions(run)
         if self.parts > _FAN_IN:
-            return partial.treeReduce(np.add, 2)
-        return np.sum([np.zeros(length, np.int64), *partial.collect()], axis=0)
+            out = partial.treeReduce(np.add, 2)
+        else:
+            out = np.sum([np.zeros(length, np.int64), *partial.collect()], axis=0)
+        if self.stale is not None:
+            self.stale.unpersist()
+            self.stale = None
+        return out
 
     def _keep(self, blocks: DataFrame) -> None:
         self.blocks, old = blocks, self.resident
@@ -282,70 +383,78 @@ class Forests:
         if old is not None:
             old.unpersist()
 
-    def _measure(self) -> None:
-        """Rows and mean target of each window, and units in which sums stay whole and exact."""
-        fits = self.fits
-
-        def extent(b: dict) -> np.ndarray:
-            known = b["target"][np.isfinite(b["target"])]
-            top = math.frexp(float(np.abs(known).max(initial=0.0)))[1] if len(known) else -1074
-            out = np.zeros(2200, np.int64)
-            out[top + 1074 + 1] = len(b["target"])  # rows by the exponent of their block's largest
-            return out
-
-        found = self._sums(extent, 2200)
-        held = np.flatnonzero(found)
-        self.n = int(found.sum())
-        largest = 2.0 ** min(int(held[-1]) - 1075, 1000) if len(held) else 1.0
-        room = min(53 - _BLOCK.bit_length(), 62 - max(self.n, 1).bit_length())
+    def _set_units(self, rows: DataFrame) -> None:
+        """Units in which sums stay whole and exact."""
+        top = rows.agg(F.count(F.lit(1)).alias("n"),
+                       F.max(F.abs(finite_double(TARGET))).alias("t")).first()
+        self.n = top["n"]
+        largest = 2.0 ** min(math.frexp(top["t"] or 1.0)[1], 1000)
+        room = min(37, 62 - max(self.n, 1).bit_length())
         self.unit = 4 * largest * 2.0 ** -room
         self.square_unit = 16 * largest * largest * 2.0 ** -room
-        unit = self.unit
+
+    def _measure(self) -> None:
+        """Rows and mean target of each window."""
+        fits = self.fits
+        order = sorted(range(len(fits)), key=lambda i: fits[i].window)
+        windows = [fits[i].window for i in order]
 
         def totals(b: dict) -> np.ndarray:
-            out = np.zeros((len(fits), 2), np.int64)
-            for i, f in enumerate(fits):
-                at = f.trains(b)
-                out[i] = at.sum(), np.rint(b["target"][at] / unit).sum()
+            out = np.zeros((len(windows), 2), np.int64)
+            for i, (count, total) in zip(order, _window_sums(b, None, windows)):
+                out[i] = count.sum(), total.sum()
             return out.ravel()
 
         for f, (n, s) in zip(fits, self._sums(totals, 2 * len(fits)).reshape(-1, 2)):
-            f.rows, f.base = int(n), float(s) * unit / max(int(n), 1)
-
-    def _scorer(self, upto: int | None = None) -> Callable:
-        """Scores of a block's rows in one fit, after ``upto`` trees: what the block holds and the
-        trees since then."""
-        since = [(f.base if not self.written else 0.0, f.trees[self.written: upto])
-                 for f in self.fits]
-
-        def score(b: dict, i: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-            base, trees = since[i]
-            out = b["score"][rows, i] + base
-            codes = b["codes"][rows]
+            f.rows, f.base = int(n), float(s) * self.unit / max(int(n), 1)
+
+    def _scorer(self, since: int, upto: int | None = None) -> Callable:
+        """Scores of a block's cells in one fit, after ``upto`` trees: what the block holds after
+        ``since`` trees, and the trees from there on."""
+        added = [(f.base if not since else 0.0, f.trees[since: upto]) for f in self.fits]
+
+        def score(b: dict, i: int) -> np.ndarray:
+            base, trees = added[i]
+            out = b["score"][i] + base
             for t in trees:
-                out = out + t.values(codes)
+                out = out + t.values(b["codes"])
             return out
 
         return score
 
     def _refresh(self) -> None:
-        score, width, fits = self._scorer(), len(self.features), len(self.fits)
+        """Write the blocks with the scores reached."""
+        score, width, fits = self._scorer(self.stored), len(self.features), len(self.fits)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _blocks_of(batches, width, fits):
-                new = np.column_stack([score(b, i) for i in range(fits)])
-                yield _pack({**b, "score": new})
+                yield _pack({**b, "score": np.stack([score(b, i) for i in range(fits)])})
 
         old = self.blocks
         self._keep(stage(old.mapInArrow(run, _BLOCK_SCHEMA), "tree-blocks"))
         discard(old)
+        self.written = self.stored = max(len(f.trees) for f in self.fits)
+
+    def _renew(self) -> None:
+        """Replace the resident blocks by those with the scores reached, in the next pass."""
+        score, width, fits = self._scorer(self.written), len(self.features), len(self.fits)
+
+        def run(parts: tuple) -> tuple:
+            b = _block(parts, width, fits)
+            new = np.stack([score(b, i) for i in range(fits)])
+            return *parts[:-1], new.tobytes()
+
+        self.stale = self.resident
+        self.resident = self.stale.map(run).persist(StorageLevel.MEMORY_AND_DISK)
         self.written = max(len(f.trees) for f in self.fits)
 
     def _grow(self) -> None:
         rounds = max((f.rounds for f in self.fits), default=0)
         for turn in range(rounds):
-            if turn - self.written >= REFRESH:
+            if turn - self.stored >= REFRESH:
                 self._refresh()
+            elif turn - self.written >= RENEW:
+                self._renew()
             open_ = [i for i, f in enumerate(self.fits) if turn < f.rounds]
             for i in open_:
                 inner = (1 << self.fits[i].depth) - 1
@@ -365,25 +474,33 @@ class Forests:
                                        seed, turn) for i in open_}
         shape = {i: (1 << level, len(features[i]), bins, 2) for i in open_}
         growing = {i: fits[i].trees[turn] for i in open_}
-        score = self._scorer(turn)  # without the tree that grows
+        score = self._scorer(self.written, turn)  # without the tree that grows
         errors = self._error_work(score) if level == 0 else None
-        spec = {i: _Fit(fits[i].day, fits[i].held, fits[i].params) for i in open_}
+        window = {i: fits[i].window for i in open_}
+        by_share: dict[float, list[int]] = {}
+        for i in sorted(open_, key=window.get):
+            by_share.setdefault(float(fits[i].params["subsample"]), []).append(i)
+
+        def histogram(b: dict, i: int, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+            held = np.flatnonzero(count)
+            codes, n = b["codes"][held], count[held]
+            g = np.rint(score(b, i)[held] / unit).astype(np.int64) * n - total[held]
+            node, size = growing[i].nodes(codes, level) * bins, (1 << level) * bins
+            hist = np.zeros(shape[i], np.int64)
+            for j, f in enumerate(features[i]):
+                at = node + codes[:, f]
+                hist[:, j, :, 0] = _sums_at(at, g, size).reshape(-1, bins)
+                hist[:, j, :, 1] = np.bincount(at, n, size).reshape(-1, bins)
+            return hist.ravel()
 
         def work(b: dict) -> np.ndarray:
-            out = []
-            for i in open_:
-                rows = spec[i].trains_tree(b, seed, turn)
-                codes = b["codes"][rows]
-                g = np.rint((score(b, i, rows) - b["target"][rows]) / unit)
-                node = growing[i].nodes(codes, level) * bins
-                hist = np.zeros(shape[i], np.int64)
-                for j, f in enumerate(features[i]):
-                    at = node + codes[:, f]
-                    size = shape[i][0] * bins
-                    hist[:, j, :, 0] = np.bincount(at, g, size).reshape(-1, bins)
-                    hist[:, j, :, 1] = np.bincount(at, minlength=size).reshape(-1, bins)
-                out.append(hist.ravel())
-            return np.concatenate([*out, *([errors(b)] if errors else [])])
+            out = {}
+            for share, some in by_share.items():
+                drawn = (drawn_rows(b["security"], b["day"], share, seed, turn) if share < 1
+                         else None)
+                for i, sums in zip(some, _window_sums(b, drawn, [window[i] for i in some])):
+                    out[i] = histogram(b, i, *sums)
+            return np.concatenate([*[out[i] for i in open_], *([errors(b)] if errors else [])])
 
         length = sum(math.prod(s) for s in shape.values())
         got = self._sums(work, length + (2 * len(fits) if errors else 0))
@@ -402,15 +519,17 @@ class Forests:
         def work(b: dict) -> np.ndarray:
             out = np.zeros((len(held), 2), np.int64)
             for i, days in enumerate(held):
-                rows = np.flatnonzero(np.isin(b["day"], days) & np.isfinite(b["target"]))
-                e = b["target"][rows] - score(b, i, rows)
-                out[i] = len(rows), np.rint(e * e / unit).sum()
+                rows = _held_rows(b, days)
+                rows = rows[np.isfinite(b["held_target"][rows])]
+                if len(rows):
+                    e = b["held_target"][rows] - score(b, i)[b["held_cell"][rows]]
+                    out[i] = len(rows), np.rint(e * e / unit).astype(np.int64).sum()
             return out.ravel()
 
         return work
 
     def _held_errors(self) -> np.ndarray:
-        return self._sums(self._error_work(self._scorer()), 2 * len(self.fits))
+        return self._sums(self._error_work(self._scorer(self.written)), 2 * len(self.fits))
 
     def _note_errors(self, sums: np.ndarray) -> None:
         for known, f, (n, s) in zip(self.errors, self.fits, sums.reshape(-1, 2)):
@@ -421,19 +540,19 @@ class Forests:
     def predictions(self, column: str) -> DataFrame:
         """``fit, permno, formation_date`` and the score of every row of a fit's held months; fits
         without training rows score nothing."""
-        score, width, fits = self._scorer(), len(self.features), len(self.fits)
+        score, width, fits = self._scorer(self.stored), len(self.features), len(self.fits)
         held = [f.held if f.rows else f.held[:0] for f in self.fits]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _blocks_of(batches, width, fits):
                 for i, days in enumerate(held):
-                    rows = np.flatnonzero(np.isin(b["day"], days))
+                    rows = _held_rows(b, days)
                     if len(rows):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(rows), i, np.int32)),
-                             pa.array(b["security"][rows]),
-                             pa.array(b["day"][rows]).cast(pa.date32()),
-                             pa.array(score(b, i, rows))],
+                             pa.array(b["held_security"][rows]),
+                             pa.array(b["held_day"][rows]).cast(pa.date32()),
+                             pa.array(score(b, i)[b["held_cell"][rows]])],
                             names=["fit", "permno", FORMATION, column])
 
         return self.blocks.mapInArrow(

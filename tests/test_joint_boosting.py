@@ -163,3 +163,20 @@ def test_long_form_has_a_block_per_model(rows):
     assert one.exceptAll(two).count() == 0
     plain = oos.expanding_long(rows, "2011-02-28", None, 12, 2)
     assert plain.exceptAll(out.where("model = 'elastic_net'")).count() == 0
+
+
+def test_scores_are_held_per_cell_whatever_the_number_of_rows(rows, monkeypatch):
+    specs = _specs(rows, [{"n_estimators": 2}])[-1:]
+    copies = rows.crossJoin(rows.sparkSession.range(20).withColumnRenamed("id", "copy"))
+    copies = copies.withColumn("permno", copies["permno"] + 100_000 * copies["copy"]).drop("copy")
+
+    def scores(table):
+        forests = Forests(table, specs, FEATURES, bins=16)
+        return forests, sum(len(b["score"]) for b in forests.blocks.select("score").collect())
+
+    one, cells = scores(rows)
+    many, grown = scores(copies)
+    assert grown == cells <= 8 * rows.count() and many.fits[0].rows == 20 * one.fits[0].rows
+    monkeypatch.setattr(joint_boosting, "_BLOCK", 64)  # cells are cut by the ends of blocks
+    cut, _ = scores(copies)
+    assert cut.errors == many.errors and (_pull(cut) == _pull(many)).all()
