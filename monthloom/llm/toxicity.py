@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from monthloom.llm.textcodes import (
-    SLICE_CHARS, Slice, mix, prefix_hash, segment_hash, slices, words,
+    SLICE_CHARS, Slice, hold_only, mix, prefix_hash, segment_hash, slices, words,
 )
 from monthloom.shipping import ship_package
 
@@ -300,13 +300,17 @@ def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int
 class _Scorer:
     """Word logits by hash, kept from batch to batch; starts anew beyond ``most`` words."""
 
-    def __init__(self, model: Model, most: int = 2_000_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
 
     def _logits(self, text, begin, end, hashes):
+        hold_only(self)
         if len(self.keys) > self.most:
-            self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+            self.clear()
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         new = ~np.isin(distinct, self.keys, assume_unique=True)
         if new.any():

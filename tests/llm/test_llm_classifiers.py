@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from monthloom.llm import quality, toxicity
+from monthloom.llm import quality, textcodes, toxicity
 from tests.conftest import MEDIUM
 
 LARGE = "/root/testdata/sf0.1"  # the smaller tables hold 28 toxic documents to learn from
@@ -130,3 +130,16 @@ def test_statistics_see_the_worst_stretch():
     assert b[names.index("max_upper")] > 0.9 > a[names.index("max_upper")]
     assert b[names.index("max_same")] > a[names.index("max_same")]
     assert not c[: names.index("max_other")].any()
+
+
+def test_a_worker_holds_the_words_of_one_stage_alone():
+    codes = textcodes.SegmentCodes(lambda strings: [[len(s)] for s in strings])
+    text, begin, end = "one two", np.array([0, 4]), np.array([3, 7])
+    hashes = np.array([1, 2], np.uint64)
+    assert codes.lookup(text, begin, end, hashes)[1].tolist() == [3, 3] and codes.n == 2
+    model = toxicity.Model(np.linspace(-1, 1, toxicity.BUCKETS), 0.1)
+    scorer = toxicity._Scorer(model)
+    first = scorer.scores(["one two", "three"])
+    assert codes.n == 0 and len(scorer.keys) == 3
+    assert codes.lookup(text, begin, end, hashes)[1].tolist() == [3, 3] and not len(scorer.keys)
+    assert (scorer.scores(["one two", "three"]) == first).all()
