@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions.scalars import all_of, finite_double, is_finite, ratio, safe_double
 from monthloom.operators.contracts import enforce, require_columns, stage_checked
-from monthloom.operators.ordering import average_ranks, ordered_index
+from monthloom.operators.ordering import ordered_index, value_ranks
 from monthloom.operators.reshape import models_to_rows
 from monthloom.schema import FORMATION, N_PORTFOLIOS, REALIZED, WEIGHTINGS
 from monthloom.staging import stage
@@ -67,16 +67,29 @@ def assign_tie_preserving(
     df: DataFrame, prediction: str = "prediction", group: Sequence[str] = (FORMATION, "model"),
     key: str = "permno", k: int = N_PORTFOLIOS, out: str = "portfolio",
 ) -> DataFrame:
-    """Sorts by average percentile rank: equal predictions share a bucket, some may be empty."""
+    """Sorts by average percentile rank: equal predictions share a bucket, some may be empty.
+
+    The largest value of each bucket bounds it; a group's bounds, ``k`` at most, join the rows, which
+    are neither shuffled by value nor written.
+    """
     if k < 2:
         raise ValueError("At least two portfolios are needed.")
-    ranked = average_ranks(
-        df.where(is_finite(prediction)), group, prediction, "__rank", "__size"
-    )
+    value = finite_double(prediction)
+    usable = df.where(value.isNotNull())
+    ranks = value_ranks(usable.select(*group, value.alias("__value")), group, "__value", "__rank",
+                        "__size")
     bucket = F.ceil(F.lit(float(k)) * (F.col("__rank") / F.col("__size")))
-    return ranked.withColumn(
-        out, F.least(F.greatest(bucket, F.lit(1)), F.lit(k)).cast("int")
-    ).drop("__rank", "__size")
+    bounds = stage(
+        ranks.withColumn("__bucket", F.least(F.greatest(bucket, F.lit(1)), F.lit(k)).cast("int"))
+        .groupBy(*group, "__bucket").agg(F.max("__value").alias("__top"))
+        .groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("__top", "__bucket")))
+                             .alias("__bounds")),
+        "bucket-bounds",
+    )
+    # The first bound that is not below the value is that of its bucket.
+    own = F.filter("__bounds", lambda b: b["__top"] >= value)
+    return usable.join(bounds, list(group)).withColumn(
+        out, F.get(own, F.lit(0))["__bucket"]).drop("__bounds")
 
 
 def skipped_months(assignments: DataFrame) -> DataFrame:

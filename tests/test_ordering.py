@@ -142,3 +142,17 @@ def test_deciles_keep_all_rows_and_move_none(spark, make):
             assert (r.decile, r.decile_status) == (None, "assigned")
         else:
             assert r.decile == place[r.prediction, r.permno] * 10 // 23 + 1
+
+
+def test_tie_preserving_rows_are_not_joined_by_value(spark, monkeypatch):
+    rows = [("2010-01-31", "m", i, v) for i, v in enumerate(
+        [0.0, -0.0, 1.0, 1.0, 1.0, 2.0, 3.0, 3.0, 5.0, 8.0, float("nan"), None])]
+    df = spark.createDataFrame(rows, "formation_date string, model string, permno long, "
+                               "prediction double")
+    out = assign_tie_preserving(df)
+    assert {r.permno: r.portfolio for r in out.collect()} == {
+        0: 2, 1: 2, 2: 4, 3: 4, 4: 4, 5: 6, 6: 8, 7: 8, 8: 9, 9: 10}
+    assert out.columns == ["formation_date", "model", "permno", "prediction", "portfolio"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "prediction" not in joins[0]
