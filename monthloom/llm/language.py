@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.llm.textcodes import (
-    LETTER, Slice, class_table, prefix_hash, run_starts, segment_hash, slices,
+    LETTER, Slice, class_table, frees_memory, prefix_hash, run_starts, segment_hash, slices,
 )
 from monthloom.shipping import ship_package
 from monthloom.staging import stage
@@ -301,6 +301,7 @@ def _sampled(rows: DataFrame, sample: int) -> DataFrame:
         F.size("buckets") > 0)
 
 
+@frees_memory
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, entries: int = ENTRIES,
         key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Model of the rows for which ``usable`` holds and whose ``lang`` is not null."""

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from monthloom.llm.textcodes import (
-    LETTER, NUMBER, OTHER, SPACE, class_table, mix, prefix_hash, segment_hash, slices, words,
+    LETTER, NUMBER, OTHER, SPACE, class_table, frees_memory, mix, prefix_hash, segment_hash, slices,
+    words,
 )
 from monthloom.llm.toxicity import labelled_sample, mapped
 from monthloom.shipping import ship_package
@@ -259,6 +260,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: f
 
 # --- Spark -------------------------------------------------------------------------------------
 
+@frees_memory
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality",
         sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Forest:
     ship_package(docs.sparkSession)

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from monthloom.llm.textcodes import (
-    SLICE_CHARS, Slice, hold_only, mix, prefix_hash, segment_hash, slices, words,
+    SLICE_CHARS, Slice, frees_memory, give_back, hold_only, mix, prefix_hash, segment_hash, slices,
+    words,
 )
 from monthloom.shipping import ship_package
 
@@ -37,7 +38,8 @@ WINDOW = 4
 N_GRAMS = (3, 4, 5)
 SAMPLE = 8_000
 _ROWS = 500
-_WORDS = 50_000  # handled at once in training
+_WORDS = 50_000  # whose gradients are added up apart in training
+_FEW = 5_000  # words handled at once in training; divides _WORDS
 _SOME = 1 << 16  # windows or buckets handled at once; divides BUCKETS
 
 
@@ -161,9 +163,18 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
         part = parts.pop()
         out[at - len(part): at] = part
         at -= len(part)
+    part = None
+    give_back()
     return out
 
 
+def _opens(of: np.ndarray) -> np.ndarray:
+    """Where a new number begins."""
+    new = np.ones(len(of), bool)
+    np.not_equal(of[1:], of[:-1], out=new[1:])
+    return np.flatnonzero(new).astype(np.int32)
+
+
 def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int = 4,
           rate: float = 4000.0, least_texts: int | None = None, seed: int = 7) -> Model:
     """Fit embeddings and softmax together; the gradient of a document goes to its worst window
@@ -205,6 +216,9 @@ def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int
         owner.append((doc + first).astype(np.int32))
         width.append(size.astype(np.int32))
         base += len(doc)
+    word_texts = np.zeros(n_words, np.int64)
+    while held:
+        np.add.at(word_texts, held.pop(), 1)
     words_, window_, owner_ = _joined(occurrence), _joined(window), _joined(owner)
     if not len(words_):
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
@@ -212,22 +226,22 @@ def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int
     count, grams = _joined(counts), _joined(buckets)
     gram_at = np.cumsum(count) - count
     # Subwords of few texts would let a text be learned by heart; they stay at zero.
-    word_texts = np.bincount(_joined(held), minlength=n_words)
     spread_of = np.zeros(BUCKETS)
-    for lo in range(0, n_words, _WORDS):
-        hi = min(lo + _WORDS, n_words)
+    for lo in range(0, n_words, _FEW):
+        hi = min(lo + _FEW, n_words)
         stop = gram_at[hi] if hi < n_words else len(grams)
         spread_of += np.bincount(grams[gram_at[lo]: stop],
                                  np.repeat(word_texts[lo:hi], count[lo:hi]), BUCKETS)
     common = spread_of >= least_texts
-    win_at = np.flatnonzero(np.diff(window_, prepend=-1))
-    win_held = np.diff(win_at, append=len(words_))
+    win_at = _opens(window_)
+    win_held = np.diff(win_at, append=np.int32(len(words_)))
     win_size = _joined(width)
-    doc_at = np.flatnonzero(np.diff(owner_, prepend=-1))
+    doc_at = _opens(owner_)
     docs = owner_[doc_at]
     doc_size = np.diff(doc_at, append=len(owner_))
     y = labels[docs]
     del window_, owner_, word_texts, spread_of
+    give_back()  # what reading the texts has left between the arrays that stay
 
     rng = np.random.default_rng(seed)
     table = np.empty((BUCKETS, DIM), np.float32)
@@ -238,15 +252,14 @@ def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int
     bias = float(np.log(share / (1 - share)))
     speed = np.zeros_like(table)
     of_win = np.repeat(np.arange(len(docs), dtype=np.int32), doc_size)
+    word_logit, win_logit = np.empty(n_words), np.empty(len(win_at))
     for step in range(rounds):
         gram_logit = table @ out
-        word_logit = np.empty(n_words)
-        for lo in range(0, n_words, _WORDS):
-            hi = min(lo + _WORDS, n_words)
+        for lo in range(0, n_words, _FEW):
+            hi = min(lo + _FEW, n_words)
             held = grams[gram_at[lo]: gram_at[hi] if hi < n_words else len(grams)]
             word_logit[lo:hi] = np.add.reduceat(
                 gram_logit[held], gram_at[lo:hi] - gram_at[lo]) / count[lo:hi]
-        win_logit = np.empty(len(win_at))
         for lo in range(0, len(win_at), _SOME):
             hi = min(lo + _SOME, len(win_at))
             stop = win_at[hi] if hi < len(win_at) else len(words_)
@@ -270,7 +283,9 @@ def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int
                 g_word += np.bincount(words_[win_at[lo]: stop],
                                       np.repeat(g_win, win_held[lo:hi]), n_words)
         else:
-            hit = np.flatnonzero(win_logit == doc_logit[of_win])
+            hit = np.concatenate([
+                lo + np.flatnonzero(win_logit[lo: lo + _SOME] == doc_logit[of_win[lo: lo + _SOME]])
+                for lo in range(0, len(win_at), _SOME)])
             _, one = np.unique(of_win[hit], return_index=True)
             chosen = hit[one]
             g_win = error / win_size[chosen]
@@ -280,10 +295,14 @@ def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int
         hot = np.flatnonzero(g_word)
         g_gram = np.zeros(BUCKETS)
         for lo in range(0, len(hot), _WORDS):
-            some = hot[lo: lo + _WORDS]
-            size = count[some]
-            at = np.repeat(gram_at[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            g_gram += np.bincount(grams[at], np.repeat(g_word[some] / size, size), BUCKETS)
+            part = np.zeros(BUCKETS)
+            for begin in range(lo, min(lo + _WORDS, len(hot)), _FEW):
+                some = hot[begin: min(begin + _FEW, lo + _WORDS)]
+                size = count[some]
+                at = np.repeat(gram_at[some] - (np.cumsum(size) - size), size)
+                at += np.arange(len(at))
+                np.add.at(part, grams[at], np.repeat(g_word[some] / size, size))
+            g_gram += part
         touched = np.flatnonzero((g_gram != 0) & common)
         g_out = g_gram[touched] @ table[touched]
         speed *= 0.9
@@ -294,6 +313,7 @@ def train(texts: Iterable[str], labels: np.ndarray, rounds: int = 100, warm: int
             table[lo: lo + _SOME] -= np.float32(rate) * speed[lo: lo + _SOME]
         out -= np.float32(0.1) * np.clip(g_out, -1, 1).astype(np.float32)
         bias -= float(error.sum())
+        give_back()
     return Model(table @ out, bias)
 
 
@@ -367,6 +387,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                   {"score": DoubleType()}, make)
 
 
+@frees_memory
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic",
         sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     ship_package(docs.sparkSession)

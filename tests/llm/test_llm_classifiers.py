@@ -1,5 +1,7 @@
 """Classifiers: held-out accuracy, odd rows, and flattened trees against a walk node by node."""
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -60,6 +62,23 @@ def test_without_two_kinds_of_labels_the_share_is_the_score(spark, docs, module)
         assert all(abs(r.score - want) < 1e-6 for r in module.score(docs, model).collect())
 
 
+@pytest.mark.parametrize(("module", "trainer"), [(quality, "grow"), (toxicity, "train")])
+def test_fitting_leaves_no_freed_memory_with_the_driver(spark, docs, monkeypatch, module, trainer):
+    def held_mb():
+        return int(Path("/proc/self/statm").read_text().split()[1]) / 256
+
+    kept = []
+
+    def train(*_):
+        many = [np.ones(10_000) for _ in range(2_500)]  # 200 MB, of which one block stays in use
+        kept.append(many[-1])
+        return held_mb()
+
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(module, trainer, train)
+    assert module.fit(docs, labels, F.lit(True)) - held_mb() > 150
+
+
 def test_the_sample_is_bounded_and_the_same_every_time(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 8)],
                                    "doc_id long, quality int, toxic int")
@@ -90,6 +109,20 @@ def test_few_toxic_texts_are_learned_from():
     assert insult > 0 and insult > other + 1
 
 
+def test_training_needs_few_bytes_a_word():
+    rng = np.random.default_rng(3)
+    plain = np.array([f"w{i}" for i in range(3_000)])
+    texts = [" ".join(rng.choice(plain, 5_000)) for _ in range(1_000)]  # 5 million words
+    toxicity.train(texts[:2], np.arange(2), rounds=1)  # tables that stay are not counted
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, np.arange(1_000) % 2, rounds=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 125e6
+
+
 def test_flat_trees_equal_a_walk_node_by_node():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 5))
